@@ -1,0 +1,5 @@
+"""No streaming operator: the inputs are bounded catalogues and every answer is a batch query.
+
+The column expressions in ``catalens.functions`` and a saved ``PipelineModel`` apply to a streaming
+DataFrame unchanged, since neither needs state.
+"""
