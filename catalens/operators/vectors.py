@@ -48,6 +48,18 @@ def numbered_vocabulary(counts: DataFrame, n_terms: int) -> DataFrame:
     )
 
 
+def vocabulary_counts(
+    docs: DataFrame, keys: list[str], text: str, stop_words: list[str], n_terms: int
+) -> DataFrame:
+    """(term, keys, tf, n, term_no): the term counts that are in the vocabulary.
+
+    The counts are stored once, as the vocabulary and the result both read them. The vocabulary is broadcast: it holds
+    at most ``n_terms`` rows.
+    """
+    counts = materialize(term_counts(docs, keys, text, stop_words), "term-counts")
+    return counts.join(F.broadcast(numbered_vocabulary(counts, n_terms)), "term")
+
+
 def document_vectors(
     docs: DataFrame, keys: list[str], text: str, stop_words: list[str], n_terms: int, tfidf: bool = False
 ) -> DataFrame:
@@ -55,11 +67,9 @@ def document_vectors(
 
     ``terms`` is ascending. Weights are counts (whole numbers, so dot products and ``norm2`` are exact), or
     ``tf * (ln((1 + n) / (1 + df)) + 1)`` with ``tfidf``. A document without any vocabulary term has no row, as its
-    cosine with everything is zero. The vocabulary is broadcast: it holds at most ``n_terms`` rows.
+    cosine with everything is zero.
     """
-    counts = materialize(term_counts(docs, keys, text, stop_words), "term-counts")
-    vocab = numbered_vocabulary(counts, n_terms)
-    entries = counts.join(F.broadcast(vocab), "term")
+    entries = vocabulary_counts(docs, keys, text, stop_words, n_terms)
     weight = F.col("tf")
     if tfidf:
         n_docs = docs.count()
