@@ -44,30 +44,31 @@ def pixel_density(x: Column, y: Column, inches: Column) -> Column:
     return F.sqrt(x * x + y * y) / inches
 
 
-def storage(memory: Column, fix_decimal_tb: bool = False) -> dict[str, Column]:
-    """Gigabytes per storage kind out of text such as ``256GB SSD +  1TB HDD``.
+def storage_parts(memory: Column, fix_decimal_tb: bool = False) -> tuple[Column, Column]:
+    """The two storage descriptions of text such as ``256GB SSD +  1TB HDD``, in gigabytes; the second may be "0".
 
-    A terabyte counts as 1000. By default "1.0TB" reads as 10000, as digits are simply kept; ``fix_decimal_tb`` drops
+    A terabyte counts as 1000. By default "1.0TB" becomes "1.0000", whose digits read as 10000; ``fix_decimal_tb`` drops
     the ".0" first.
     """
     if fix_decimal_tb:
         memory = F.replace(memory, F.lit(".0"), F.lit(""))
     plain = F.replace(strip_literal(memory, "GB"), F.lit("TB"), F.lit("000"))
     first, second = split_once(plain, r"\+")
-    second = F.when(plain.isNotNull(), F.coalesce(second, F.lit("0")))
+    return first, F.when(memory.isNotNull(), F.coalesce(second, F.lit("0")))
 
-    def size(part: Column) -> Column:
-        return F.nullif(F.regexp_replace(part, "[^0-9]", ""), F.lit("")).cast("int")
 
-    return {
-        name: size(first) * flag(first, kind) + size(second) * flag(second, kind)
-        for name, kind in (("hdd", "HDD"), ("ssd", "SSD"), ("hybrid", "Hybrid"), ("flash_storage", "Flash Storage"))
-    }
+def digits(c: Column) -> Column:
+    """The digits of a text as one number; null when there is none."""
+    return F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit("")).cast("int")
+
+
+def storage_of_kind(first: Column, second: Column, kind: str, first_size: Column, second_size: Column) -> Column:
+    return first_size * flag(first, kind) + second_size * flag(second, kind)
 
 
 def words(c: Column) -> Column:
     """Non-empty whitespace-separated words."""
-    return F.filter(F.split(c, WHITESPACE), lambda w: w != "")
+    return F.array_remove(F.split(c, WHITESPACE), "")
 
 
 def first_words(c: Column, n: int) -> Column:

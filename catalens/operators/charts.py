@@ -48,11 +48,11 @@ def bootstrap_interval(
         .agg(F.sum(value).alias("s"), F.count("*").alias("n"))
         .withColumn("h", _hash28(F.concat(F.lit("u"), F.col("unit").cast("string"))))
     )
-    b = F.col("b").cast("string")
-    drawn = per_unit.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
-        "u",
-        F.pmod(F.col("h") * _hash28(F.concat(F.lit("a"), b)) + _hash28(F.concat(F.lit("c"), b)), F.lit(HASH_PRIME))
-        / F.lit(float(HASH_PRIME)),
+    b = F.col("b")
+    factor, shift = b * b * b * 7919 + b * 104729 + 12345, b * b * 15485863 + 32452843
+    drawn = per_unit.withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))))
+    drawn = drawn.withColumn(
+        "u", (F.col("h") * (factor % HASH_PRIME) + shift) % HASH_PRIME / F.lit(float(HASH_PRIME))
     )
     weight = sum(((F.col("u") >= p).cast("int") for p in POISSON_CDF), F.lit(0))
     means = (

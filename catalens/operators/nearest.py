@@ -87,16 +87,12 @@ def _nearest_of_block(left, right, numeric, categorical, reference, k) -> pd.Dat
     })
 
 
-def _classes(df: DataFrame, key: str, columns: list[str], keep: int, value: str) -> tuple[DataFrame, DataFrame]:
-    """Merge equal rows: (classes with their ``keep`` smallest keys and values, all rows as (key, first))."""
-    digest = F.sha2(F.to_json(F.struct(*columns)), 256)
-    known = df.select(key, *columns, value, digest.alias("digest"))
+def _classes(df: DataFrame, key: str, columns: list[str], keep: int, value: str) -> DataFrame:
+    """One row per distinct feature row, with its ``keep`` smallest keys and their values as ``members``."""
     members = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))))
-    classes = top_per(known, ["digest"], [key], keep).groupBy("digest").agg(
-        *[F.any_value(c).alias(c) for c in columns], members.alias("members")
-    )
-    classes = materialize(classes.withColumn("first", F.get("members", 0)["key"]), "classes")
-    return classes, known.select(key, value, "digest")
+    kept = top_per(df.select(key, *columns, value), columns, [key], keep)
+    classes = kept.groupBy(*columns).agg(members.alias("members"))
+    return materialize(classes.withColumn("first", F.get("members", 0)["key"]), "classes")
 
 
 def nearest_mean(
@@ -113,8 +109,8 @@ def nearest_mean(
     4. Each (query block, training block) pair is one task that returns k rows per query; those are ranked at the end.
     """
     columns = [*numeric, *categorical]
-    trained, _ = _classes(train, key, columns, k, label)
-    asked, asked_rows = _classes(queries, key, columns, 1, label)
+    trained = _classes(train, key, columns, k, label)
+    asked = _classes(queries, key, columns, 1, label)
     reference = trained.agg(*[F.min(c).alias(c) for c in categorical]).first().asDict()
     n = trained.count()
     sample = trained.orderBy(shuffle_key(1, "first"), "first").limit(SAMPLE_ROWS).select(
@@ -193,8 +189,8 @@ def nearest_mean(
         trained.select(F.col("first").alias("near"), F.explode("members").alias("m")), "near"
     ).select("query", "dist", F.col("m.key").alias("train_key"), F.col("m.value").alias("value"))
     answer = top_per(opened, ["query"], ["dist", "train_key"], k).groupBy("query").agg(F.avg("value").alias("prediction"))
-    by_class = asked.select("digest", F.col("first").alias("query")).join(answer, "query").select("digest", "prediction")
-    return asked_rows.join(by_class, "digest").select(key, label, "prediction")
+    by_class = asked.select(*columns, F.col("first").alias("query")).join(answer, "query").drop("query")
+    return queries.select(key, label, *columns).join(by_class, columns).select(key, label, "prediction")
 
 
 def _with_long(df: DataFrame, name: str) -> StructType:

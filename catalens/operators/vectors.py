@@ -1,7 +1,8 @@
 """Bag-of-words document vectors in sparse form.
 
-A document text is moved once, when the rows are spread by document key. Tokens, counts and per-document grouping then
-stay inside the partition: hash partitioning on the key also satisfies grouping by (key, term).
+Pass documents already spread by key (``df.repartition(*keys)``) to move each text once: tokens and counts then stay
+inside the partition, since hash partitioning on the key also satisfies grouping by (key, term). Other inputs work too;
+their counts are combined per task before they are shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ def term_counts(docs: DataFrame, keys: list[str], text: str, stop_words: list[st
     """(keys, term, tf) without stop words."""
     return (
         docs.select(*keys, text)
-        .repartition(*keys)
         .select(*keys, F.explode(tokens(F.col(text))).alias("term"))
         .where(~F.col("term").isin(stop_words))
         .groupBy(*keys, "term")

@@ -241,8 +241,9 @@ _BOOT = f"""SELECT company, round(quantile_cont(m, 0.025), 4) AS low, round(quan
  SELECT company, s, n, b, ((h * ba + bc) % 268435399) / CAST(268435399 AS DOUBLE) AS u FROM (
  SELECT company, unit, sum(price) AS s, count(*) AS n, {_hash28("'u' || CAST(unit AS VARCHAR)")} AS h FROM (
  SELECT company, price, {_hash28("CAST(unnamed_0 AS VARCHAR) || '|0'")} % 65536 AS unit FROM laptop_raw)
- GROUP BY company, unit), (SELECT b, {_hash28("'a' || CAST(b AS VARCHAR)")} AS ba,
- {_hash28("'c' || CAST(b AS VARCHAR)")} AS bc FROM (SELECT unnest(range(1, 1001)) AS b))))
+ GROUP BY company, unit), (SELECT b,
+ (b * b * b * 7919 + b * 104729 + 12345) % 268435399 AS ba, b * b * 15485863 + 32452843 AS bc
+ FROM (SELECT unnest(range(1, 1001)) AS b))))
  GROUP BY company, b) GROUP BY company"""
 
 _RULES = {

@@ -36,22 +36,43 @@ def weight_kg(strict: bool = True) -> Column:
     return text.cast("float") if strict else text.try_cast("float")
 
 
+# Output column and the storage kind it sums.
+STORAGE_KINDS = {"hdd": "HDD", "ssd": "SSD", "hybrid": "Hybrid", "flash_storage": "Flash Storage"}
+
+
 def parsed(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """All derived columns of a raw listing. Malformed numbers raise when ``strict``, else they become null."""
+    """All derived columns of a raw listing. Malformed numbers raise when ``strict``, else they become null.
+
+    Three projections, so that a split or pattern match used by several columns is evaluated once per row.
+    """
     x, y = S.resolution(F.col("screen_resolution"))
-    cpu_name = S.first_words(F.col("cpu"), 3)
-    return raw.select(
-        "unnamed_0", "company", "type_name", "inches",
+    first, second = S.storage_parts(F.col("memory"))
+    cut = raw.select(
+        "unnamed_0", "company", "type_name", "inches", "screen_resolution", "op_sys", "price",
         ram_gb(strict).alias("ram"),
         weight_kg(strict).alias("weight"),
-        S.flag(F.col("screen_resolution"), "Touchscreen").alias("touchscreen"),
-        S.flag(F.col("screen_resolution"), "IPS").alias("ips"),
         x.alias("x_res"), y.alias("y_res"),
-        S.pixel_density(x, y, F.col("inches")).alias("ppi"),
-        cpu_name.alias("cpu_name"),
-        S.cpu_brand(cpu_name).alias("cpu_brand"),
-        *[c.alias(name) for name, c in S.storage(F.col("memory")).items()],
+        S.first_words(F.col("cpu"), 3).alias("cpu_name"),
         S.first_word(F.col("gpu")).alias("gpu_brand"),
+        first.alias("first_part"), second.alias("second_part"),
+    )
+    sized = cut.select(
+        *cut.columns, S.digits(F.col("first_part")).alias("first_size"), S.digits(F.col("second_part")).alias("second_size")
+    )
+    parts = [F.col(c) for c in ("first_size", "second_size")]
+    return sized.select(
+        "unnamed_0", "company", "type_name", "inches", "ram", "weight",
+        S.flag(F.col("screen_resolution"), "Touchscreen").alias("touchscreen"),
+        S.flag(F.col("screen_resolution"), "IPS").alias("ips"),
+        "x_res", "y_res",
+        S.pixel_density(F.col("x_res"), F.col("y_res"), F.col("inches")).alias("ppi"),
+        "cpu_name",
+        S.cpu_brand(F.col("cpu_name")).alias("cpu_brand"),
+        *[
+            S.storage_of_kind(F.col("first_part"), F.col("second_part"), kind, *parts).alias(name)
+            for name, kind in STORAGE_KINDS.items()
+        ],
+        "gpu_brand",
         S.os_category(F.col("op_sys")).alias("os"),
         "price",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+
 from catalens.fixtures import SEED_TITLES, table, view
 from catalens.functions import scalars as S
 from catalens.functions.stem import stem_text
@@ -43,6 +44,10 @@ def _facets(spark, sf) -> DataFrame:
     return movies.facets(_rows(spark, sf))
 
 
+def _spread_facets(spark, sf) -> DataFrame:
+    return movies.facets(_rows(spark, sf).repartition(*KEYS))
+
+
 def _catalogue(spark, sf, *parts: str, **options) -> recommend.Catalogue:
     return recommend.build(
         view(spark, sf, "movies_raw"), view(spark, sf, "credits_raw"), load_stop_words(), parts, **options
@@ -352,7 +357,9 @@ def q_storage_parse(spark, sf):
 @query
 def q_storage_fixed(spark, sf):
     """Storage with "1.0TB" read as 1000 instead of 10000."""
-    return _laptops(spark, sf).select("unnamed_0", S.storage(F.col("memory"), True)["hybrid"].alias("hybrid"))
+    first, second = S.storage_parts(F.col("memory"), fix_decimal_tb=True)
+    hybrid = S.storage_of_kind(first, second, "Hybrid", S.digits(first), S.digits(second))
+    return _laptops(spark, sf).select("unnamed_0", hybrid.alias("hybrid"))
 
 
 @query
@@ -449,7 +456,7 @@ def q_stopwords(spark, sf):
 
 @query
 def q_vocab_topn(spark, sf):
-    counts = vectors.term_counts(movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words())
+    counts = vectors.term_counts(movies.tags(_spread_facets(spark, sf)), KEYS, "tags", load_stop_words())
     return vectors.vocabulary(counts, recommend.CONTENT_TERMS)
 
 
@@ -462,7 +469,7 @@ def q_vocab_genre(spark, sf):
 @query
 def q_term_counts(spark, sf):
     return vectors.vocabulary_counts(
-        movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words(), recommend.CONTENT_TERMS
+        movies.tags(_spread_facets(spark, sf)), KEYS, "tags", load_stop_words(), recommend.CONTENT_TERMS
     ).select(*KEYS, "term", "tf")
 
 
@@ -527,7 +534,7 @@ def q_forest(spark, sf):
 def q_rbf_svr(spark, sf):
     train, test = _sides(spark, sf)
     encoder = models.fit_encoder(train)
-    fitted = models.KernelRegressor().fit(encoder.transform(train))
+    fitted = models.KernelRegressor().fit(models.encoded_train(encoder, train))
     return models.metrics(fitted.predict(encoder.transform(test)), "kernel")
 
 
