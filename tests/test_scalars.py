@@ -9,32 +9,31 @@ def one(spark, value, *columns):
     return tuple(df.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)]).first())
 
 
-C = F.col("c")
 
 
 def test_null_in_null_out(spark):
     checks = [
-        S.strip_literal(C, "GB"), S.flag(C, "IPS"), *S.split_once(C, "x"), S.first_number(C), *S.resolution(C),
-        *S.storage_parts(C), S.digits(C), S.words(C), S.first_words(C, 3), S.first_word(C), S.cpu_brand(C),
-        S.os_category(C), S.json_names(C), S.first_names(C, 3), S.names_with_job(C, "Director", 1),
+        S.strip_literal(F.col("c"), "GB"), S.flag(F.col("c"), "IPS"), *S.split_once(F.col("c"), "x"), S.first_number(F.col("c")), *S.resolution(F.col("c")),
+        *S.storage_parts(F.col("c")), S.digits(F.col("c")), S.words(F.col("c")), S.first_words(F.col("c"), 3), S.first_word(F.col("c")), S.cpu_brand(F.col("c")),
+        S.os_category(F.col("c")), S.json_names(F.col("c")), S.first_names(F.col("c"), 3), S.names_with_job(F.col("c"), "Director", 1),
     ]
     assert one(spark, None, *checks) == (None,) * len(checks)
 
 
 def test_resolution(spark):
-    assert one(spark, "IPS Panel Retina Display 2560x1600", *S.resolution(C)) == (2560, 1600)
-    assert one(spark, "1440x900", *S.resolution(C)) == (1440, 900)
-    assert one(spark, "4K Ultra HD / Touchscreen 3840x2160", *S.resolution(C)) == (3840, 2160)
+    assert one(spark, "IPS Panel Retina Display 2560x1600", *S.resolution(F.col("c"))) == (2560, 1600)
+    assert one(spark, "1440x900", *S.resolution(F.col("c"))) == (1440, 900)
+    assert one(spark, "4K Ultra HD / Touchscreen 3840x2160", *S.resolution(F.col("c"))) == (3840, 2160)
 
 
 def test_first_number_needs_two_digits(spark):
-    assert one(spark, "4K or 8", S.first_number(C)) == (None,)
-    assert one(spark, "1,920 wide", S.first_number(C)) == ("1920",)
-    assert one(spark, "at 13.3 inches", S.first_number(C)) == ("13.3",)
+    assert one(spark, "4K or 8", S.first_number(F.col("c"))) == (None,)
+    assert one(spark, "1,920 wide", S.first_number(F.col("c"))) == ("1920",)
+    assert one(spark, "at 13.3 inches", S.first_number(F.col("c"))) == ("13.3",)
 
 
 def storage(spark, text, fix=False):
-    first, second = S.storage_parts(C, fix)
+    first, second = S.storage_parts(F.col("c"), fix)
     return {
         name: one(spark, text, S.storage_of_kind(first, second, kind, S.digits(first), S.digits(second)))[0]
         for name, kind in laptops.STORAGE_KINDS.items()
@@ -50,9 +49,9 @@ def test_storage(spark):
 
 
 def test_words(spark):
-    assert one(spark, "  two\t words here\n", S.words(C)) == (["two", "words", "here"],)
-    assert one(spark, "", S.words(C), S.first_words(C, 3), S.first_word(C)) == ([], "", None)
-    assert one(spark, " Intel  Core i7 7500U", S.first_words(C, 3), S.first_word(C)) == ("Intel Core i7", "Intel")
+    assert one(spark, "  two\t words here\n", S.words(F.col("c"))) == (["two", "words", "here"],)
+    assert one(spark, "", S.words(F.col("c")), S.first_words(F.col("c"), 3), S.first_word(F.col("c"))) == ([], "", None)
+    assert one(spark, " Intel  Core i7 7500U", S.first_words(F.col("c"), 3), S.first_word(F.col("c"))) == ("Intel Core i7", "Intel")
 
 
 def test_cpu_brand(spark):
@@ -61,7 +60,7 @@ def test_cpu_brand(spark):
         ("Intel Core M", "Other Intel Processor"), ("Intel Xeon E3-1505M", "Other Intel Processor"),
         ("AMD A9-Series 9420", "AMD Processor"), ("Samsung Cortex A72", "AMD Processor"),
     ]:
-        assert one(spark, name, S.cpu_brand(C)) == (brand,)
+        assert one(spark, name, S.cpu_brand(F.col("c"))) == (brand,)
 
 
 def test_os_category(spark):
@@ -70,21 +69,21 @@ def test_os_category(spark):
         ("Mac OS X", "Mac"), ("Linux", "Others/No OS/Linux"), ("No OS", "Others/No OS/Linux"),
         ("windows 10", "Others/No OS/Linux"),
     ]:
-        assert one(spark, name, S.os_category(C)) == (group,)
+        assert one(spark, name, S.os_category(F.col("c"))) == (group,)
 
 
 def test_flag_is_case_sensitive(spark):
-    assert one(spark, "IPS Panel touchscreen", S.flag(C, "IPS"), S.flag(C, "Touchscreen")) == (1, 0)
+    assert one(spark, "IPS Panel touchscreen", S.flag(F.col("c"), "IPS"), S.flag(F.col("c"), "Touchscreen")) == (1, 0)
 
 
 def test_json_lists(spark):
     text = '[{"id": 1, "name": "A B"}, {"id": 2, "name": "C"}, {"name": "D", "order": 9}, {"name": "E"}]'
-    assert one(spark, text, S.json_names(C), S.first_names(C, 3)) == (["A B", "C", "D", "E"], ["A B", "C", "D"])
-    assert one(spark, "[{'id': 1, 'name': 'single quoted'}]", S.json_names(C)) == (["single quoted"],)
-    assert one(spark, "[]", S.json_names(C), S.names_with_job(C, "Director", 1)) == ([], [])
-    assert one(spark, "not json", S.json_names(C)) == (None,)
+    assert one(spark, text, S.json_names(F.col("c")), S.first_names(F.col("c"), 3)) == (["A B", "C", "D", "E"], ["A B", "C", "D"])
+    assert one(spark, "[{'id': 1, 'name': 'single quoted'}]", S.json_names(F.col("c"))) == (["single quoted"],)
+    assert one(spark, "[]", S.json_names(F.col("c")), S.names_with_job(F.col("c"), "Director", 1)) == ([], [])
+    assert one(spark, "not json", S.json_names(F.col("c"))) == (None,)
     crew = '[{"job": "Editor", "name": "X"}, {"job": "Director", "name": "Y Z"}, {"job": "Director", "name": "W"}]'
-    assert one(spark, crew, S.names_with_job(C, "Director", 1)) == (["Y Z"],)
+    assert one(spark, crew, S.names_with_job(F.col("c"), "Director", 1)) == (["Y Z"],)
 
 
 def test_tag_text(spark):
