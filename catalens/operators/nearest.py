@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from catalens.operators.joins import look_up
 from catalens.operators.sampling import shuffle_key
 from catalens.operators.similar import top_per
 from catalens.session import materialize
@@ -185,12 +186,12 @@ def nearest_mean(
         )
     )
     best = top_per(found, ["query"], ["dist", "near"], k).drop("rank")
-    opened = best.join(
-        trained.select(F.col("first").alias("near"), F.explode("members").alias("m")), "near"
+    opened = look_up(best, trained.select(F.col("first").alias("near"), "members"), ["near"], n).select(
+        "query", "dist", F.explode("members").alias("m")
     ).select("query", "dist", F.col("m.key").alias("train_key"), F.col("m.value").alias("value"))
     answer = top_per(opened, ["query"], ["dist", "train_key"], k).groupBy("query").agg(F.avg("value").alias("prediction"))
     by_class = asked.select(*columns, F.col("first").alias("query")).join(answer, "query").drop("query")
-    return queries.select(key, label, *columns).join(by_class, columns).select(key, label, "prediction")
+    return look_up(queries.select(key, label, *columns), by_class, columns).select(key, label, "prediction")
 
 
 def _with_long(df: DataFrame, name: str) -> StructType:

@@ -37,8 +37,12 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows equal to an earlier row over all columns; nulls count as equal."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("copies"))
+    """Rows equal to an earlier row over all columns; nulls count as equal.
+
+    Rows are compared by a 256-bit digest of their JSON form, so wide text columns are not shuffled.
+    """
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+    groups = df.groupBy(digest.alias("digest")).agg(F.count("*").alias("copies"))
     return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from catalens.operators.joins import look_up
 from catalens.operators.positions import positions
 from catalens.operators.similar import SEED_LIMIT, top_per
 
@@ -55,7 +56,7 @@ def related_to_all(seeds: DataFrame, members: DataFrame, keys: list[str], k: int
     others = F.col("total") - F.col("same")
     start = F.conv(F.substring(shuffle_key(salt, *seed_keys), 1, 7), 16, 10).cast("long")
     wanted = (
-        seeds.join(blocks, ["person", "title"])
+        look_up(seeds, blocks, ["person", "title"])
         .where(others > 0)
         .withColumn("start", F.pmod(start, others))
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), others) - 1)))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from catalens.operators import similar, vectors
+from catalens.operators import joins, similar, vectors
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa the of".split()
 
@@ -76,7 +76,7 @@ def test_too_many_seeds_are_refused(spark, docs):
 def test_many_classes_are_joined_by_salt(spark, docs, monkeypatch):
     made = vectors.document_vectors(frame(spark, docs), ["a", "b"], "text", ["the", "of"], 8)
     expected = sorted(map(tuple, similar.similar_all(made, ["a", "b"], 5).collect()))
-    monkeypatch.setattr(similar, "CLASS_LIMIT", 0)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, similar.similar_all(made, ["a", "b"], 5).collect())) == expected
 
 
