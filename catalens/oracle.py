@@ -6,6 +6,7 @@ Written from the definitions, not from the Spark plans: for example all-pairs si
 from __future__ import annotations
 
 from catalens.fixtures import SEED_TITLES, view_sql
+from catalens.functions.stem import IRREGULAR, STEP_2, STEP_3, STEP_4
 from catalens.functions.stopwords import load_stop_words
 
 WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
@@ -140,6 +141,94 @@ for _kind_name, _table, _lead in (("director", "directed", "seed_director[1]"),
  JOIN {_kind_name}_ring r ON r.person = w.person
  AND r.pos = (w.low + w.same + (w.start + w.j) % (w.total - w.same)) % w.total"""
 
+# --- stemming, step by step over the distinct words: w is the word so far, s its consonant/vowel letters -------------
+
+
+def _letters(w: str) -> str:
+    """c/v letters of a word: y counts as a vowel after a consonant."""
+    expr = f"regexp_replace(regexp_replace({w}, '[^aeiouy]', 'C', 'g'), '[aeiou]', 'V', 'g')"
+    expr = f"regexp_replace({expr}, '^y', 'C')"
+    for _ in range(8):  # resolves runs of up to sixteen y
+        expr = f"replace(replace({expr}, 'Cy', 'CV'), 'Vy', 'VC')"
+    return expr
+
+
+def _m(cut: int | str, s: str = "s", w: str = "w") -> str:
+    """Measure of the word without its last ``cut`` letters."""
+    left = f"left({s}, length({w}) - {cut})"
+    return f"(length({left}) - length(replace({left}, 'VC', ''))) / 2"
+
+
+def _short(cut: int = 0) -> str:
+    left = f"left(s, length(w) - {cut})"
+    last = f"right(left(w, length(w) - {cut}), 1)"
+    return f"(({left} LIKE '%CVC' AND {last} NOT IN ('w', 'x', 'y')) OR {left} = 'VC')"
+
+
+def _less(n: int) -> str:
+    return f"left(w, length(w) - {n})"
+
+
+def _rules(rules, above: int) -> str:
+    return "CASE " + " ".join(
+        f"WHEN w LIKE '%{old}' THEN CASE WHEN {_m(len(old))} > {above} THEN {_less(len(old))} || '{new}' ELSE w END"
+        for old, new in rules
+    )
+
+
+def _stem_parts(name: str, words_sql: str) -> dict[str, str]:
+    steps = [
+        f"CASE WHEN w LIKE '%ies' THEN CASE length(w) WHEN 4 THEN {_less(1)} ELSE {_less(2)} END "
+        f"WHEN w LIKE '%sses' THEN {_less(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {_less(1)} ELSE w END",
+        f"CASE WHEN w LIKE '%ied' THEN CASE length(w) WHEN 4 THEN {_less(1)} ELSE {_less(2)} END "
+        f"WHEN w LIKE '%eed' THEN CASE WHEN {_m(3)} > 0 THEN {_less(1)} ELSE w END "
+        f"WHEN w LIKE '%ed' AND contains(left(s, length(w) - 2), 'V') THEN {_less(2)} || '#' "
+        f"WHEN w LIKE '%ing' AND contains(left(s, length(w) - 3), 'V') THEN {_less(3)} || '#' ELSE w END",
+        # a cut word carries a mark at its end; marked words are not looked at with the mark, see tidy below
+        "TIDY",
+        f"CASE WHEN w LIKE '%y' AND length(w) > 2 AND left(s, length(w) - 1) LIKE '%C' THEN {_less(1)} || 'i' ELSE w END",
+        f"CASE WHEN w LIKE '%alli' AND {_m(4)} > 0 THEN {_less(2)} ELSE w END",
+        _rules(STEP_2, 0) + f" WHEN w LIKE '%logi' AND {_m(3)} > 0 THEN {_less(1)} ELSE w END",
+        _rules(STEP_3, 0) + " ELSE w END",
+        "CASE " + " ".join(
+            f"WHEN w LIKE '%{x}' THEN CASE WHEN {_m(3 if x in ('sion', 'tion') else len(x))} > 1 "
+            f"THEN {_less(3 if x in ('sion', 'tion') else len(x))} ELSE w END" for x in STEP_4) + " ELSE w END",
+        f"CASE WHEN w LIKE '%e' AND ({_m(1)} > 1 OR ({_m(1)} = 1 AND NOT {_short(1)})) THEN {_less(1)} ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {_m(1)} > 1 THEN {_less(1)} ELSE w END",
+    ]
+    known = "CASE term " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IRREGULAR.items()) + " ELSE term END"
+    parts = {f"{name}_w0": f"SELECT term, term AS w, {_letters('term')} AS s FROM ({words_sql}) "
+                           f"WHERE length(term) > 2 AND {known} = term AND term NOT IN ({', '.join(repr(a) for a in IRREGULAR)})"}
+    for i, step in enumerate(steps):
+        source = f"{name}_w{i}"
+        if step == "TIDY":
+            source = f"""(SELECT term, cut, CASE WHEN NOT cut THEN w WHEN w LIKE '%at' OR w LIKE '%bl' OR w LIKE '%iz'
+ THEN w || 'e' WHEN length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND s LIKE '%C'
+ THEN CASE WHEN right(w, 1) IN ('l', 's', 'z') THEN w ELSE {_less(1)} END
+ WHEN {_m(0)} = 1 AND {_short()} THEN w || 'e' ELSE w END AS w FROM (SELECT *, {_letters('w')} AS s FROM (
+ SELECT term, mark AS cut, CASE WHEN mark THEN {_less(1)} ELSE w END AS w FROM (SELECT *, w <> before AND w LIKE '%#'
+ AS mark FROM {source}))))"""
+            step = "w"
+        else:
+            source = f"(SELECT term, w, s FROM {source})"
+        parts[f"{name}_w{i + 1}"] = (
+            f"SELECT term, w, before, {_letters('w')} AS s FROM (SELECT term, w AS before, {step} AS w FROM {source})"
+        )
+    parts[f"{name}_stems"] = (
+        f"SELECT term, w AS stem FROM {name}_w{len(steps)} UNION ALL SELECT term, {known} FROM ({words_sql}) "
+        f"WHERE length(term) <= 2 OR term IN ({', '.join(repr(a) for a in IRREGULAR)})"
+    )
+    return parts
+
+
+PARTS |= _stem_parts("doc", f"SELECT DISTINCT term FROM (SELECT unnest({_words('lower(text)')}) AS term FROM documents)")
+PARTS |= _stem_parts("tag", f"SELECT DISTINCT term FROM (SELECT unnest({_words('tags')}) AS term FROM tags)")
+PARTS["stem_words"] = f"""SELECT id, movie_id, stem AS tags FROM (SELECT id, movie_id, unnest({_words('tags')}) AS term
+ FROM tags) JOIN tag_stems USING (term)"""
+PARTS |= _vector_parts("stemmed", "stem_words", 5000)
+PARTS["stemmed_top"] = PARTS["content_top"].replace("content_", "stemmed_")
+PARTS["stemmed_answer"] = PARTS["content_answer"].replace("content_top", "stemmed_top")
+
 CATEGORIES = ["company", "type_name", "cpu_brand", "gpu_brand", "os"]
 MEASURES = ["ram", "weight", "touchscreen", "ips", "ppi", "hdd", "ssd"]
 _SQUARES = " + ".join(f"(a.{m} - b.{m}) * (a.{m} - b.{m})" for m in MEASURES)
@@ -375,6 +464,8 @@ _STATEMENTS = {
  JOIN wnorm a ON a.id = v.id AND a.movie_id = v.movie_id JOIN wnorm b ON b.id = q.id AND b.movie_id = q.movie_id
  WHERE NOT (v.id = s.seed_id AND v.movie_id = s.seed_movie_id) GROUP BY s.seed_title, v.id, v.movie_id)) t
  JOIN facets f USING (id, movie_id) WHERE rank <= 5""",
+    "q_stemmed_topk": "SELECT * FROM stemmed_answer",
+    "q_stem_vocab": "SELECT term, stem FROM doc_stems",
     "q_split": "SELECT unnamed_0, CAST(is_test AS INT) AS is_test FROM model_rows",
     "q_onehot": f"SELECT unnamed_0, {_encoded()} FROM model_rows",
     "q_ols_simple": """SELECT round(regr_slope(label, ppi), 9) AS slope, round(regr_intercept(label, ppi), 9) AS intercept,
