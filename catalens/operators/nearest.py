@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
+from catalens.operators.blocks import deal, meet, with_long
 from catalens.operators.joins import look_up
 from catalens.operators.sampling import shuffle_key
 from catalens.operators.similar import top_per
@@ -128,11 +128,8 @@ def nearest_mean(
             for rows in batches:
                 yield rows.assign(box=_leaf(rows[numeric].to_numpy(dtype=np.float64), nodes))
 
-        placed = materialize(df.mapInPandas(assign, schema=_with_long(df, "box")), f"boxed-{name}")
-        sizes = placed.groupBy("box").agg(F.ceil(F.count("*") / block_rows).alias("n_blocks"))
-        part = F.pmod(F.xxhash64("first"), F.col("n_blocks"))
-        # The size table has at most MAX_BOXES rows.
-        return placed.join(F.broadcast(sizes), "box").withColumn("block", F.col("box") * (1 << 32) + part)
+        placed = materialize(df.mapInPandas(assign, schema=with_long(df, "box")), f"boxed-{name}")
+        return deal(placed, "box", "first", block_rows)  # at most MAX_BOXES boxes
 
     right = boxed(trained, "train")
     sizes = F.size("members").alias("rows")
@@ -140,7 +137,7 @@ def nearest_mean(
         right.join(trained.select("first", sizes), "first")
         .groupBy("box")
         .agg(
-            F.sum("rows").alias("rows"), F.max("n_blocks").alias("n_blocks"),
+            F.sum("rows").alias("rows"),
             *[F.min(F.col(c).cast("double")).alias(f"{c}_lo") for c in numeric],
             *[F.max(F.col(c).cast("double")).alias(f"{c}_hi") for c in numeric],
         )
@@ -167,23 +164,13 @@ def nearest_mean(
             row, box = np.nonzero(nearest <= radius[:, None])
             yield rows.iloc[row].assign(visit=boxes[box])
 
-    left = boxed(asked, "queries").drop("n_blocks", "box")
-    left = left.mapInPandas(visits, schema=_with_long(left, "visit"))
-    blocks = right.select("box", "block").distinct()
-    left = left.join(
-        blocks.select(F.col("box").alias("visit"), F.col("block").alias("target")), "visit"
-    ).drop("visit")
-    left = materialize(left, "visits")
-    pairs = left.select("block", "target").distinct()
-    right = right.drop("n_blocks", "box").withColumnRenamed("block", "target").join(pairs, "target")
-    right = right.toDF(*right.columns)
-    found = (
-        left.groupBy("block", "target")
-        .cogroup(right.groupBy("block", "target"))
-        .applyInPandas(
-            lambda a, b: _nearest_of_block(a, b, numeric, categorical, reference, k),
-            "query long, near long, dist double",
-        )
+    left = boxed(asked, "queries").drop("box")
+    left = left.mapInPandas(visits, schema=with_long(left, "visit"))
+    blocks = right.select(F.col("box").alias("visit"), F.col("block").alias("target")).distinct()
+    left = materialize(left.join(blocks, "visit").drop("visit"), "visits")
+    found = meet(
+        left, right.drop("box"), lambda a, b: _nearest_of_block(a, b, numeric, categorical, reference, k),
+        "query long, near long, dist double",
     )
     best = top_per(found, ["query"], ["dist", "near"], k).drop("rank")
     opened = look_up(best, trained.select(F.col("first").alias("near"), "members"), ["near"], n).select(
@@ -192,7 +179,3 @@ def nearest_mean(
     answer = top_per(opened, ["query"], ["dist", "train_key"], k).groupBy("query").agg(F.avg("value").alias("prediction"))
     by_class = asked.select(*columns, F.col("first").alias("query")).join(answer, "query").drop("query")
     return look_up(queries.select(key, label, *columns), by_class, columns).select(key, label, "prediction")
-
-
-def _with_long(df: DataFrame, name: str) -> StructType:
-    return StructType([*df.schema.fields, StructField(name, LongType())])
