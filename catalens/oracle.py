@@ -353,7 +353,16 @@ _METRICS = """SELECT '{m}' AS model, count(*) AS n,
  round(1 - sum((label - prediction) * (label - prediction)) / sum((label - mu) * (label - mu)), 6) AS r2,
  round(avg(abs(label - prediction)), 6) AS mae FROM (SELECT label, {p} AS prediction, avg(label) OVER () AS mu FROM {s})"""
 
+_ALL_NEAR = """SELECT id, movie_id, near_id, near_movie_id, score, rank, '{kind}' AS facet FROM (SELECT *,
+ row_number() OVER (PARTITION BY id, movie_id ORDER BY score DESC, near_id, near_movie_id) AS rank FROM {kind}_all)
+ WHERE rank <= 5"""
+
 _STATEMENTS = {
+    "q_csv_laptops": "SELECT * FROM laptop_raw",
+    "q_csv_movies": "SELECT * FROM movies_raw",
+    "q_csv_credits": "SELECT * FROM credits_raw",
+    "q_table_store": "SELECT * FROM laptop_raw",
+    "q_neighbour_store": _ALL_NEAR.format(kind="genre"),
     "q_poster_enrich": f"""SELECT movie_id, id, title, coalesce('{IMAGE}' || poster_path, '{NO_IMAGE}') AS poster,
  '{PAGE}' || CAST(movie_id AS VARCHAR) || '-' || title AS link FROM movie_rows LEFT JOIN posters USING (movie_id)""",
     "q_shape": "SELECT count(*) AS n_rows, CAST(12 AS BIGINT) AS n_columns FROM laptop_raw",
@@ -451,12 +460,8 @@ _STATEMENTS = {
     "q_vocab_topn": "SELECT term, n FROM content_vocab",
     "q_vocab_genre": "SELECT term, n FROM genre_vocab",
     "q_term_counts": "SELECT id, movie_id, term, tf FROM content_v",
-    "q_similar_all": "SELECT id, movie_id, near_id, near_movie_id, score, rank, 'content' AS facet FROM (SELECT *, "
-    "row_number() OVER (PARTITION BY id, movie_id ORDER BY score DESC, near_id, near_movie_id) AS rank "
-    "FROM content_all) WHERE rank <= 5",
-    "q_genre_all": "SELECT id, movie_id, near_id, near_movie_id, score, rank, 'genre' AS facet FROM (SELECT *, "
-    "row_number() OVER (PARTITION BY id, movie_id ORDER BY score DESC, near_id, near_movie_id) AS rank "
-    "FROM genre_all) WHERE rank <= 5",
+    "q_similar_all": _ALL_NEAR.format(kind="content"),
+    "q_genre_all": _ALL_NEAR.format(kind="genre"),
     "q_tfidf_topk": """SELECT seed_title, 'content' AS facet, rank, t.id, t.movie_id, f.title, score FROM (
  SELECT *, row_number() OVER (PARTITION BY seed_title ORDER BY score DESC, id, movie_id) AS rank FROM (
  SELECT s.seed_title, v.id, v.movie_id, round(sum(v.w * q.w) / sqrt(any_value(a.n2) * any_value(b.n2)), 9) AS score

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +13,8 @@ from catalens.functions.stem import stem_text
 from catalens.functions.stopwords import load_stop_words
 from catalens.operators import charts, profile, vectors
 from catalens.plans import laptops, movies, price_models as models, recommend
+from catalens.session import shared_dir
+from catalens.sources import tables
 from catalens.sources.posters import with_posters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +57,57 @@ def _catalogue(spark, sf, *parts: str, **options) -> recommend.Catalogue:
     )
 
 
-# --- sources --------------------------------------------------------------------------------------------------------
+# --- sources and sinks ----------------------------------------------------------------------------------------------
+
+
+def _new_path(spark, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _through_csv(spark, df: DataFrame, schema: str) -> DataFrame:
+    path = _new_path(spark, "csv")
+    tables.write_csv(df, path)
+    return tables.read_csv(spark, path, schema)
+
+
+@query
+def q_csv_laptops(spark, sf):
+    return _through_csv(spark, _laptops(spark, sf), tables.LAPTOPS)
+
+
+@query
+def q_csv_movies(spark, sf):
+    """JSON columns with doubled quotes and texts with line breaks survive the CSV form."""
+    return _through_csv(spark, view(spark, sf, "movies_raw"), tables.MOVIES)
+
+
+@query
+def q_csv_credits(spark, sf):
+    return _through_csv(spark, view(spark, sf, "credits_raw"), tables.CREDITS)
+
+
+@query
+def q_table_store(spark, sf):
+    path = _new_path(spark, "table")
+    tables.write_table(_laptops(spark, sf), path)
+    return tables.read_table(spark, path)
+
+
+@query
+def q_neighbour_store(spark, sf):
+    """Genre neighbours stored as a table by facet, one facet read back."""
+    path = _new_path(spark, "neighbours")
+    tables.write_neighbours(recommend.nearest_all(_catalogue(spark, sf, "genre"), "genre"), path)
+    return tables.read_table(spark, path).where(F.col("facet") == "genre")
+
+
+@query
+def q_model_store(spark, sf):
+    """A stored pipeline, loaded again, gives the hold-out metrics."""
+    train, test = _sides(spark, sf)
+    path = _new_path(spark, "model")
+    tables.save_model(models.fit(models.tree(), models.fit_encoder(train), train), path)
+    return models.metrics(tables.load_model(path).transform(test), "stored_tree")
 
 
 @query
