@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,11 @@ def local_session(cores: int = 8, app: str = "catalens") -> SparkSession:
     )
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="catalens-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` as the session names it.
 
@@ -32,8 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        named = tempfile.mkdtemp(prefix="catalens-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _local_dir()
     return named.rstrip("/")
 
 
