@@ -19,8 +19,9 @@ from catalens.operators.sampling import shuffle_key
 from catalens.operators.similar import top_per
 from catalens.session import materialize
 
-# Distinct rows per block, rows in the driver's sample for the cuts, and the largest number of boxes.
+# Distinct rows per block, rows bounded at a time, rows in the driver's sample for the cuts, and the most boxes.
 BLOCK_ROWS = 2048
+SLICE_ROWS = 1024
 SAMPLE_ROWS = 50_000
 MAX_BOXES = 4096
 
@@ -89,11 +90,13 @@ def _nearest_of_block(left, right, numeric, categorical, reference, k) -> pd.Dat
 
 
 def _classes(df: DataFrame, key: str, columns: list[str], keep: int, value: str) -> DataFrame:
-    """One row per distinct feature row, with its ``keep`` smallest keys and their values as ``members``."""
+    """One row per distinct feature row: its ``keep`` smallest keys and their values as ``members``, their number ``rows``."""
     members = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))))
     kept = top_per(df.select(key, *columns, value), columns, [key], keep)
     classes = kept.groupBy(*columns).agg(members.alias("members"))
-    return materialize(classes.withColumn("first", F.get("members", 0)["key"]), "classes")
+    return materialize(
+        classes.withColumns({"first": F.get("members", 0)["key"], "rows": F.size("members")}), "classes"
+    )
 
 
 def nearest_mean(
@@ -132,10 +135,8 @@ def nearest_mean(
         return deal(placed, "box", "first", block_rows)  # at most MAX_BOXES boxes
 
     right = boxed(trained, "train")
-    sizes = F.size("members").alias("rows")
     bounds = (
-        right.join(trained.select("first", sizes), "first")
-        .groupBy("box")
+        right.groupBy("box")
         .agg(
             F.sum("rows").alias("rows"),
             *[F.min(F.col(c).cast("double")).alias(f"{c}_lo") for c in numeric],
@@ -151,25 +152,28 @@ def nearest_mean(
     slack = 2.0 * len(categorical)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            x = rows[numeric].to_numpy(dtype=np.float64)
-            nearest, farthest = np.zeros((len(x), len(boxes))), np.zeros((len(x), len(boxes)))
-            for j in range(x.shape[1]):
-                below, above = low[None, :, j] - x[:, None, j], x[:, None, j] - high[None, :, j]
-                nearest += np.maximum(np.maximum(below, above), 0.0) ** 2
-                farthest += np.maximum(-below, -above) ** 2
-            radius = np.full(len(x), np.inf)
-            if enough.any():
-                radius = (farthest[:, enough] + slack).min(axis=1) * (1 + 1e-9) + 1e-9
-            row, box = np.nonzero(nearest <= radius[:, None])
-            yield rows.iloc[row].assign(visit=boxes[box])
+        for batch in batches:
+            for at in range(0, len(batch), SLICE_ROWS):
+                rows = batch.iloc[at : at + SLICE_ROWS]
+                x = rows[numeric].to_numpy(dtype=np.float64)
+                nearest, farthest = np.zeros((len(x), len(boxes))), np.zeros((len(x), len(boxes)))
+                for j in range(x.shape[1]):
+                    below, above = low[None, :, j] - x[:, None, j], x[:, None, j] - high[None, :, j]
+                    nearest += np.maximum(np.maximum(below, above), 0.0) ** 2
+                    farthest += np.maximum(-below, -above) ** 2
+                radius = np.full(len(x), np.inf)
+                if enough.any():
+                    radius = (farthest[:, enough] + slack).min(axis=1) * (1 + 1e-9) + 1e-9
+                row, box = np.nonzero(nearest <= radius[:, None])
+                yield rows.iloc[row].assign(visit=boxes[box])
 
     left = boxed(asked, "queries").drop("box")
     left = left.mapInPandas(visits, schema=with_long(left, "visit"))
     blocks = right.select(F.col("box").alias("visit"), F.col("block").alias("target")).distinct()
-    left = materialize(left.join(blocks, "visit").drop("visit"), "visits")
     found = meet(
-        left, right.drop("box"), lambda a, b: _nearest_of_block(a, b, numeric, categorical, reference, k),
+        left.join(blocks, "visit").drop("visit"),
+        right.drop("box"),
+        lambda a, b: _nearest_of_block(a, b, numeric, categorical, reference, k),
         "query long, near long, dist double",
     )
     best = top_per(found, ["query"], ["dist", "near"], k).drop("rank")
