@@ -90,7 +90,7 @@ def _nearest_of_block(left, right, numeric, categorical, reference, k) -> pd.Dat
 
 
 def _classes(df: DataFrame, key: str, columns: list[str], keep: int, value: str) -> DataFrame:
-    """One row per distinct feature row: its ``keep`` smallest keys and their values as ``members``, their number ``rows``."""
+    """One row per distinct feature row: its ``keep`` smallest keys with values as ``members``, and their number."""
     members = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))))
     kept = top_per(df.select(key, *columns, value), columns, [key], keep)
     classes = kept.groupBy(*columns).agg(members.alias("members"))

@@ -46,14 +46,24 @@ def build(
 
 
 def seed_rows(titles: DataFrame, wanted: list[str]) -> DataFrame:
-    """First row of every wanted title as (seed_title, id, movie_id); a title that is not there gives no row."""
-    return movies.first_by_title(titles.where(F.col("title").isin(wanted))).withColumnRenamed("title", "seed_title")
+    """First row of every wanted title as (seed_title, id, movie_id), stored, as every facet reads it.
+
+    A title that is not there gives no row, and so an empty answer. Few titles are meant, as their rows are broadcast;
+    ``nearest_all`` and ``same_person_all`` answer for the whole catalogue.
+    """
+    if len(wanted) > similar.SEED_LIMIT:
+        raise ValueError(f"more than {similar.SEED_LIMIT} titles: use nearest_all and same_person_all")
+    found = movies.first_by_title(titles.where(F.col("title").isin(wanted)))
+    return materialize(found.withColumnRenamed("title", "seed_title"), "seeds")
 
 
 def nearest(catalogue: Catalogue, kind: str, wanted: list[str], k: int = TOP, digits: int | None = None) -> DataFrame:
     """Content or genre neighbours of the wanted titles, the seed row itself excluded by key."""
+    return _nearest(catalogue, kind, seed_rows(catalogue.titles, wanted), k, digits)
+
+
+def _nearest(catalogue: Catalogue, kind: str, seeds: DataFrame, k: int = TOP, digits: int | None = None) -> DataFrame:
     vecs = catalogue.content if kind == "content" else catalogue.genre
-    seeds = seed_rows(catalogue.titles, wanted)
     found = similar.similar_to(vecs, KEYS, seeds, "seed_title", k, digits)
     # At most k rows for each of at most SEED_LIMIT seeds are broadcast.
     return catalogue.titles.select(*KEYS, "title").join(F.broadcast(found), KEYS).select(
@@ -76,8 +86,11 @@ def same_person(
     catalogue: Catalogue, kind: str, wanted: list[str], k: int | None = TOP, salt: int = 0
 ) -> DataFrame:
     """Other titles with the seed's director, or with its first-billed actor among their first three."""
+    return _same_person(catalogue, kind, seed_rows(catalogue.titles, wanted), k, salt)
+
+
+def _same_person(catalogue: Catalogue, kind: str, seeds: DataFrame, k: int | None, salt: int) -> DataFrame:
     titles = catalogue.titles
-    seeds = seed_rows(titles, wanted)
     people = titles.join(F.broadcast(seeds), KEYS).select("seed_title", lead(kind).alias("person"))  # one row per title
     found = sampling.related_to(people.where("person IS NOT NULL"), members(titles, kind), KEYS, k, salt)
     if k is None:
@@ -103,9 +116,8 @@ def nearest_all(catalogue: Catalogue, kind: str, k: int = TOP) -> DataFrame:
 
 def recommend(catalogue: Catalogue, wanted: list[str], salt: int = 0) -> DataFrame:
     """All four facets of the wanted titles; a facet without matches is simply empty."""
-    parts = [nearest(catalogue, "content", wanted), nearest(catalogue, "genre", wanted)]
-    parts += [same_person(catalogue, kind, wanted, salt=salt) for kind in ("director", "actor")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    seeds = seed_rows(catalogue.titles, wanted)
+    out = _nearest(catalogue, "content", seeds).unionByName(_nearest(catalogue, "genre", seeds))
+    for kind in ("director", "actor"):
+        out = out.unionByName(_same_person(catalogue, kind, seeds, TOP, salt))
     return out

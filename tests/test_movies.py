@@ -1,3 +1,5 @@
+import pytest
+
 from catalens.plans import movies, recommend
 
 MOVIES = [
@@ -52,3 +54,9 @@ def test_missing_people_and_titles_give_empty_facets(spark):
     got = recommend.same_person(catalogue, "actor", ["One"]).collect()
     assert sorted((r["id"], r["movie_id"], r["title"]) for r in got) == [(2, 3, "Twin"), (3, 3, "Twin")]
     assert recommend.nearest(catalogue, "content", ["Nowhere"]).collect() == []
+
+
+def test_too_many_titles_are_refused(spark):
+    catalogue = recommend.build(*frames(spark), [], parts=())
+    with pytest.raises(ValueError):
+        recommend.same_person(catalogue, "actor", [str(i) for i in range(1001)])
