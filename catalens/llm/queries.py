@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, exact_dedup, token_counts
+from catalens.llm import byte_bpe, chat_trees, exact_dedup, language, token_counts, toxicity
+from catalens.llm.texts import fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -19,10 +21,37 @@ def _ranks() -> bytes:
         return file.read()
 
 
+def op2_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = f"{chat_trees.CLOSE}{chat_trees.OPEN}assistant ok"
+    own = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_trees.digests(chat_trees.format_trees(chat_trees.threads(rows)))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_read(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(3) == 1
+    labels = _read(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    machine = toxicity.train(docs, labels)
+    return toxicity.predict(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def language_model(docs: DataFrame):
+    """Fitted on the rows outside the held-out fold that have a language."""
+    return language.train(docs.filter(fold(3) != 1))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = language.predict(docs, language_model(docs))
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -32,9 +61,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), entries, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op9_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op2_chat_trees, op4_byte_bpe, op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts)}
 
 ORACLE = {
+    "op2_chat_trees": r"""
+        WITH raw AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL
+            SELECT -1, n, who, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, who)
+        ), d AS (
+            SELECT *, length(replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '<|', '\l'))
+                + length(replace(replace(text, '\', '\b'), '<|', '\l')) + 24 AS size FROM raw
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(size)::BIGINT AS formatted_chars
+        FROM d GROUP BY conv_id""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
