@@ -11,10 +11,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
 from catalens.llm.texts import by_rows, id_text
+from catalens.llm.words import slices
 
 #: Byte b is written as the character 256 + b: a letter, never white space and never a sentencepiece symbol.
 SHIFT = {b: 256 + b for b in range(256)}
@@ -22,6 +24,8 @@ SHIFT = {b: 256 + b for b in range(256)}
 MEMO = 400_000
 #: Longer pre-tokens are rare and not remembered.
 MEMO_CHARS = 64
+#: Characters of texts that are split before new pre-tokens are encoded together.
+TOGETHER = 1 << 19
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -92,22 +96,24 @@ class Codec:
             out[token] = (",".join(map(str, ids)), self.decode(ids))
         return out
 
-    def pieces(self, text: str) -> list[tuple[str, bytes]]:
-        """For each pre-token its ids, joined by commas, and the bytes that those ids decode to."""
-        tokens = self.split(text)
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        fresh = set(tokens) - self.memo.keys()
-        memo = self.memo
-        if fresh:
-            found = self._learn(list(fresh))
-            memo.update((t, x) for t, x in found.items() if len(t) <= MEMO_CHARS)
-            if any(len(t) > MEMO_CHARS for t in fresh):
-                memo = memo | found
-        return [memo[t] for t in tokens]
+    def pieces(self, texts: list[str]) -> Iterator[list[tuple[str, bytes]]]:
+        """For each pre-token of each text its ids, joined by commas, and the bytes that those ids decode to."""
+        for a, b in slices([len(t) for t in texts], TOGETHER):
+            split = [self.split(t) for t in texts[a:b]]
+            if len(self.memo) > MEMO:
+                self.memo = {}
+            memo = self.memo
+            fresh = {t for tokens in split for t in tokens if t not in memo}
+            if fresh:
+                found = self._learn(list(fresh))
+                memo.update((t, x) for t, x in found.items() if len(t) <= MEMO_CHARS)
+                if any(len(t) > MEMO_CHARS for t in fresh):
+                    memo = memo | found
+            for tokens in split:
+                yield [memo[t] for t in tokens]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.pieces(text) for i in ids.split(",")]
+        return [int(i) for ids, _ in next(self.pieces([text])) for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> bytes:
         entries = self.entries
@@ -151,8 +157,7 @@ def digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 
         def work(ids, texts):
             out = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for text in texts:
-                pieces = codec.pieces(text)
+            for pieces in codec.pieces(texts):
                 joined = ",".join([x[0] for x in pieces])
                 out["n_tokens"].append(joined.count(",") + 1 if joined else 0)
                 out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())

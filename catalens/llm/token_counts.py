@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, entries: list[bytes], pattern: str, mark: byte
                 if len(memo) > MEMO:
                     memo = {}
                 known = memo
-                for word in set(words) - memo.keys():
+                for word in {w for w in words if w not in memo}:
                     if len(word) > MEMO_CHARS and known is memo:
                         known = dict(memo)
                     known[word] = learn(word)
