@@ -87,7 +87,7 @@ def test_pairs_of_terms():
 
     kinds = [(a, b) for a in (0, 1) for b in (0, 1)] * 300
     texts, labels = [text(a, b) for a, b in kinds], np.array([a != b for a, b in kinds], int)
-    machine = toxicity.fit(texts, labels, epochs=40)
+    machine = toxicity.fit(toxicity.term_sets(texts), labels, epochs=40)
     fresh = [text(a, b) for a, b in kinds]
     assert np.mean((machine.score(fresh) >= 0.5) == labels) > 0.97
 
