@@ -12,6 +12,7 @@ Fitting takes a bounded sample of labelled rows (``MAX_SAMPLE``, picked by hash)
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ FACTORS = 8
 PREFIXES = (5, 7)
 LEVELS = (1, 2, 4)
 #: Labelled rows that are fitted at most; documented bound of the classifier's sample.
-MAX_SAMPLE = 16_000
+MAX_SAMPLE = 12_000
 #: Terms in fewer sampled texts than this have no weight.
 LEAST_TEXTS = 5
 SLICE = 1 << 20
@@ -85,7 +86,7 @@ class Proximal:
         self.value[at] = self.start[at] - pull / ((1 + np.sqrt(new)) / self.rate + self.l2)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, rate: float = 0.3, l1: float = 12.0, l1_pairs: float = 8.0,
+def fit(sets: list[np.ndarray], labels: np.ndarray, epochs: int = 10, rate: float = 0.3, l1: float = 12.0, l1_pairs: float = 8.0,
         l2: float = 0.1, seed: int = 1) -> Machine:
     """Logistic loss in small batches; terms without enough evidence keep zero weights, so chance words stay out.
 
@@ -93,13 +94,12 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, rate: float = 0.
     smoothed share of that class.
     """
     labels = np.asarray(labels, float)
-    parts = [(a, terms(texts[a:b])) for a, b in slices([len(t) for t in texts], SLICE)]
-    doc = np.concatenate([a + d for a, (d, _) in parts]) if parts else np.zeros(0, np.int64)
-    term = np.concatenate([t for _, (_, t) in parts]) if parts else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    at = np.concatenate([*sets, np.zeros(0, np.int32)])
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    bins, at, count = np.unique(term, return_inverse=True, return_counts=True)
-    often = count >= LEAST_TEXTS
-    bins, doc, at = bins[often], doc[often[at]], (np.cumsum(often) - 1)[at[often[at]]]
+    often = np.bincount(at, minlength=BINS) >= LEAST_TEXTS
+    bins, known = np.flatnonzero(often), often[at]
+    doc, at = doc[known], (np.cumsum(often, dtype=np.int32) - 1)[at[known]]
     bias = Proximal(np.array([np.log(share / (1 - share))]), rate, 0.0, 0.0)
     if not len(bins) or labels.min() == labels.max():
         return Machine(bins[:0], float(bias.value[0]), np.zeros(0), np.zeros((0, FACTORS)))
@@ -126,17 +126,33 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, rate: float = 0.
     return machine
 
 
+def term_sets(texts: list[str]) -> list[np.ndarray]:
+    out = []
+    for a, b in slices([len(t) for t in texts], SLICE):
+        doc, term = terms(texts[a:b])
+        out += np.split(term.astype(np.int32), np.searchsorted(doc, np.arange(1, b - a)))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Machine:
     """Fit on the texts of at most ``most`` rows of ``labels`` (doc_id, label 0 or 1), picked by a hash of the id.
 
-    Rows without id or label are left out. The sample has a fixed bound, so its ids are broadcast and its texts come to the
-    driver, in the order of that hash.
+    Rows without id or label are left out. The sample has a fixed bound, so its ids are broadcast, and the sets of hashed
+    terms of its texts come to the driver.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).filter(
         "doc_id IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "label").limit(most)
-    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text", "label"], ignore_index=True)
-    return fit(list(rows["text"]), rows["label"].to_numpy())
+
+    def hashed(batches):
+        for batch in batches:
+            sets = term_sets(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(1), "label": batch.column(2), "terms": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label").mapInArrow(
+        hashed, "doc_id long, label int, terms binary").toPandas()
+    rows = rows.sort_values(["doc_id", "label", "terms"], ignore_index=True)
+    return fit([np.frombuffer(x, np.int32) for x in rows["terms"]], rows["label"].to_numpy())
 
 
 def predict(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
