@@ -46,7 +46,7 @@ def shingles(texts: list[bytes], n_words: int = WORDS) -> Iterator[np.ndarray]:
         found = words(texts[a:b], NOT_SPACE)
         h, total = found.hash, len(found.hash)
         rolled = h.copy()
-        for k in range(1, n_words):
+        for k in range(1, min(n_words, total)):
             rolled[: total - k] = mix(rolled[: total - k] + _U(k)) + h[k:]
         first = np.searchsorted(found.doc, np.arange(b - a + 1))
         for d in range(b - a):

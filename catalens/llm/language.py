@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,6 +147,17 @@ def spans(texts: list[str], model, table: np.ndarray, penalty: float = SWITCH):
     return found, viterbi(score, start, size, penalty)
 
 
+def _shares(texts: list[str], model, table: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its language, its letters, and the letters of that language."""
+    best, total, most = (np.zeros(len(texts), np.int64) for _ in range(3))
+    for a, b in slices([len(t) for t in texts], SLICE * 4):
+        found, label = spans(texts[a:b], model, table, penalty)
+        letters = np.zeros((b - a, len(model[0])), np.int64)
+        np.add.at(letters, (found.word_doc, label), found.length)
+        best[a:b], total[a:b], most[a:b] = letters.argmax(1), letters.sum(1), letters.max(1)
+    return best, total, most
+
+
 def predict(docs: DataFrame, model, penalty: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score of every row. Null text or no letter: ``und`` and 0; likewise if nothing was learned.
 
@@ -158,17 +170,11 @@ def predict(docs: DataFrame, model, penalty: float = SWITCH) -> DataFrame:
         table, (langs, *_rest) = script_table(), sent.value
 
         def work(ids, texts):
-            best, share = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            some = np.zeros(len(texts), bool)
-            for a, b in slices([len(t) for t in texts], SLICE * 4) if langs else ():
-                found, label = spans(texts[a:b], sent.value, table, penalty)
-                letters = np.zeros((b - a, len(langs)))
-                np.add.at(letters, (found.word_doc, label), found.length)
-                total = letters.sum(1)
-                best[a:b], some[a:b] = letters.argmax(1), total > 0
-                share[a:b] = letters.max(1) / np.maximum(total, 1)
-            return {"doc_id": ids, "lang_pred": [langs[k] if s else NONE for k, s in zip(best, some, strict=True)],
-                    "score": share}
+            if not langs:
+                return {"doc_id": ids, "lang_pred": [NONE] * len(texts), "score": [0.0] * len(texts)}
+            best, total, most = _shares(texts, sent.value, table, penalty)
+            return {"doc_id": ids, "lang_pred": [langs[k] if n else NONE for k, n in zip(best, total, strict=True)],
+                    "score": most / np.maximum(total, 1)}
 
         return work
 
@@ -176,25 +182,24 @@ def predict(docs: DataFrame, model, penalty: float = SWITCH) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, model, least_share: float = 0.5, penalty: float = SWITCH) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language is known and has at least ``least_share`` of the letters."""
+    """The rows of ``docs``, with their columns, whose language is known and has at least ``least_share`` of the letters.
+
+    Texts without a letter, and null ones, go. If nothing was learned, every text with a letter stays.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
-        import pyarrow as pa
-
         table, (langs, *_rest) = script_table(), sent.value
         for batch in batches:
             for row in range(0, batch.num_rows, STEP_ROWS):
                 part = batch.slice(row, STEP_ROWS)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                keep = np.zeros(len(texts), bool)
-                for a, b in slices([len(t) for t in texts], SLICE * 4) if langs else ():
-                    found, label = spans(texts[a:b], sent.value, table, penalty)
-                    letters = np.zeros((b - a, len(langs)))
-                    np.add.at(letters, (found.word_doc, label), found.length)
-                    total = letters.sum(1)
-                    keep[a:b] = (total > 0) & (letters.max(1) >= least_share * total)
+                if langs:
+                    _, total, most = _shares(texts, sent.value, table, penalty)
+                    keep = (total > 0) & (most >= least_share * total)
+                else:
+                    keep = np.array([any(map(str.isalpha, t)) for t in texts], bool)
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
