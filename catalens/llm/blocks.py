@@ -84,53 +84,67 @@ def bucket_bits(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return min(20, max(4, int(total // bucket_bytes).bit_length()))
 
 
-def ask(
-    blocks: DataFrame, keys_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
-    answer: Callable[[np.ndarray], np.ndarray], bits: int,
-) -> DataFrame:
-    """Blocks with ``answers``: what ``answer`` says of every key, in the order of the block's keys.
-
-    ``keys_of(texts)`` gives sorted distinct 64-bit keys and a count (1 to 255) for each; ``answer`` turns the counts, summed
-    over all blocks that have the same leading ``bits`` + 32 bits, into bytes.
+def ask(blocks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], bits: int, label: str, key_bytes: int = 4) -> DataFrame:
+    """(bucket, block, keys, counts), stored: the questions of all blocks.
+
+    ``keys_of(block row)`` gives sorted distinct 64-bit keys and a count for each. The leading ``bits`` say the bucket; of the
+    rest, the next 32 bits go along, or with ``key_bytes`` 8 all of them.
     """
-    low = np.uint64(32 - bits)
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = keys_of(unpack(row["sizes"], row["data"]))
+                keys, counts = keys_of(row)
                 ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
                 out = {"bucket": [], "block": [], "keys": [], "counts": []}
                 for k in np.flatnonzero(np.diff(ends)):
-                    own = ((keys[ends[k] : ends[k + 1]] >> low) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    gaps = np.diff(own, prepend=np.uint32(0))
+                    own = keys[ends[k] : ends[k + 1]]
+                    if key_bytes == 4:
+                        own = ((own >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    gaps = np.diff(own, prepend=own.dtype.type(0))
                     out["bucket"].append(int(k))
                     out["block"].append(row["block"])
-                    out["keys"].append(squeeze(gaps.view(np.uint8).reshape(-1, 4).T))
-                    out["counts"].append(squeeze(counts[ends[k] : ends[k + 1]].astype(np.uint8)))
+                    out["keys"].append(squeeze(gaps.view(np.uint8).reshape(-1, key_bytes).T))
+                    out["counts"].append(squeeze(counts[ends[k] : ends[k + 1]]))
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array(out["block"], pa.int64()),
                     "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        lists = []
+    return materialize(blocks.mapInArrow(questions, "bucket int, block long, keys binary, counts binary"), label)
+
+
+class Bucket:
+    """The questions of all blocks in one bucket, merged: distinct keys and the sum of their counts."""
+
+    def __init__(self, part: pd.DataFrame, count_type, key_bytes: int = 4):
+        kind, lists = (np.uint32 if key_bytes == 4 else np.uint64), []
         for data in part["keys"]:
-            planes = expand(data, np.uint8).reshape(4, -1)
-            lists.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32)[:, 0], dtype=np.uint32))
-        keys, counts = np.concatenate(lists), np.concatenate([expand(c, np.uint8) for c in part["counts"]])
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-        total = np.add.reduceat(counts[order].astype(np.int64), first)
-        said = np.empty(len(keys), np.uint8)
-        said[order] = np.repeat(answer(total), np.diff(first, append=len(keys)))
-        cut = np.split(said, np.cumsum([len(x) for x in lists])[:-1])
-        return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "answer": [squeeze(x) for x in cut]})
-
-    asked = blocks.select("block", "sizes", "data").mapInArrow(questions, "bucket int, block long, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInPandas(meet, "block long, bucket int, answer binary")
+            planes = expand(data, np.uint8).reshape(key_bytes, -1)
+            lists.append(np.cumsum(np.ascontiguousarray(planes.T).view(kind)[:, 0], dtype=kind))
+        self.part, self.sizes = part, [len(x) for x in lists]
+        all_keys = np.concatenate(lists)
+        counts = np.concatenate([expand(c, count_type) for c in part["counts"]]).astype(np.int64)
+        self.order = np.argsort(all_keys, kind="stable")
+        ranked = all_keys[self.order]
+        self.first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        self.keys, self.total = ranked[self.first], np.add.reduceat(counts[self.order], self.first)
+
+    def answers(self, said: np.ndarray) -> pd.DataFrame:
+        """One answer per distinct key, as rows (block, bucket, answer) in the order in which the blocks asked."""
+        out = np.empty(len(self.order), said.dtype)
+        out[self.order] = np.repeat(said, np.diff(self.first, append=len(self.order)))
+        cut = np.split(out, np.cumsum(self.sizes)[:-1])
+        return pd.DataFrame({"block": self.part["block"], "bucket": self.part["bucket"], "answer": [squeeze(x) for x in cut]})
+
+
+ANSWER = "block long, bucket int, answer binary"
+
+
+def answered(blocks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
+    """Blocks with the answers to their questions, in order of bucket."""
     own = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("all"))
-    return blocks.join(own.select("block", F.col("all.answer").alias("answers")), "block", "left")
+    return blocks.join(own.select("block", F.col("all.answer").alias(name)), "block", "left")
 
 
-def answers_of(row: dict) -> np.ndarray:
-    return np.concatenate([expand(a, np.uint8) for a in row["answers"]]) if row["answers"] else np.zeros(0, np.uint8)
+def answers_of(row: dict, dtype=np.uint8, name: str = "answers") -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(expand(a, dtype) for a in row[name] or ())])

@@ -75,11 +75,7 @@ def _keys(texts: list[bytes], n_words: int) -> tuple[np.ndarray, np.ndarray]:
             seen.add(own)
             sets.append(s)
     keys, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, _U), return_counts=True)
-    return keys, np.minimum(counts, 255)
-
-
-def _log2(total: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(total)).astype(np.uint8)
+    return keys, np.minimum(counts, 255).astype(np.uint8)
 
 
 def prefix(n: int, percent: int) -> int:
@@ -236,7 +232,13 @@ def jaccard_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT
     component id unless no member has an id. Other columns are not read. No rows in, no rows out.
     """
     packed = B.pack(docs, "shingle-blocks", block_bytes)
-    asked = B.ask(packed, lambda texts: _keys(texts, n_words), _log2, B.bucket_bits(packed))
+    asked = B.ask(packed, lambda row: _keys(B.unpack(row["sizes"], row["data"]), n_words), B.bucket_bits(packed), "shingle-keys")
+
+    def how_often(part: pd.DataFrame) -> pd.DataFrame:
+        bucket = B.Bucket(part, np.uint8)
+        return bucket.answers(np.floor(np.log2(bucket.total)).astype(np.uint8))
+
+    asked = B.answered(packed, asked.groupBy("bucket").applyInPandas(how_often, B.ANSWER))
     sets = materialize(
         asked.mapInArrow(lambda x: _sets(x, n_words, percent), "doc_id long, set_id long, n long, shared binary"), "sets")
     near = materialize(sets.filter("shared IS NOT NULL").dropDuplicates(["set_id"]).select("set_id", "n", "shared"), "near-sets")

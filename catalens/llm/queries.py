@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, chat_trees, exact_dedup, jaccard, language, templates, token_counts, toxicity
+from catalens.llm import byte_bpe, chat_trees, context_tree, exact_dedup, jaccard, language, templates, token_counts, toxicity
 from catalens.llm.texts import fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op2_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_trees.digests(chat_trees.format_trees(chat_trees.threads(rows)))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(_read(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_read(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN)
 
@@ -70,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_trees, op4_byte_bpe, op5_decontamination, op6_jaccard_join, op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts)}
+    op2_chat_trees, op3_context_tree, op4_byte_bpe, op5_decontamination, op6_jaccard_join, op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts)}
 
 ORACLE = {
     "op2_chat_trees": r"""
