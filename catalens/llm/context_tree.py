@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm import blocks as B
+from catalens.llm.blocks import ANSWER, BLOCK_BYTES, Bucket, answered, answers_of, ask, bucket_bits, pack, unpack
 from catalens.llm.words import LOWER, NOT_SPACE, slices, words
 from catalens.session import materialize
 
-DEPTH = 5
+DEPTH = 6
 END = 255
 SLICE = 1 << 20
 _U = np.uint64
@@ -152,7 +152,7 @@ def _merged(known: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(row: dict):
-    texts, learn = B.unpack(row["sizes"], row["data"]), np.array([trains(i) for i in row["ids"]], bool)
+    texts, learn = unpack(row["sizes"], row["data"]), np.array([trains(i) for i in row["ids"]], bool)
     for a, b in slices([len(t) for t in texts], SLICE):
         yield a, texts[a:b], learn[a:b]
 
@@ -180,7 +180,7 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nda
     return out
 
 
-def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row.
 
     Learns from the rows of ``trains``. ``base_score`` is the add-one unigram score of words and one end; ``score`` the tree's
@@ -190,15 +190,15 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = B.BLOCK_BYTES)
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth is 2 to 7 bytes")
-    packed = B.pack(docs, "score-blocks", block_bytes)
-    bits = min(16, B.bucket_bits(packed))
+    packed = pack(docs, "score-blocks", block_bytes)
+    bits = min(16, bucket_bits(packed))
     spark = docs.sparkSession
 
-    def key_of_bucket(part: pd.DataFrame) -> tuple[B.Bucket, Tree]:
-        bucket = B.Bucket(part, np.int64, 8)
+    def key_of_bucket(part: pd.DataFrame) -> tuple[Bucket, Tree]:
+        bucket = Bucket(part, np.int64, 8)
         return bucket, Tree(bucket.keys, bucket.total, depth)
 
-    asked = B.ask(packed, lambda row: _sequence_keys(row, depth), bits, "sequences", 8)
+    asked = ask(packed, lambda row: _sequence_keys(row, depth), bits, "sequences", 8)
     above = asked.groupBy("bucket").applyInPandas(
         lambda part: key_of_bucket(part)[1].above(), "byte long, prefix long, mixed double, zeros long, ones long")
     top = spark.sparkContext.broadcast(_top(above.groupBy("byte", "prefix").agg(
@@ -209,26 +209,26 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = B.BLOCK_BYTES)
         return bucket.answers(tree.log10(top.value).astype(np.float32))
 
     def counted(part: pd.DataFrame) -> pd.DataFrame:
-        bucket = B.Bucket(part, np.int64, 8)
+        bucket = Bucket(part, np.int64, 8)
         sums = np.array([bucket.total.sum(), (bucket.total > 0).sum()], np.int64)  # tokens and distinct ones, as block -1
         return pd.concat([bucket.answers(bucket.total), pd.DataFrame(
             {"block": [-1], "bucket": [int(part["bucket"].iloc[0])], "answer": [sums.tobytes()]})])
 
-    of_words = materialize(B.ask(packed, _word_keys, bits, "word-keys", 8).groupBy("bucket").applyInPandas(
-        counted, B.ANSWER), "word-counts")
+    of_words = materialize(ask(packed, _word_keys, bits, "word-keys", 8).groupBy("bucket").applyInPandas(
+        counted, ANSWER), "word-counts")
     sums = [np.frombuffer(r["answer"], np.int64) for r in of_words.filter("block = -1").select("answer").collect()]
     ends = packed.select(F.explode("ids").alias("doc_id")).filter(
         F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2).count()
     n_train = int(sum(s[0] for s in sums)) + ends
     n_kinds = int(sum(s[1] for s in sums)) + (ends > 0)
-    ready = B.answered(packed, asked.groupBy("bucket").applyInPandas(predicted, B.ANSWER), "of_sequences")
-    ready = B.answered(ready, of_words.filter("block >= 0"), "of_words")
+    ready = answered(packed, asked.groupBy("bucket").applyInPandas(predicted, ANSWER), "of_sequences")
+    ready = answered(ready, of_words.filter("block >= 0"), "of_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, tree = _sequence_keys(row, depth)[0], B.answers_of(row, np.float32, "of_sequences")
-                kinds, count = _word_keys(row)[0], B.answers_of(row, np.int64, "of_words")
+                keys, tree = _sequence_keys(row, depth)[0], answers_of(row, np.float32, "of_sequences")
+                kinds, count = _word_keys(row)[0], answers_of(row, np.int64, "of_words")
                 n = len(row["ids"])
                 n_tokens, n_known, base, own = np.ones(n, np.int64), np.full(n, int(ends > 0)), np.zeros(n), np.zeros(n)
                 for a, texts, _ in _parts(row):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm import blocks as B
+from catalens.llm.blocks import ANSWER, BLOCK_BYTES, Bucket, answered, answers_of, ask, bucket_bits, pack, unpack
 from catalens.llm.groups import components, join_groups
 from catalens.llm.words import NOT_SPACE, mix, slices, words
 from catalens.session import materialize
@@ -88,9 +88,9 @@ def _sets(batches: Iterator[pa.RecordBatch], n_words: int, percent: int) -> Iter
     for batch in batches:
         for row in batch.to_pylist():
             out = {"doc_id": [], "set_id": [], "n": [], "shared": []}
-            texts = B.unpack(row["sizes"], row["data"])
+            texts = unpack(row["sizes"], row["data"])
             sets = list(shingles(texts, n_words))
-            keys, often = np.unique(np.concatenate(sets)), B.answers_of(row)
+            keys, often = np.unique(np.concatenate(sets)), answers_of(row)
             seen = set()
             for doc_id, s in zip(row["ids"], sets, strict=True):
                 own, n = set_id(s), len(s)
@@ -223,7 +223,7 @@ def links(near: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
         lambda part: _link_cell(part, percent), "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, block_bytes: int = B.BLOCK_BYTES,
+def jaccard_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES,
                    cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row.
 
@@ -231,14 +231,14 @@ def jaccard_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT
     no shingles and links with nothing. Repeated rows are answered alike. A null id takes part in links and is never a
     component id unless no member has an id. Other columns are not read. No rows in, no rows out.
     """
-    packed = B.pack(docs, "shingle-blocks", block_bytes)
-    asked = B.ask(packed, lambda row: _keys(B.unpack(row["sizes"], row["data"]), n_words), B.bucket_bits(packed), "shingle-keys")
+    packed = pack(docs, "shingle-blocks", block_bytes)
+    asked = ask(packed, lambda row: _keys(unpack(row["sizes"], row["data"]), n_words), bucket_bits(packed), "shingle-keys")
 
     def how_often(part: pd.DataFrame) -> pd.DataFrame:
-        bucket = B.Bucket(part, np.uint8)
+        bucket = Bucket(part, np.uint8)
         return bucket.answers(np.floor(np.log2(bucket.total)).astype(np.uint8))
 
-    asked = B.answered(packed, asked.groupBy("bucket").applyInPandas(how_often, B.ANSWER))
+    asked = answered(packed, asked.groupBy("bucket").applyInPandas(how_often, ANSWER))
     sets = materialize(
         asked.mapInArrow(lambda x: _sets(x, n_words, percent), "doc_id long, set_id long, n long, shared binary"), "sets")
     near = materialize(sets.filter("shared IS NOT NULL").dropDuplicates(["set_id"]).select("set_id", "n", "shared"), "near-sets")

@@ -160,12 +160,18 @@ def predict(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFr
 
     Whole texts are read; repeated rows score alike; null ids stay; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # at most MAX_SAMPLE texts' frequent terms
+    # Bounded: the frequent terms of at most MAX_SAMPLE texts.
+    sent = docs.sparkSession.sparkContext.broadcast((machine.bins, machine.bias, machine.weight, machine.factor))
 
-    def work(ids, texts):
-        score = np.zeros(len(texts))
-        for a, b in slices([len(t) for t in texts], SLICE):
-            score[a:b] = sent.value.score(texts[a:b])
-        return {"doc_id": ids, "score": score, "predicted": (score >= threshold).astype(np.int32)}
+    def start():
+        own = Machine(*sent.value)
 
-    return by_rows(id_text(docs), work, "doc_id long, score double, predicted int")
+        def work(ids, texts):
+            score = np.zeros(len(texts))
+            for a, b in slices([len(t) for t in texts], SLICE):
+                score[a:b] = own.score(texts[a:b])
+            return {"doc_id": ids, "score": score, "predicted": (score >= threshold).astype(np.int32)}
+
+        return work
+
+    return by_rows(id_text(docs), None, "doc_id long, score double, predicted int", start)
