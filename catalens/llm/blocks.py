@@ -84,8 +84,8 @@ def bucket_bits(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return min(20, max(4, int(total // bucket_bytes).bit_length()))
 
 
-def ask(blocks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], bits: int, label: str, key_bytes: int = 4) -> DataFrame:
-    """(bucket, block, keys, counts), stored: the questions of all blocks.
+def ask(blocks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], bits: int, key_bytes: int = 4) -> DataFrame:
+    """(bucket, block, keys, counts): the questions of all blocks; store them if they are put more than once.
 
     ``keys_of(block row)`` gives sorted distinct 64-bit keys and a count for each. The leading ``bits`` say the bucket; of the
     rest, the next 32 bits go along, or with ``key_bytes`` 8 all of them.
@@ -110,7 +110,7 @@ def ask(blocks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarra
                     "bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array(out["block"], pa.int64()),
                     "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
-    return materialize(blocks.mapInArrow(questions, "bucket int, block long, keys binary, counts binary"), label)
+    return blocks.mapInArrow(questions, "bucket int, block long, keys binary, counts binary")
 
 
 class Bucket:

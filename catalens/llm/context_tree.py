@@ -198,7 +198,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
         bucket = Bucket(part, np.int64, 8)
         return bucket, Tree(bucket.keys, bucket.total, depth)
 
-    asked = ask(packed, lambda row: _sequence_keys(row, depth), bits, "sequences", 8)
+    asked = materialize(ask(packed, lambda row: _sequence_keys(row, depth), bits, 8), "sequences")
     above = asked.groupBy("bucket").applyInPandas(
         lambda part: key_of_bucket(part)[1].above(), "byte long, prefix long, mixed double, zeros long, ones long")
     top = spark.sparkContext.broadcast(_top(above.groupBy("byte", "prefix").agg(
@@ -214,7 +214,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
         return pd.concat([bucket.answers(bucket.total), pd.DataFrame(
             {"block": [-1], "bucket": [int(part["bucket"].iloc[0])], "answer": [sums.tobytes()]})])
 
-    of_words = materialize(ask(packed, _word_keys, bits, "word-keys", 8).groupBy("bucket").applyInPandas(
+    of_words = materialize(ask(packed, _word_keys, bits, 8).groupBy("bucket").applyInPandas(
         counted, ANSWER), "word-counts")
     sums = [np.frombuffer(r["answer"], np.int64) for r in of_words.filter("block = -1").select("answer").collect()]
     ends = packed.select(F.explode("ids").alias("doc_id")).filter(

@@ -232,7 +232,7 @@ def jaccard_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT
     component id unless no member has an id. Other columns are not read. No rows in, no rows out.
     """
     packed = pack(docs, "shingle-blocks", block_bytes)
-    asked = ask(packed, lambda row: _keys(unpack(row["sizes"], row["data"]), n_words), bucket_bits(packed), "shingle-keys")
+    asked = ask(packed, lambda row: _keys(unpack(row["sizes"], row["data"]), n_words), bucket_bits(packed))
 
     def how_often(part: pd.DataFrame) -> pd.DataFrame:
         bucket = Bucket(part, np.uint8)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, chat_trees, context_tree, exact_dedup, jaccard, language, templates, token_counts, toxicity
+from catalens.llm import byte_bpe, chat_trees, context_tree, exact_dedup, jaccard, language, suffix_dedup, templates, token_counts, toxicity
 from catalens.llm.texts import fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def _ranks() -> bytes:
         return file.read()
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op2_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{chat_trees.CLOSE}{chat_trees.OPEN}assistant ok"
     own = spark.createDataFrame(
@@ -74,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_trees, op3_context_tree, op4_byte_bpe, op5_decontamination, op6_jaccard_join, op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts)}
+    op1_suffix_dedup, op2_chat_trees, op3_context_tree, op4_byte_bpe, op5_decontamination, op6_jaccard_join, op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts)}
 
 ORACLE = {
     "op2_chat_trees": r"""
