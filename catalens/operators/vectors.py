@@ -1,9 +1,4 @@
-"""Bag-of-words document vectors in sparse form.
-
-Pass documents already spread by key (``df.repartition(*keys)``) to move each text once: tokens and counts then stay
-inside the partition, since hash partitioning on the key also satisfies grouping by (key, term). Other inputs work too;
-their counts are combined per task before they are shuffled.
-"""
+"""Bag-of-words document vectors in sparse form. Term counts are combined per task before they are shuffled."""
 
 from __future__ import annotations
 
@@ -38,7 +33,7 @@ def vocabulary(counts: DataFrame, n_terms: int) -> DataFrame:
 def numbered_vocabulary(counts: DataFrame, n_terms: int) -> DataFrame:
     """(term, n, term_no), numbered in rank order.
 
-    The window over one partition numbers the vocabulary, which holds at most ``n_terms`` rows.
+    The vocabulary, at most ``n_terms`` rows, is numbered as one sorted array.
     """
     top = vocabulary(counts, n_terms).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "term"))).alias("a")

@@ -124,22 +124,26 @@ PARTS["acted"] = "SELECT DISTINCT unnest(actors) AS person, id, movie_id, title
 for _kind_name, _table, _lead in (("director", "directed", "seed_director[1]"), ("actor", "acted", "seed_actors[1]")):
     PARTS[f"{_kind_name}_matches"] = f"""SELECT seed_title, id, movie_id, title FROM seeds JOIN {_table}
  ON person = {_lead} WHERE title <> seed_title"""
-    PARTS[f"{_kind_name}_answer"] = f"""SELECT seed_title, '{_kind_name}' AS facet,
- row_number() OVER (PARTITION BY seed_title ORDER BY md5(concat_ws('|', seed_title, CAST(id AS VARCHAR),
- CAST(movie_id AS VARCHAR), '0')), id, movie_id) AS rank, id, movie_id, title, CAST(NULL AS DOUBLE) AS score
- FROM {_kind_name}_matches QUALIFY rank <= 5"""
     _who = "director[1]" if _kind_name == "director" else "actors[1]"
     PARTS[f"{_kind_name}_ring"] = f"""SELECT person, id, movie_id, title, row_number() OVER (PARTITION BY person ORDER BY
  md5(title || '|0'), title, md5(concat_ws('|', CAST(id AS VARCHAR), CAST(movie_id AS VARCHAR), '0')), id, movie_id) - 1
  AS pos, count(*) OVER (PARTITION BY person) AS total FROM {_table}"""
-    PARTS[f"{_kind_name}_sample"] = f"""SELECT w.seed_id, w.seed_movie_id, j + 1 AS rank, r.id, r.movie_id, r.title FROM (
- SELECT s.id AS seed_id, s.movie_id AS seed_movie_id, b.person, low, same, total,
- CAST('0x' || substr(md5(concat_ws('|', CAST(s.id AS VARCHAR), CAST(s.movie_id AS VARCHAR), '0')), 1, 7) AS BIGINT)
- % (total - same) AS start, unnest(range(0, least(5, total - same))) AS j
- FROM facets s JOIN (SELECT person, title, min(pos) AS low, count(*) AS same, max(total) AS total
- FROM {_kind_name}_ring GROUP BY ALL) b ON b.person = s.{_who} AND b.title = s.title WHERE total > same) w
- JOIN {_kind_name}_ring r ON r.person = w.person
- AND r.pos = (w.low + w.same + (w.start + w.j) % (w.total - w.same)) % w.total"""
+    PARTS[f"{_kind_name}_places"] = f"""SELECT s.id AS seed_id, s.movie_id AS seed_movie_id, b.person, low, same, total,
+ total - same AS n FROM facets s JOIN (SELECT person, title, min(pos) AS low, count(*) AS same, max(total) AS total
+ FROM {_kind_name}_ring GROUP BY ALL) b ON b.person = s.{_who} AND b.title = s.title WHERE total > same"""
+    # Five draws without repetition: number d is drawn from 0 to j = n - m + d, and is j itself if taken already.
+    _draws = f"SELECT *, least(5, n) AS m, []::BIGINT[] AS taken0 FROM {_kind_name}_places"
+    for _d in range(5):
+        _j = f"(n - m + {_d})"
+        _draws = f"""SELECT *, CASE WHEN {_d} >= m THEN taken{_d} WHEN list_contains(taken{_d}, t{_d})
+ THEN list_append(taken{_d}, {_j}) ELSE list_append(taken{_d}, t{_d}) END AS taken{_d + 1} FROM (SELECT *, CAST('0x' ||
+ substr(md5(concat_ws('|', CAST(seed_id AS VARCHAR), CAST(seed_movie_id AS VARCHAR), '0', CAST({_j} AS VARCHAR))), 1, 15)
+ AS BIGINT) % ({_j} + 1) AS t{_d} FROM ({_draws}))"""
+    PARTS[f"{_kind_name}_sample"] = f"""SELECT w.seed_id, w.seed_movie_id, CAST(w.rank AS INT) AS rank, r.id, r.movie_id, r.title
+ FROM (SELECT *, unnest(taken5) AS at, generate_subscripts(taken5, 1) AS rank FROM ({_draws})) w
+ JOIN {_kind_name}_ring r ON r.person = w.person AND r.pos = (w.low + w.same + w.at) % w.total"""
+    PARTS[f"{_kind_name}_answer"] = f"""SELECT seed_title, '{_kind_name}' AS facet, rank, t.id, t.movie_id, t.title,
+ CAST(NULL AS DOUBLE) AS score FROM {_kind_name}_sample t JOIN seeds USING (seed_id, seed_movie_id)"""
 
 # --- stemming, step by step over the distinct words: w is the word so far, s its consonant/vowel letters -------------
 
@@ -423,10 +427,17 @@ _STATEMENTS = {
     "q_sample_per_seed_actor": "SELECT * FROM actor_sample",
     "q_content_topk": "SELECT * FROM content_answer",
     "q_genre_topk": "SELECT * FROM genre_answer",
+    "q_topk_many_seeds": """SELECT seed_title, 'content' AS facet, rank, t.id, t.movie_id, f.title, score FROM (
+ SELECT s.title AS seed_title, near_id AS id, near_movie_id AS movie_id, score, row_number() OVER (PARTITION BY s.title
+ ORDER BY score DESC, near_id, near_movie_id) AS rank FROM content_all a JOIN (SELECT title, id, movie_id FROM facets
+ QUALIFY row_number() OVER (PARTITION BY title ORDER BY id, movie_id) = 1) s USING (id, movie_id)) t
+ JOIN facets f USING (id, movie_id) WHERE rank <= 5""",
+    "q_sample_two_ways": """SELECT kind AS facet, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM (SELECT
+ 'director' AS kind FROM director_answer UNION ALL SELECT 'actor' FROM actor_answer) GROUP BY kind""",
     "q_recommend_all": "SELECT * FROM content_answer UNION ALL SELECT * FROM genre_answer UNION ALL "
     "SELECT * FROM director_answer UNION ALL SELECT * FROM actor_answer",
     "q_recommend_links": f"""SELECT a.*, coalesce('{IMAGE}' || poster_path, '{NO_IMAGE}') AS poster,
- '{PAGE}' || CAST(movie_id AS VARCHAR) || '-' || title AS link FROM (SELECT * FROM genre_answer UNION ALL
+ '{PAGE}' || CAST(movie_id AS VARCHAR) || '-' || title AS link FROM (SELECT * FROM content_answer UNION ALL SELECT * FROM genre_answer UNION ALL
  SELECT * FROM director_answer UNION ALL SELECT * FROM actor_answer) a LEFT JOIN posters USING (movie_id)""",
     "q_strip_units": "SELECT unnamed_0, replace(ram, 'GB', '') AS ram, replace(weight, 'kg', '') AS weight, "
     "replace(replace(memory, 'GB', ''), 'TB', '000') AS memory FROM laptop_raw",

@@ -34,39 +34,36 @@ def build(
     raw_movies: DataFrame, raw_credits: DataFrame, stop_words: list[str], parts=("content", "genre"),
     stem: bool = False, tfidf: bool = False,
 ) -> Catalogue:
-    # Spread by key once: parsing, stemming and counting the terms of a row then need no further shuffle.
-    rows = movies.facets(movies.merged(raw_movies, raw_credits).repartition(*KEYS))
-    titles = materialize(rows.select(*KEYS, "title", "cast", "director", "genres"), "titles")
+    # One join, stored: every facet and every text is read from it.
+    rows = materialize(movies.facets(movies.merged(raw_movies, raw_credits)), "titles")
+    titles = rows.select(*KEYS, "title", "cast", "director", "genres")
     content = genre = None
     if "content" in parts:
         content = vectors.document_vectors(movies.tags(rows, stem), KEYS, "tags", stop_words, CONTENT_TERMS, tfidf)
     if "genre" in parts:
-        genre = vectors.document_vectors(movies.genre_texts(titles), KEYS, "tags", stop_words, GENRE_TERMS)
+        genre = vectors.document_vectors(movies.genre_texts(rows), KEYS, "tags", stop_words, GENRE_TERMS)
     return Catalogue(titles, content, genre)
 
 
 def seed_rows(titles: DataFrame, wanted: list[str]) -> DataFrame:
     """First row of every wanted title as (seed_title, id, movie_id), stored, as every facet reads it.
 
-    A title that is not there gives no row, and so an empty answer. Few titles are meant, as their rows are broadcast;
-    ``nearest_all`` and ``same_person_all`` answer for the whole catalogue.
+    A title that is not there gives no row, and so an empty answer. Any number of titles may be wanted.
     """
-    if len(wanted) > similar.SEED_LIMIT:
-        raise ValueError(f"more than {similar.SEED_LIMIT} titles: use nearest_all and same_person_all")
     found = movies.first_by_title(titles.where(F.col("title").isin(wanted)))
     return materialize(found.withColumnRenamed("title", "seed_title"), "seeds")
 
 
 def nearest(catalogue: Catalogue, kind: str, wanted: list[str], k: int = TOP, digits: int | None = None) -> DataFrame:
     """Content or genre neighbours of the wanted titles, the seed row itself excluded by key."""
-    return _nearest(catalogue, kind, seed_rows(catalogue.titles, wanted), k, digits)
+    return nearest_to(catalogue, kind, seed_rows(catalogue.titles, wanted), k, digits)
 
 
-def _nearest(catalogue: Catalogue, kind: str, seeds: DataFrame, k: int = TOP, digits: int | None = None) -> DataFrame:
+def nearest_to(catalogue: Catalogue, kind: str, seeds: DataFrame, k: int = TOP, digits: int | None = None) -> DataFrame:
+    """The same for any table of seeds (seed_title, id, movie_id)."""
     vecs = catalogue.content if kind == "content" else catalogue.genre
     found = similar.similar_to(vecs, KEYS, seeds, "seed_title", k, digits)
-    # At most k rows for each of at most SEED_LIMIT seeds are broadcast.
-    return catalogue.titles.select(*KEYS, "title").join(F.broadcast(found), KEYS).select(
+    return catalogue.titles.select(*KEYS, "title").join(found, KEYS).select(
         "seed_title", F.lit(kind).alias("facet"), "rank", *KEYS, "title", "score"
     )
 
@@ -85,17 +82,24 @@ def lead(kind: str):
 def same_person(
     catalogue: Catalogue, kind: str, wanted: list[str], k: int | None = TOP, salt: int = 0
 ) -> DataFrame:
-    """Other titles with the seed's director, or with its first-billed actor among their first three."""
+    """Other titles with the seed's director, or with its first-billed actor among their first three.
+
+    ``k`` of them at random, the same that ``same_person_all`` gives for the seed's row; all of them if ``k`` is None.
+    """
     return _same_person(catalogue, kind, seed_rows(catalogue.titles, wanted), k, salt)
 
 
 def _same_person(catalogue: Catalogue, kind: str, seeds: DataFrame, k: int | None, salt: int) -> DataFrame:
     titles = catalogue.titles
-    people = titles.join(F.broadcast(seeds), KEYS).select("seed_title", lead(kind).alias("person"))  # one row per title
-    found = sampling.related_to(people.where("person IS NOT NULL"), members(titles, kind), KEYS, k, salt)
+    people = titles.join(seeds, KEYS).select("seed_title", *KEYS, lead(kind).alias("person")).where("person IS NOT NULL")
+    every = members(titles, kind)
     if k is None:
-        return found
-    return found.select(
+        return sampling.related_to(people.select("seed_title", "person"), every, KEYS)
+    own = people.select(*[F.col(c).alias(f"seed_{c}") for c in KEYS], F.col("seed_title").alias("title"), "person")
+    # The ring of a person does not depend on other persons, so those that no seed asks for are left out.
+    found = sampling.related_to_all(own, every.join(own.select("person").distinct(), "person", "left_semi"), KEYS, k, salt)
+    names = seeds.select("seed_title", *[F.col(c).alias(f"seed_{c}") for c in KEYS])
+    return found.join(names, [f"seed_{c}" for c in KEYS]).select(
         "seed_title", F.lit(kind).alias("facet"), "rank", *KEYS, "title", F.lit(None).cast("double").alias("score")
     )
 
@@ -117,7 +121,7 @@ def nearest_all(catalogue: Catalogue, kind: str, k: int = TOP) -> DataFrame:
 def recommend(catalogue: Catalogue, wanted: list[str], salt: int = 0) -> DataFrame:
     """All four facets of the wanted titles; a facet without matches is simply empty."""
     seeds = seed_rows(catalogue.titles, wanted)
-    out = _nearest(catalogue, "content", seeds).unionByName(_nearest(catalogue, "genre", seeds))
+    out = nearest_to(catalogue, "content", seeds).unionByName(nearest_to(catalogue, "genre", seeds))
     for kind in ("director", "actor"):
         out = out.unionByName(_same_person(catalogue, kind, seeds, TOP, salt))
     return out

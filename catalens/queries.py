@@ -47,10 +47,6 @@ def _facets(spark, sf) -> DataFrame:
     return movies.facets(_rows(spark, sf))
 
 
-def _spread_facets(spark, sf) -> DataFrame:
-    return movies.facets(_rows(spark, sf).repartition(*KEYS))
-
-
 def _catalogue(spark, sf, *parts: str, **options) -> recommend.Catalogue:
     return recommend.build(
         view(spark, sf, "movies_raw"), view(spark, sf, "credits_raw"), load_stop_words(), parts, **options
@@ -325,6 +321,31 @@ def q_content_topk(spark, sf):
     return recommend.nearest(_catalogue(spark, sf, "content"), "content", SEED_TITLES)
 
 
+@query
+def q_topk_many_seeds(spark, sf):
+    """Every title of the catalogue is asked for at once."""
+    catalogue = _catalogue(spark, sf, "content")
+    wanted = movies.first_by_title(catalogue.titles).withColumnRenamed("title", "seed_title")
+    return recommend.nearest_to(catalogue, "content", wanted)
+
+
+@query
+def q_sample_two_ways(spark, sf):
+    """The random choice for a few titles against the one for all rows: how many rows differ."""
+    catalogue = _catalogue(spark, sf)
+    out = None
+    for kind in ("director", "actor"):
+        few = recommend.same_person(catalogue, kind, SEED_TITLES).select("seed_title", "rank", *KEYS)
+        seeds = recommend.seed_rows(catalogue.titles, SEED_TITLES).select("seed_title", *[F.col(c).alias(f"seed_{c}") for c in KEYS])
+        every = recommend.same_person_all(catalogue, kind).join(seeds, [f"seed_{c}" for c in KEYS])
+        both = few.withColumn("few", F.lit(1)).join(
+            every.select("seed_title", "rank", *KEYS, F.lit(1).alias("every")), ["seed_title", "rank", *KEYS], "full")
+        part = both.agg(F.count("few").alias("n_rows"), F.count_if(F.expr("few IS NULL OR every IS NULL")).alias("n_different"))
+        part = part.select(F.lit(kind).alias("facet"), "n_rows", "n_different")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def q_genre_topk(spark, sf):
     return recommend.nearest(_catalogue(spark, sf, "genre"), "genre", SEED_TITLES)
@@ -337,13 +358,8 @@ def q_recommend_all(spark, sf):
 
 @query
 def q_recommend_links(spark, sf):
-    """Genre, director and actor answers with poster and link."""
-    catalogue = _catalogue(spark, sf, "genre")
-    answer = (
-        recommend.nearest(catalogue, "genre", SEED_TITLES)
-        .unionByName(recommend.same_person(catalogue, "director", SEED_TITLES))
-        .unionByName(recommend.same_person(catalogue, "actor", SEED_TITLES))
-    )
+    """All four facets with poster and link."""
+    answer = recommend.recommend(_catalogue(spark, sf, "content", "genre"), SEED_TITLES)
     return with_posters(answer, view(spark, sf, "posters"), bounded=True)
 
 
@@ -509,7 +525,7 @@ def q_stopwords(spark, sf):
 
 @query
 def q_vocab_topn(spark, sf):
-    counts = vectors.term_counts(movies.tags(_spread_facets(spark, sf)), KEYS, "tags", load_stop_words())
+    counts = vectors.term_counts(movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words())
     return vectors.vocabulary(counts, recommend.CONTENT_TERMS)
 
 
@@ -522,7 +538,7 @@ def q_vocab_genre(spark, sf):
 @query
 def q_term_counts(spark, sf):
     return vectors.vocabulary_counts(
-        movies.tags(_spread_facets(spark, sf)), KEYS, "tags", load_stop_words(), recommend.CONTENT_TERMS
+        movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words(), recommend.CONTENT_TERMS
     ).select(*KEYS, "term", "tf")
 
 

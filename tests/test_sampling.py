@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalens.operators.positions import positions
-from catalens.operators.sampling import related_to, related_to_all
+from catalens.operators.sampling import drawn, related_to, related_to_all
 
 # One person in most rows, one title in most of theirs.
 ROWS = (
@@ -63,12 +63,24 @@ def test_all_seeds_do_not_depend_on_partitions(spark):
     assert runs[0] == runs[1]
 
 
-def test_few_seeds(spark):
+def test_every_match(spark):
     seeds = spark.createDataFrame([("Same", "hot"), ("A", "pair"), ("Only", "alone")], "seed_title string, person string")
-    every = related_to(seeds, members(spark, 3), ["id"], None).collect()
-    assert len([r for r in every if r["seed_title"] == "Same"]) == 80
-    some = related_to(seeds, members(spark, 3), ["id"], 5).collect()
+    every = related_to(seeds, members(spark, 3), ["id"]).collect()
     count = defaultdict(int)
-    for r in some:
+    for r in every:
         count[r["seed_title"]] += 1
-    assert count == {"Same": 5, "A": 1}
+    assert count == {"Same": 80, "A": 1}
+
+
+def test_few_seeds_get_what_all_seeds_get(spark):
+    m = members(spark, 3)
+    seeds = m.select(F.col("id").alias("seed_id"), "title", "person")
+    every = {tuple(r) for r in related_to_all(seeds, m, ["id"], 5).select("seed_id", "rank", "id").collect()}
+    few = related_to_all(seeds.where("seed_id IN (7, 200)"), m, ["id"], 5).select("seed_id", "rank", "id").collect()
+    assert {tuple(r) for r in few} == {x for x in every if x[0] in (7, 200)}
+
+
+def test_every_set_is_equally_likely(spark):
+    got = spark.range(6000).select(F.sort_array(drawn(F.lit(5).cast("long"), 2, 1, "id")).alias("s")).groupBy("s").count().collect()
+    assert len(got) == 10 and all(abs(r["count"] - 600) < 120 for r in got)
+    assert [list(r[0]) for r in spark.range(3).select(F.sort_array(drawn(F.lit(3).cast("long"), 5, 0, "id"))).collect()] == [[0, 1, 2]] * 3

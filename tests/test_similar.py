@@ -66,11 +66,19 @@ def test_few_seeds_equal_brute_force(spark, docs):
     assert got == {f"s{a}-{b}": brute_top(vecs, (a, b), 4) for a, b in keys}
 
 
-def test_too_many_seeds_are_refused(spark, docs):
-    made = vectors.document_vectors(frame(spark, docs), ["a", "b"], "text", [], 8)
-    seeds = spark.range(similar.SEED_LIMIT + 1).select(F.col("id").cast("string").alias("name"), F.col("id").alias("a"), F.col("id").alias("b"))
-    with pytest.raises(ValueError):
-        similar.similar_to(made, ["a", "b"], seeds, "name")
+def test_every_document_as_seed(spark, docs, monkeypatch):
+    """Seeds in several blocks give what each gets alone."""
+    vecs = brute_vectors(docs, 8)
+    made = vectors.document_vectors(frame(spark, docs), ["a", "b"], "text", ["the", "of"], 8)
+    seeds = made.select(F.concat_ws("-", "a", "b").alias("name"), "a", "b")
+    expected = {f"{a}-{b}": top for a, b in vecs if (top := brute_top(vecs, (a, b), 5))}
+    for block in (1000, 7):
+        monkeypatch.setattr(similar, "SEED_BLOCK", block)
+        monkeypatch.setattr(similar, "MAX_BLOCK_ROWS", 20)
+        got = {}
+        for r in similar.similar_to(made, ["a", "b"], seeds, "name").orderBy("name", "rank").collect():
+            got.setdefault(r["name"], []).append(((r["a"], r["b"]), r["score"]))
+        assert got == expected
 
 
 def test_many_classes_are_joined_by_salt(spark, docs, monkeypatch):
