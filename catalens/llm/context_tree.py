@@ -136,48 +136,55 @@ def _top(rows: pd.DataFrame) -> dict:
     return out
 
 
-def _counted(keys: np.ndarray, train: np.ndarray, known: list) -> None:
-    """Distinct keys and how many of them are in training, added to ``known``."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    known.append((ranked[first], np.add.reduceat(train[order].astype(np.int64), first) if len(keys) else first))
+class Slice:
+    """Keys of a slice of texts: the distinct ones, and the texts of all of them in that order."""
 
+    def __init__(self, doc: np.ndarray, key: np.ndarray):
+        order = np.argsort(key)
+        ranked = key[order]
+        new = np.ones(len(key), bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+        self.first = np.flatnonzero(new)
+        self.keys, self.doc = ranked[self.first], doc[order].astype(np.int32)
 
-def _merged(known: list) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.zeros(0, _U), *(k for k, _ in known)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in known)])
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+    def trained(self, learn: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(learn[self.doc].astype(np.int64), self.first) if len(self.first) else self.first
 
+    def spread(self, value: np.ndarray) -> np.ndarray:
+        """One value per distinct key, repeated for every occurrence."""
+        return np.repeat(value, np.diff(self.first, append=len(self.doc)))
 
-def _parts(row: dict):
+
+def _slices(row: dict, keys_of) -> list[tuple[int, np.ndarray, Slice]]:
+    """(first text, whether each text trains, keys) of a block's slices; ``keys_of(texts)`` gives (text, key) pairs."""
     texts, learn = unpack(row["sizes"], row["data"]), np.array([trains(i) for i in row["ids"]], bool)
-    for a, b in slices([len(t) for t in texts], SLICE):
-        yield a, texts[a:b], learn[a:b]
+    return [(a, learn[a:b], Slice(*keys_of(texts[a:b]))) for a, b in slices([len(t) for t in texts], SLICE)]
 
 
-def _sequence_keys(row: dict, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    known = []
-    for _, texts, learn in _parts(row):
-        doc, key = sequences(texts, depth)
-        _counted(key, learn[doc], known)
-    return _merged(known)
+def _distinct(parts) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, _U), *(part.keys for _, _, part in parts)]))
 
 
-def _word_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    known = []
-    for _, texts, learn in _parts(row):
-        found = words(texts, NOT_SPACE)
-        _counted(found.hash, learn[found.doc], known)
-    return _merged(known)
+def _asked(row: dict, keys_of) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a block and how often they come in training."""
+    parts = _slices(row, keys_of)
+    keys = _distinct(parts)
+    counts = np.zeros(len(keys), np.int64)
+    for _, learn, part in parts:
+        counts[np.searchsorted(keys, part.keys)] += part.trained(learn)
+    return keys, counts
 
 
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    order = np.argsort(wanted)
-    out = np.empty(len(wanted), values.dtype)
-    out[order] = values[np.searchsorted(keys, wanted[order])]
-    return out
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    found = words(texts, NOT_SPACE)
+    return found.doc, found.hash
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pd.DataFrame, Bucket]]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            part = pd.DataFrame(row["all"]).assign(bucket=row["bucket"])
+            yield part, Bucket(part, np.int64, 8)
 
 
 def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -194,19 +201,25 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     bits = min(16, bucket_bits(packed))
     spark = docs.sparkSession
 
-    def key_of_bucket(part: pd.DataFrame) -> tuple[Bucket, Tree]:
-        bucket = Bucket(part, np.int64, 8)
-        return bucket, Tree(bucket.keys, bucket.total, depth)
+    def sequence_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return sequences(texts, depth)
+
+    # Each bucket is one row, of a size that ``bucket_bits`` bounds; both rounds then read it without a shuffle.
+    asked = ask(packed, lambda row: _asked(row, sequence_keys), bits, 8)
+    asked = materialize(asked.groupBy("bucket").agg(F.collect_list(F.struct("block", "keys", "counts")).alias("all")), "sequences")
+
+    def above(batches):
+        for _, bucket in _buckets(batches):
+            yield pa.RecordBatch.from_pandas(Tree(bucket.keys, bucket.total, depth).above(), preserve_index=False)
 
-    asked = materialize(ask(packed, lambda row: _sequence_keys(row, depth), bits, 8), "sequences")
-    above = asked.groupBy("bucket").applyInPandas(
-        lambda part: key_of_bucket(part)[1].above(), "byte long, prefix long, mixed double, zeros long, ones long")
-    top = spark.sparkContext.broadcast(_top(above.groupBy("byte", "prefix").agg(
+    of_near = asked.mapInArrow(above, "byte long, prefix long, mixed double, zeros long, ones long")
+    top = spark.sparkContext.broadcast(_top(of_near.groupBy("byte", "prefix").agg(
         F.sum("mixed").alias("mixed"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()))
 
-    def predicted(part: pd.DataFrame) -> pd.DataFrame:
-        bucket, tree = key_of_bucket(part)
-        return bucket.answers(tree.log10(top.value).astype(np.float32))
+    def predicted(batches):
+        for _, bucket in _buckets(batches):
+            said = bucket.answers(Tree(bucket.keys, bucket.total, depth).log10(top.value).astype(np.float32))
+            yield pa.RecordBatch.from_pandas(said.astype({"bucket": np.int32}), preserve_index=False)
 
     def counted(part: pd.DataFrame) -> pd.DataFrame:
         bucket = Bucket(part, np.int64, 8)
@@ -214,32 +227,33 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
         return pd.concat([bucket.answers(bucket.total), pd.DataFrame(
             {"block": [-1], "bucket": [int(part["bucket"].iloc[0])], "answer": [sums.tobytes()]})])
 
-    of_words = materialize(ask(packed, _word_keys, bits, 8).groupBy("bucket").applyInPandas(
-        counted, ANSWER), "word-counts")
+    of_words = ask(packed, lambda row: _asked(row, _words), bits, 8).groupBy("bucket").applyInPandas(counted, ANSWER)
+    of_words = materialize(of_words, "word-counts")
     sums = [np.frombuffer(r["answer"], np.int64) for r in of_words.filter("block = -1").select("answer").collect()]
     ends = packed.select(F.explode("ids").alias("doc_id")).filter(
         F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2).count()
     n_train = int(sum(s[0] for s in sums)) + ends
     n_kinds = int(sum(s[1] for s in sums)) + (ends > 0)
-    ready = answered(packed, asked.groupBy("bucket").applyInPandas(predicted, ANSWER), "of_sequences")
+    ready = answered(packed, asked.mapInArrow(predicted, ANSWER), "of_sequences")
     ready = answered(ready, of_words.filter("block >= 0"), "of_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, tree = _sequence_keys(row, depth)[0], answers_of(row, np.float32, "of_sequences")
-                kinds, count = _word_keys(row)[0], answers_of(row, np.int64, "of_words")
                 n = len(row["ids"])
                 n_tokens, n_known, base, own = np.ones(n, np.int64), np.full(n, int(ends > 0)), np.zeros(n), np.zeros(n)
-                for a, texts, _ in _parts(row):
-                    m = len(texts)
-                    doc, key = sequences(texts, depth)
-                    own[a : a + m] = np.bincount(doc, _look_up(keys, tree, key), m)
-                    found = words(texts, NOT_SPACE)
-                    c = _look_up(kinds, count, found.hash)
-                    n_tokens[a : a + m] += np.bincount(found.doc, minlength=m)
-                    n_known[a : a + m] += np.bincount(found.doc, c > 0, m).astype(np.int64)
-                    base[a : a + m] = np.bincount(found.doc, np.log10(c + 1.0), m)
+                parts = _slices(row, sequence_keys)
+                keys, said = _distinct(parts), answers_of(row, np.float32, "of_sequences")
+                for a, learn, part in parts:
+                    m, value = len(learn), said[np.searchsorted(keys, part.keys)]
+                    own[a : a + m] = np.bincount(part.doc, part.spread(value), m)
+                parts = _slices(row, _words)
+                keys, said = _distinct(parts), answers_of(row, np.int64, "of_words")
+                for a, learn, part in parts:
+                    m, c = len(learn), said[np.searchsorted(keys, part.keys)]
+                    n_tokens[a : a + m] += np.bincount(part.doc, minlength=m)
+                    n_known[a : a + m] += np.bincount(part.doc, part.spread(c > 0), m).astype(np.int64)
+                    base[a : a + m] = np.bincount(part.doc, part.spread(np.log10(c + 1.0)), m)
                 base += math.log10(ends + 1) - n_tokens * math.log10(n_train + n_kinds + 1)
                 size = np.array(row["sizes"], np.int64)
                 yield pa.RecordBatch.from_pydict({
