@@ -133,29 +133,30 @@ def viterbi(score: np.ndarray, start: np.ndarray, size: np.ndarray, penalty: flo
     return label
 
 
-def spans(texts: list[str], model, table: np.ndarray, penalty: float = SWITCH):
-    """(letters, label of each word) for a slice of texts."""
+def spans(texts: list[str], model, table: np.ndarray, penalty: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, letters and label of every word. Letters are looked at slice by slice, words decoded for all texts at once."""
     langs, weights, used = model
-    found = Letters(texts, table)
-    if not len(found.first):
-        return found, np.zeros(0, np.int64)
-    score = np.stack([np.add.reduceat(w[found.bins], found.first) for w in weights], 1)
-    may = used[:, found.script[found.first]].T
-    may |= ~may.any(1, keepdims=True)  # a script that no language used narrows nothing
-    score = np.where(may, score, np.float32(-1e6))
-    docs, start, size = np.unique(found.word_doc, return_index=True, return_counts=True)
-    return found, viterbi(score, start, size, penalty)
+    docs, lengths, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, len(langs)), np.float32)]
+    for a, b in slices([len(t) for t in texts], SLICE):
+        found = Letters(texts[a:b], table)
+        if len(found.first):
+            score = np.stack([np.add.reduceat(w[found.bins], found.first) for w in weights], 1)
+            may = used[:, found.script[found.first]].T
+            may |= ~may.any(1, keepdims=True)  # a script that no language used narrows nothing
+            docs.append(found.word_doc + a)
+            lengths.append(found.length)
+            scores.append(np.where(may, score, np.float32(-1e6)))
+    doc = np.concatenate(docs)
+    _, start, size = np.unique(doc, return_index=True, return_counts=True)
+    return doc, np.concatenate(lengths), viterbi(np.concatenate(scores), start, size, penalty)
 
 
 def _shares(texts: list[str], model, table: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text its language, its letters, and the letters of that language."""
-    best, total, most = (np.zeros(len(texts), np.int64) for _ in range(3))
-    for a, b in slices([len(t) for t in texts], SLICE * 4):
-        found, label = spans(texts[a:b], model, table, penalty)
-        letters = np.zeros((b - a, len(model[0])), np.int64)
-        np.add.at(letters, (found.word_doc, label), found.length)
-        best[a:b], total[a:b], most[a:b] = letters.argmax(1), letters.sum(1), letters.max(1)
-    return best, total, most
+    doc, length, label = spans(texts, model, table, penalty)
+    letters = np.zeros((len(texts), len(model[0])), np.int64)
+    np.add.at(letters, (doc, label), length)
+    return letters.argmax(1), letters.sum(1), letters.max(1)
 
 
 def predict(docs: DataFrame, model, penalty: float = SWITCH) -> DataFrame:

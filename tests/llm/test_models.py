@@ -48,7 +48,7 @@ def test_spans_and_scripts(spark):
     assert model[0] == ["aa", "bb", "gr"]
     table = language.script_table()
     text = " ".join([made("aa", 9), made("bb", 1)[:3], made("aa", 8), made("bb", 12), made("gr", 2)])
-    _, label = language.spans([text, "", made("bb", 3)], model, table)
+    *_, label = language.spans([text, "", made("bb", 3)], model, table)
     # A single short word does not switch; a run of words does; a script that only one language uses decides at once.
     assert [(model[0][k], len(list(g))) for k, g in itertools.groupby(label)] == [("aa", 18), ("bb", 12), ("gr", 2), ("bb", 3)]
 
