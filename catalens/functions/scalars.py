@@ -33,10 +33,15 @@ def first_number(c: Column) -> Column:
     return F.nullif(F.regexp_extract(strip_literal(c, ","), r"(\d+\.?\d+)", 1), F.lit(""))
 
 
-def resolution(c: Column) -> tuple[Column, Column]:
+def whole_number(c: Column, strict: bool = True) -> Column:
+    """Text as an int; malformed text raises when ``strict``, else it is null."""
+    return c.cast("int") if strict else c.try_cast("int")
+
+
+def resolution(c: Column, strict: bool = True) -> tuple[Column, Column]:
     """Pixel columns and rows of a screen description such as ``Full HD 1920x1080``."""
     left, right = split_once(c, "x")
-    return first_number(left).cast("int"), right.cast("int")
+    return whole_number(first_number(left), strict), whole_number(right, strict)
 
 
 def pixel_density(x: Column, y: Column, inches: Column) -> Column:
@@ -57,9 +62,9 @@ def storage_parts(memory: Column, fix_decimal_tb: bool = False) -> tuple[Column,
     return first, F.when(memory.isNotNull(), F.coalesce(second, F.lit("0")))
 
 
-def digits(c: Column) -> Column:
-    """The digits of a text as one number; null when there is none."""
-    return F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit("")).cast("int")
+def digits(c: Column, strict: bool = True) -> Column:
+    """The digits of a text as one number; null when there is none, and if not ``strict`` also when they are too many."""
+    return whole_number(F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit("")), strict)
 
 
 def storage_of_kind(first: Column, second: Column, kind: str, first_size: Column, second_size: Column) -> Column:
@@ -79,6 +84,7 @@ def first_word(c: Column) -> Column:
     return F.get(words(c), 0)
 
 
+# The processor and system names that the next two functions keep or map.
 def cpu_brand(name: Column) -> Column:
     """Brand from the three-word processor name: the Core i7/i5/i3 names stay, the rest is grouped by maker."""
     return (

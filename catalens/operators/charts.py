@@ -6,11 +6,14 @@ Each operator shuffles a fixed number of cells (categories, bins, grid points, r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Up to this many rows the built-in exact percentile, which holds all distinct values in one task, is safe.
-PERCENTILE_ROWS = 1_000_000
+# Bins of one zooming pass.
+ZOOM_BINS = 1000
 
 
 def mean_by_category(df: DataFrame, category: str, value: str, digits: int = 4) -> DataFrame:
@@ -19,91 +22,108 @@ def mean_by_category(df: DataFrame, category: str, value: str, digits: int = 4)
     )
 
 
-# The prime modulus of the replicate hash and the cumulative Poisson(1) probabilities.
+# The prime modulus of the replicate hash.
 HASH_PRIME = 268435399
-POISSON_CDF = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-]
+#: Cumulative Poisson(1) probabilities, as far as draws of 28 bits can tell them from one.
+POISSON_CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(13)]
+#: Rows whose replicates are drawn at once.
+DRAW_ROWS = 2048
 
 
-def _hash28(c: Column) -> Column:
-    return F.conv(F.substring(F.md5(c), 1, 7), 16, 10).cast("long")
+def _hash28(c: Column, at: int) -> Column:
+    return F.conv(F.substring(F.md5(c), at, 7), 16, 10).cast("long")
 
 
 def bootstrap_interval(
-    df: DataFrame, category: str, value: str, key: str, replicates: int = 1000, units: int = 65536, seed: int = 0,
+    df: DataFrame, category: str, value: str, key: str, replicates: int = 1000, units: int | None = None, seed: int = 0,
     digits: int = 4,
 ) -> DataFrame:
-    """95 % interval of the mean per category, by Poisson bootstrap.
+    """95 % interval of the mean per category, by Poisson bootstrap over rows.
 
-    Rows are first summed into at most ``units`` random units per category, and the units are resampled: replicate b
-    weights unit u with a Poisson(1) draw from a hash of (u, b). The work after the first aggregate is bounded by
-    categories x units x replicates whatever the row count, and the draws do not depend on partitioning.
+    Replicate b weights a row with a Poisson(1) draw from two 28-bit hashes of its key and of b, so draws do not depend on
+    partitioning. Each task adds up categories x replicates sums and shuffles only these. With ``units`` the rows of a
+    category are first summed into that many random units, which are resampled instead: cheaper and coarser.
     """
-    unit = F.pmod(_hash28(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), F.lit(units))
-    per_unit = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(category, unit.alias("unit"))
-        .agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-        .withColumn("h", _hash28(F.concat(F.lit("u"), F.col("unit").cast("string"))))
-    )
-    b = F.col("b")
-    factor, shift = b * b * b * 7919 + b * 104729 + 12345, b * b * 15485863 + 32452843
-    drawn = per_unit.withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))))
-    drawn = drawn.withColumn(
-        "u", (F.col("h") * (factor % HASH_PRIME) + shift) % HASH_PRIME / F.lit(float(HASH_PRIME))
-    )
-    weight = sum(((F.col("u") >= p).cast("int") for p in POISSON_CDF), F.lit(0))
-    means = (
-        drawn.groupBy(category, "b")
-        .agg(F.sum(weight * F.col("s")).alias("ws"), F.sum(weight * F.col("n")).alias("wn"))
-        .select(category, "b", F.try_divide("ws", "wn").alias("m"))
-    )
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    text = F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))
+    rows = known.select(category, _hash28(text, 1).alias("h"), _hash28(text, 8).alias("g"),
+                        F.col(value).cast("double").alias("s"), F.lit(1).cast("long").alias("n"))
+    if units is not None:
+        unit = F.pmod(F.col("h"), F.lit(units)).cast("string")
+        rows = rows.groupBy(category, unit.alias("unit")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(
+            category, _hash28(F.concat(F.lit("u"), "unit"), 1).alias("h"), _hash28(F.concat(F.lit("u"), "unit"), 8).alias("g"), "s", "n")
+    cdf = np.array(POISSON_CDF)
+    b = np.arange(1, replicates + 1, dtype=np.int64)
+    first, second, shift = (x % HASH_PRIME for x in (b**3 * 7919 + b * 104729 + 12345, b * b * 7477 + b * 3571 + 99991, b * b * 15485863 + 32452843))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for at in range(0, len(batch), DRAW_ROWS):
+                part = batch.iloc[at : at + DRAW_ROWS]
+                u = (np.outer(part["h"], first) + np.outer(part["g"], second) + shift) % HASH_PRIME / float(HASH_PRIME)
+                weight = np.searchsorted(cdf, u, "right").astype(float)
+                for name, own in part.reset_index(drop=True).groupby(category, dropna=False):
+                    total = sums.setdefault(None if pd.isna(name) else name, np.zeros((2, replicates)))
+                    total += np.stack([own["s"], own["n"]]).astype(float) @ weight[own.index]
+        for name, total in sums.items():
+            yield pd.DataFrame({category: name, "b": b, "ws": total[0], "wn": total[1]})
+
+    kind = df.schema[category].dataType.simpleString()
+    drawn = rows.mapInPandas(draw, f"{category} {kind}, b long, ws double, wn double")
+    means = drawn.groupBy(category, "b").agg(F.try_divide(F.sum("ws"), F.sum("wn")).alias("m"))
     bounds = means.groupBy(category).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return bounds.select(
         category, F.round(F.get("q", 0), digits).alias("low"), F.round(F.get("q", 1), digits).alias("high")
     )
 
 
-def _value_at_rank(df: DataFrame, value: str, rank: int, low: float, high: float) -> float:
-    """The value with ``rank`` smaller-or-earlier values, by zooming into one of 1000 bins per pass.
+def _values_at_ranks(df: DataFrame, value: str, ranks: list[int], low: float, high: float) -> dict[int, float]:
+    """For each rank the value with so many smaller-or-earlier values, by zooming into one of ZOOM_BINS per pass.
 
-    Every pass is a scan with a 1000-row shuffle; no sort, no task that holds the values.
+    All ranks zoom in one scan per pass, which shuffles their bins alone; no sort, no task that holds the values.
     """
-    below = 0
-    while low < high:
+    spans = {rank: (low, high, 0) for rank in ranks}
+    while open_ := sorted({(lo, hi) for lo, hi, _ in spans.values() if lo < hi}):
+        v = F.col(value)
+        places = F.array_compact(F.array(*[
+            F.when(v.between(lo, hi), F.struct(F.lit(i).alias("span"), F.floor((v - lo) * ZOOM_BINS / (hi - lo)).alias("bin")))
+            for i, (lo, hi) in enumerate(open_)]))
         bins = (
-            df.where(F.col(value).between(low, high))
-            .groupBy(F.floor((F.col(value) - low) * 1000 / (high - low)).alias("bin"))
-            .agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-            .orderBy("bin")
-            .collect()
+            df.select(value, F.explode(places).alias("at")).groupBy("at")
+            .agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).orderBy("at").collect()
         )
-        for row in bins:
-            if below + row["n"] > rank:
-                low, high = row["lo"], row["hi"]
-                break
-            below += row["n"]
-    return low
+        for rank, (lo, hi, below) in spans.items():
+            if lo < hi:
+                for row in bins:
+                    if open_[row["at"]["span"]] == (lo, hi):
+                        if below + row["n"] > rank:
+                            spans[rank] = row["lo"], row["hi"], below
+                            break
+                        below += row["n"]
+    return {rank: lo for rank, (lo, _, _) in spans.items()}
 
 
 def quartiles(df: DataFrame, value: str, summary=None) -> tuple[float, float]:
-    """Exact first and third quartile with linear interpolation."""
+    """Exact first and third quartile with linear interpolation; missing values and NaN left out."""
     if summary is None:
+        df = df.where(~F.isnan(value))
         summary = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    n = summary["n"]
-    if n <= PERCENTILE_ROWS:
-        return tuple(df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"])
+    places = [q * (summary["n"] - 1) for q in (0.25, 0.75)]
+    ranks = sorted({f(at) for at in places for f in (math.floor, math.ceil)})
+    found = _values_at_ranks(df, value, ranks, summary["lo"], summary["hi"])
     out = []
-    for q in (0.25, 0.75):
-        at = q * (n - 1)
-        lower = _value_at_rank(df, value, math.floor(at), summary["lo"], summary["hi"])
-        upper = _value_at_rank(df, value, math.ceil(at), summary["lo"], summary["hi"])
+    for at in places:
+        lower, upper = found[math.floor(at)], found[math.ceil(at)]
         out.append((math.ceil(at) - at) * lower + (at - math.floor(at)) * upper if upper != lower else lower)
     return tuple(out)
 
 
+def _numbers(df: DataFrame, value: str) -> DataFrame:
+    """The values as ``v``, without null and NaN."""
+    return df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+
+
 def bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int:
     """Automatic number of bins: the narrower of the Freedman-Diaconis and the Sturges width."""
     if n == 0 or high == low:
@@ -114,8 +134,8 @@ def bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int:
 
 
 def histogram(df: DataFrame, value: str) -> DataFrame:
-    """(bin, bin_start, bin_end, n) for the non-empty bins of the automatic binning."""
-    df = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    """(bin, bin_start, bin_end, n) for the non-empty bins of the automatic binning; null and NaN are left out."""
+    df = _numbers(df, value)
     s = df.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if s["n"] == 0:
         return df.selectExpr("CAST(0 AS BIGINT) AS bin", "v AS bin_start", "v AS bin_end", "CAST(0 AS BIGINT) AS n")
@@ -136,12 +156,11 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 
 
 def density(df: DataFrame, value: str, points: int = 200, digits: int = 9) -> DataFrame:
-    """Gaussian kernel density on an even grid from minimum to maximum, Scott bandwidth.
+    """Gaussian kernel density on an even grid from minimum to maximum, Scott bandwidth; null and NaN are left out.
 
-    Every value adds to all ``points`` grid cells inside its own task (partial aggregation), so only the grid itself is
-    shuffled.
+    Equal values are counted first; then every task adds its values to a grid of its own, and only grids are shuffled.
     """
-    df = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    df = _numbers(df, value)
     stats = df.agg(
         F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("s")
     ).first()
@@ -149,24 +168,29 @@ def density(df: DataFrame, value: str, points: int = 200, digits: int = 9) -> Da
     h = (stats["s"] or 0.0) * n**-0.2 if n else 0.0
     if h == 0.0:  # fewer than two different values: no density
         return df.selectExpr("CAST(0 AS BIGINT) AS point", "v AS x", "v AS density").limit(0)
-    x = F.lit(lo) + F.col("point") * (F.lit(hi) - F.lit(lo)) / (points - 1)
-    z = (F.col("v") - F.col("x")) / h
-    return (
-        df.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
-        .withColumn("x", x)
-        .groupBy("point", "x")
-        .agg(F.sum(F.exp(-z * z / 2)).alias("k"))
-        .select(
-            "point",
-            F.round("x", 6).alias("x"),
-            F.round(F.col("k") / (n * h * math.sqrt(2 * math.pi)), digits).alias("density"),
-        )
+    grid = lo + np.arange(points) * (hi - lo) / (points - 1)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(points)
+        for batch in batches:
+            for at in range(0, len(batch), DRAW_ROWS):
+                part = batch.iloc[at : at + DRAW_ROWS]
+                z = (part["v"].to_numpy()[:, None] - grid) / h
+                total += part["times"].to_numpy() @ np.exp(-z * z / 2)
+        yield pd.DataFrame({"point": np.arange(points), "x": grid, "k": total})
+
+    grids = df.groupBy("v").agg(F.count("*").alias("times")).mapInPandas(add, "point long, x double, k double")
+    return grids.groupBy("point", "x").agg(F.sum("k").alias("k")).select(
+        "point",
+        F.round("x", 6).alias("x"),
+        F.round(F.col("k") / (n * h * math.sqrt(2 * math.pi)), digits).alias("density"),
     )
 
 
 def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
-    """Counts on a bins x bins grid over the value ranges: a scatter plot of any number of points."""
-    df = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna("any")
+    """Counts on a bins x bins grid over the value ranges: a scatter plot of any number of points, NaN left out."""
+    df = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna("any").where(
+        "NOT isnan(x) AND NOT isnan(y)")
     s = df.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
 
     def spot(name: str, lo, hi) -> Column:

@@ -5,6 +5,8 @@ Written from the definitions, not from the Spark plans: for example all-pairs si
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from catalens.fixtures import SEED_TITLES, view_sql
 from catalens.functions.stem import IRREGULAR, STEP_2, STEP_3, STEP_4
 from catalens.functions.stopwords import load_stop_words
@@ -13,6 +15,7 @@ WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 SEEDS = ", ".join(f"'{t}'" for t in SEED_TITLES)
 STOP = ", ".join(f"'{w}'" for w in load_stop_words())
+# Poster folder, picture for a missing poster, page address.
 IMAGE = "http://image.tmdb.org/t/p/w500"
 NO_IMAGE = "https://via.placeholder.com/500x750?text=No+Image+Available"
 PAGE = "https://www.themoviedb.org/movie/"
@@ -318,27 +321,24 @@ def _encoded() -> str:
     )
 
 
-_CDF = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-]
-_WEIGHT = " + ".join(f"CAST(u >= CAST({p} AS DOUBLE) AS INT)" for p in _CDF)
+_CDF = [sum(exp(-1) / factorial(i) for i in range(n + 1)) for n in range(13)]
+_WEIGHT = " + ".join(f"CAST(u >= CAST({p!r} AS DOUBLE) AS INT)" for p in _CDF)
 
 
-def _hash28(expr: str) -> str:
-    return f"CAST('0x' || substr(md5({expr}), 1, 7) AS BIGINT)"
+def _hash28(expr: str, at: int) -> str:
+    return f"CAST('0x' || substr(md5({expr}), {at}, 7) AS BIGINT)"
 
 
+_UNIT = "CAST(unnamed_0 AS VARCHAR) || '|0'"
 _BOOT = f"""SELECT company, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM (
- SELECT company, b, sum(w * s) / sum(w * n) AS m FROM (SELECT company, b, s, n, {_WEIGHT} AS w FROM (
- SELECT company, s, n, b, ((h * ba + bc) % 268435399) / CAST(268435399 AS DOUBLE) AS u FROM (
- SELECT company, unit, sum(price) AS s, count(*) AS n, {_hash28("'u' || CAST(unit AS VARCHAR)")} AS h FROM (
- SELECT company, price, {_hash28("CAST(unnamed_0 AS VARCHAR) || '|0'")} % 65536 AS unit FROM laptop_raw)
- GROUP BY company, unit), (SELECT b,
- (b * b * b * 7919 + b * 104729 + 12345) % 268435399 AS ba, b * b * 15485863 + 32452843 AS bc
- FROM (SELECT unnest(range(1, 1001)) AS b))))
+ SELECT company, b, sum(w * price) / sum(w) AS m FROM (SELECT company, b, price, {_WEIGHT} AS w FROM (
+ SELECT company, price, b, ((h * ba + g * bb + bc) % 268435399) / CAST(268435399 AS DOUBLE) AS u FROM (
+ SELECT company, price, {_hash28(_UNIT, 1)} AS h, {_hash28(_UNIT, 8)} AS g FROM laptop_raw), (SELECT b,
+ (b * b * b * 7919 + b * 104729 + 12345) % 268435399 AS ba, (b * b * 7477 + b * 3571 + 99991) % 268435399 AS bb,
+ (b * b * 15485863 + 32452843) % 268435399 AS bc FROM (SELECT unnest(range(1, 1001)) AS b))))
  GROUP BY company, b) GROUP BY company"""
 
+# What a scoring request may hold.
 _RULES = {
     "ram": "ram IN (2, 4, 6, 8, 12, 16, 24, 32, 64)",
     "touchscreen": "touchscreen IN ('No', 'Yes')",
@@ -406,7 +406,17 @@ _STATEMENTS = {
     "q_cast_rejects": """SELECT 'ram_with_unit' AS check_name, count(*) AS n_rejects FROM laptop_raw
  WHERE TRY_CAST(ram AS INT) IS NULL UNION ALL SELECT 'ram', count(*) FROM laptop_raw
  WHERE TRY_CAST(replace(ram, 'GB', '') AS INT) IS NULL UNION ALL SELECT 'weight', count(*) FROM laptop_raw
- WHERE TRY_CAST(replace(weight, 'kg', '') AS FLOAT) IS NULL""",
+ WHERE TRY_CAST(replace(weight, 'kg', '') AS FLOAT) IS NULL UNION ALL SELECT 'screen_resolution', count(*) FROM laptop_raw
+ WHERE screen_resolution IS NOT NULL AND (TRY_CAST(regexp_extract(replace(split_part(screen_resolution, 'x', 1), ',', ''),
+ '(\\d+\\.?\\d+)', 1) AS INT) IS NULL OR TRY_CAST(split_part(screen_resolution, 'x', 2) AS INT) IS NULL)
+ UNION ALL SELECT 'memory', count(*) FROM laptop_cut WHERE memory IS NOT NULL AND
+ (TRY_CAST(regexp_replace(first_part, '[^0-9]', '', 'g') AS INT) IS NULL
+ OR TRY_CAST(regexp_replace(second_part, '[^0-9]', '', 'g') AS INT) IS NULL)""",
+    "q_reject_counts": " UNION ALL ".join(
+        f"""SELECT '{c}' AS check_name, count(*) - count(CASE WHEN json_valid("{c}") THEN TRY_CAST("{c}" AS JSON[]) END)
+ AS n_rejects FROM movie_rows""" for c in ("genres", "keywords", "cast", "crew")) + " UNION ALL " + " UNION ALL ".join(
+        f"SELECT '{c}', count(*) - count({c}) FROM features" for c in [
+            "company", "type_name", "ram", "weight", "touchscreen", "ips", "ppi", "cpu_brand", "hdd", "ssd", "gpu_brand", "os"]),
     "q_dropna": "SELECT id, movie_id, title FROM movies_raw JOIN credits_raw USING (title) WHERE overview IS NOT NULL",
     "q_filter_not_arm": "SELECT unnamed_0, gpu_brand FROM laptop WHERE gpu_brand IS DISTINCT FROM 'ARM'",
     "q_filter_eq": "SELECT id, movie_id, title FROM facets WHERE director[1] = 'Director 7'",

@@ -36,6 +36,17 @@ def weight_kg(strict: bool = True) -> Column:
     return text.cast("float") if strict else text.try_cast("float")
 
 
+def screen(strict: bool = True) -> Column:
+    """Pixel rows of the screen; with ``strict`` off null where the resolution is unreadable."""
+    x, y = S.resolution(F.col("screen_resolution"), strict)
+    return F.when(x.isNotNull(), y)
+
+
+def storage(strict: bool = True) -> Column:
+    """Both storage sizes added up; null where either is unreadable."""
+    return sum((S.digits(part, strict) for part in S.storage_parts(F.col("memory"))), F.lit(0))
+
+
 # Output column and the storage kind it sums.
 STORAGE_KINDS = {"hdd": "HDD", "ssd": "SSD", "hybrid": "Hybrid", "flash_storage": "Flash Storage"}
 
@@ -45,7 +56,7 @@ def parsed(raw: DataFrame, strict: bool = True) -> DataFrame:
 
     Three projections, so that a split or pattern match used by several columns is evaluated once per row.
     """
-    x, y = S.resolution(F.col("screen_resolution"))
+    x, y = S.resolution(F.col("screen_resolution"), strict)
     first, second = S.storage_parts(F.col("memory"))
     cut = raw.select(
         "unnamed_0", "company", "type_name", "inches", "screen_resolution", "op_sys", "price",
@@ -57,7 +68,8 @@ def parsed(raw: DataFrame, strict: bool = True) -> DataFrame:
         first.alias("first_part"), second.alias("second_part"),
     )
     sized = cut.select(
-        *cut.columns, S.digits(F.col("first_part")).alias("first_size"), S.digits(F.col("second_part")).alias("second_size")
+        *cut.columns, S.digits(F.col("first_part"), strict).alias("first_size"),
+        S.digits(F.col("second_part"), strict).alias("second_size")
     )
     parts = [F.col(c) for c in ("first_size", "second_size")]
     return sized.select(

@@ -241,10 +241,22 @@ def q_cast_rejects(spark, sf):
             "ram_with_unit": (F.col("ram"), F.col("ram").try_cast("int")),
             "ram": (F.col("ram"), laptops.ram_gb(strict=False)),
             "weight": (F.col("weight"), laptops.weight_kg(strict=False)),
+            "screen_resolution": (F.col("screen_resolution"), laptops.screen(strict=False)),
+            "memory": (F.col("memory"), laptops.storage(strict=False)),
         },
     )
 
 
+@query
+def q_reject_counts(spark, sf):
+    """Unreadable JSON lists of the catalogue, and feature values without which a row takes no part in the models."""
+    lists = {"genres": S.NAME_LIST, "keywords": S.NAME_LIST, "cast": S.NAME_LIST, "crew": S.CREW_LIST}
+    read = {c: (F.col(c), F.from_json(c, kind)) for c, kind in lists.items()}
+    return profile.rejects(_rows(spark, sf), read).unionByName(
+        profile.null_counts(_features(spark, sf)).where(F.col("column_name").isin(laptops.FEATURES)).select(
+            F.col("column_name").alias("check_name"), F.col("n_nulls").alias("n_rejects")))
+
+
 @query
 def q_dropna(spark, sf):
     return _rows(spark, sf).select(*KEYS, "title")

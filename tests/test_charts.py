@@ -31,13 +31,21 @@ def test_histogram_of_one_value_and_of_nothing(spark):
     assert charts.histogram(same.where("v > 9"), "v").collect() == []
 
 
-def test_quartiles_by_zooming(frame, values, monkeypatch):
-    monkeypatch.setattr(charts, "PERCENTILE_ROWS", 0)
+def test_quartiles_by_zooming(frame, values):
     assert charts.quartiles(frame, "v") == pytest.approx(tuple(np.percentile(values, [25, 75])))
 
 
-def test_quartiles_by_zooming_with_a_hot_value(spark, monkeypatch):
-    monkeypatch.setattr(charts, "PERCENTILE_ROWS", 0)
+def test_nan_is_missing(spark, values):
+    df = spark.createDataFrame([(i, "a", float(v)) for i, v in enumerate(values[:300])], "id long, c string, v double")
+    bad = df.unionByName(spark.createDataFrame([(900, "a", float("nan")), (901, "a", None)], "id long, c string, v double"))
+    for make in (charts.histogram, charts.density, charts.density,
+                 lambda d, v: charts.bootstrap_interval(d, "c", v, "id", 50)):
+        a, b = (sorted(map(tuple, make(x, "v").collect())) for x in (bad, df))
+        assert len(a) == len(b) and all(x[1:] == pytest.approx(y[1:]) for x, y in zip(a, b))
+    assert charts.quartiles(bad, "v") == pytest.approx(tuple(np.percentile(values[:300], [25, 75])))
+
+
+def test_quartiles_by_zooming_with_a_hot_value(spark):
     data = [1.0] * 500 + [2.0] * 3 + [1e9] + list(np.linspace(0.0, 0.5, 200))
     df = spark.createDataFrame([(float(v),) for v in data], "v double")
     assert charts.quartiles(df, "v") == pytest.approx(tuple(np.percentile(data, [25, 75])))
