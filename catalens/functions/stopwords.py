@@ -1,15 +1,12 @@
-"""The stop-word list is a parameter; the project's 318-word default is read from the fixtures document."""
+"""The stop-word list is a parameter; the default, a fixed list of 318 words in natural order, is the file beside this one."""
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
-DEFAULT_SOURCE = Path(__file__).resolve().parents[2] / "FIXTURES.md"
+DEFAULT_SOURCE = Path(__file__).with_name("stop_words.txt")
 
 
 def load_stop_words(path: str | Path = DEFAULT_SOURCE) -> list[str]:
-    """Words of a plain list file, or of the code block under the "Stop words" heading of a Markdown file."""
-    text = Path(path).read_text(encoding="utf-8")
-    section = re.search(r"^## [^\n]*Stop words.*?```\n(.*?)```", text, re.S | re.M)
-    return sorted((section.group(1) if section else text).split())
+    """Words of a plain list file, separated by white space."""
+    return sorted(Path(path).read_text(encoding="utf-8").split())

