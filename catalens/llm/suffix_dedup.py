@@ -36,7 +36,8 @@ from catalens.session import materialize
 LENGTH = 50
 #: Bytes of an anchor; chance repeats of so many bytes are rare, and a window still has a choice of 31.
 GRAM = 20
-SLICE = 1 << 20
+#: Bytes of text whose segments are found at once; small, so that the arrays stay in the processor's cache.
+SLICE = 1 << 18
 #: Bytes of segments whose transform is built at once.
 SHARD_BYTES = 1 << 20
 #: Stands for a missing id, after all others.
@@ -73,21 +74,18 @@ def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     return doc[begin], begin - (ends - sizes)[doc[begin]], stop - begin, value[anchor[begin]]
 
 
-def _parts(row: dict, length: int, gram: int):
-    texts = unpack(row["sizes"], row["data"])
+def _segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, begin, windows, anchor) of all texts of a block."""
+    parts = [segments([], length, gram)]
     for a, b in slices([len(t) for t in texts], SLICE):
         doc, begin, windows, anchor = segments(texts[a:b], length, gram)
-        yield texts, doc + a, begin, windows, anchor
+        parts.append(((doc + a).astype(np.int32), begin.astype(np.int32), windows.astype(np.int32), anchor))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-def _anchor_keys(row: dict, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchor_keys(doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchors of a block and in how many of its documents they are, up to 255."""
-    docs, anchors = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
-    for _, doc, _, _, anchor in _parts(row, length, gram):
-        docs.append(doc)
-        anchors.append(anchor)
-    doc, anchor = np.concatenate(docs), np.concatenate(anchors)
-    order = np.argsort(anchor, kind="stable")
+    order = np.lexsort((doc, anchor))
     doc, anchor = doc[order], anchor[order]
     new = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(anchor)]
     first = np.flatnonzero(new)
@@ -104,26 +102,25 @@ def _questions(batches: Iterator[pa.RecordBatch], bits: int, length: int, gram:
     for batch in batches:
         for row in batch.to_pylist():
             ids = np.array([LAST if i is None else i for i in row["ids"]], np.int64)
-            keys, repeated = _anchor_keys(row, length, gram)[0], answers_of(row)
+            texts = unpack(row["sizes"], row["data"])
+            doc, begin, windows, anchor = _segments(texts, length, gram)
+            keys, repeated = np.unique(anchor), answers_of(row)
+            hit = np.flatnonzero(repeated[np.searchsorted(keys, anchor)]) if len(keys) else np.zeros(0, np.int64)
+            doc, begin, windows = doc[hit].astype(np.int64), begin[hit].astype(np.int64), windows[hit].astype(np.int64)
+            bucket = (anchor[hit] >> _U(64 - bits)).astype(np.int64)
+            del keys, repeated, anchor
             known: list[dict] = [{} for _ in range(1 << bits)]
-            where, least = [np.zeros((4, 0), np.int64)], [[] for _ in known]
-            owned = [np.zeros(0, np.int64)]
-            offset = np.cumsum(row["sizes"]) - row["sizes"]
-            for texts, doc, begin, windows, anchor in _parts(row, length, gram):
-                hit = np.flatnonzero(repeated[np.searchsorted(keys, anchor)]) if len(keys) else np.zeros(0, np.int64)
-                doc, begin, windows = doc[hit], begin[hit], windows[hit]
-                bucket = (anchor[hit] >> _U(64 - bits)).astype(np.int64)
-                number = np.empty(len(hit), np.int64)
-                spots = zip(doc.tolist(), begin.tolist(), (begin + windows + length - 1).tolist(), bucket.tolist(),
-                            ids[doc].tolist(), strict=True)
-                for i, (d, a, b, k, own) in enumerate(spots):
-                    number[i] = n = known[k].setdefault(texts[d][a:b], len(known[k]))
-                    if n == len(least[k]):
-                        least[k].append(own)
-                    elif own < least[k][n]:
-                        least[k][n] = own
-                where.append(np.stack([offset[doc] + begin, windows, bucket, number]))
-                owned.append(ids[doc])
+            least: list[list] = [[] for _ in known]
+            number = np.empty(len(hit), np.int64)
+            spots = zip(doc.tolist(), begin.tolist(), (begin + windows + length - 1).tolist(), bucket.tolist(),
+                        ids[doc].tolist(), strict=True)
+            for i, (d, a, b, k, own) in enumerate(spots):
+                number[i] = n = known[k].setdefault(texts[d][a:b], len(known[k]))
+                if n == len(least[k]):
+                    least[k].append(own)
+                elif own < least[k][n]:
+                    least[k][n] = own
+            place = (np.cumsum(row["sizes"]) - row["sizes"])[doc] + begin
             out = {name.split()[0]: [] for name in QUESTION.split(", ")}
             for k, strings in enumerate(known):
                 if strings:
@@ -131,10 +128,9 @@ def _questions(batches: Iterator[pa.RecordBatch], bits: int, length: int, gram:
                               squeeze(np.array([len(s) for s in strings], np.uint8)), squeeze(np.array(least[k], np.int64)), None)
                     for name, x in zip(out, values, strict=True):
                         out[name].append(x)
-            place, windows, bucket, number = np.concatenate(where, 1)
             first = np.fromiter((least[k][n] for k, n in zip(bucket.tolist(), number.tolist(), strict=True)), np.int64, len(bucket))
             kept = np.stack([np.diff(place, prepend=0), windows, bucket, number]).astype(np.uint32)
-            for name, x in zip(out, (-1, row["block"], None, None, squeeze(first == np.concatenate(owned)), squeeze(kept)), strict=True):
+            for name, x in zip(out, (-1, row["block"], None, None, squeeze(first == ids[doc]), squeeze(kept)), strict=True):
                 out[name].append(x)
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array(out["block"], pa.int64()),
@@ -189,8 +185,8 @@ class Transform:
             depth *= 2
 
 
-def repeats(strings: list[bytes], least: np.ndarray, length: int, shard_bytes: int) -> list[np.ndarray]:
-    """For every window of every string the smallest id of its interval in the merged transforms."""
+def repeats(strings: list[bytes], least: np.ndarray, length: int, shard_bytes: int) -> np.ndarray:
+    """For every window of every string, in order, the smallest id of its interval in the merged transforms."""
     size = np.array([len(s) for s in strings], np.int64)
     windows = size - length + 1
     bwt, to_first, at, offset = [], [], [], 0
@@ -221,7 +217,7 @@ def repeats(strings: list[bytes], least: np.ndarray, length: int, shard_bytes: i
     low = np.minimum.reduceat(owner[window], start)
     out = np.empty(len(window), np.int64)
     out[window] = np.repeat(low, np.diff(start, append=len(window)))
-    return np.split(out, np.cumsum(windows)[:-1])
+    return out
 
 
 def _merge(part: pd.DataFrame, length: int, shard_bytes: int) -> pd.DataFrame:
@@ -233,9 +229,9 @@ def _merge(part: pd.DataFrame, length: int, shard_bytes: int) -> pd.DataFrame:
         least.append(expand(own, np.int64))
     smallest = np.full(len(known), LAST, np.int64)
     np.minimum.at(smallest, np.concatenate(numbers), np.concatenate(least))
-    low = repeats(list(known), smallest, length, shard_bytes)
-    windows = np.array([len(x) for x in low], np.int64)
-    flat, begin = np.concatenate(low), np.cumsum(windows) - windows
+    strings = list(known)
+    windows = np.array([len(s) for s in strings], np.int64) - length + 1
+    flat, begin = repeats(strings, smallest, length, shard_bytes), np.cumsum(windows) - windows
     answers = []
     for number, own in zip(numbers, least, strict=True):
         w = windows[number]
@@ -298,7 +294,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         bucket = Bucket(part, np.uint8)
         return bucket.answers((bucket.total > 1).astype(np.uint8))
 
-    anchors = ask(packed, lambda row: _anchor_keys(row, length, gram), bits).groupBy("bucket").applyInPandas(twice, ANSWER)
+    def anchor_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        doc, _, _, anchor = _segments(unpack(row["sizes"], row["data"]), length, gram)
+        return _anchor_keys(doc, anchor)
+
+    anchors = ask(packed, anchor_keys, bits).groupBy("bucket").applyInPandas(twice, ANSWER)
     asked = materialize(
         answered(packed, anchors).mapInArrow(lambda x: _questions(x, bits, length, gram), QUESTION), "segments")
     own = asked.filter("bucket < 0").select("block", "kept", F.col("least").alias("own"))

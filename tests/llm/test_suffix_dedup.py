@@ -84,7 +84,7 @@ def test_merged_intervals():
                 w = s[i : i + length]
                 expected[w] = min(own, expected.get(w, own))
         got = suffix_dedup.repeats(strings, least, length, rng.choice([40, 10_000]))
-        assert [x.tolist() for x in got] == [[expected[s[i : i + length]] for i in range(len(s) - length + 1)] for s in strings]
+        assert got.tolist() == [expected[s[i : i + length]] for s in strings for i in range(len(s) - length + 1)]
 
 
 def test_transform():
