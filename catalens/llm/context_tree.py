@@ -29,7 +29,7 @@ from catalens.session import materialize
 
 DEPTH = 6
 END = 255
-SLICE = 1 << 20
+SLICE = 1 << 19
 _U = np.uint64
 #: Odd; multiplying by it modulo 2^16 spreads the two nearest context bytes evenly over buckets.
 _SPREAD = _U(40503)

@@ -32,7 +32,7 @@ WORDS = 5
 #: Sets link if 100 * overlap >= PERCENT * union.
 PERCENT = 75
 #: Bytes of text whose words are found at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Sets in half a cell of a large cluster.
 CELL = 4096
 #: And the bytes of their shingles.

@@ -24,7 +24,7 @@ from catalens.llm.words import mix, slices
 BINS = 1 << 16
 SWITCH = 8.0  # natural-log units that a change of language costs
 #: Code points that numpy works on at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 NONE = "und"
 
 # First code points of ranges, and the script of each range up to the next one (0: any other script).

@@ -30,7 +30,7 @@ WINDOW = 8
 COVER = 0.6
 #: Bits of the bitmap that documents are checked with first: 4 MB, whatever the benchmark.
 BITS = 25
-SLICE = 1 << 20
+SLICE = 1 << 18
 _U = np.uint64
 
 # Unit words; a unit counts as one only after a number.

@@ -28,7 +28,7 @@ LEVELS = (1, 2, 4)
 MAX_SAMPLE = 12_000
 #: Terms in fewer sampled texts than this have no weight.
 LEAST_TEXTS = 5
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
