@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.llm.blocks import ANSWER, BLOCK_BYTES, Bucket, answered, answers_of, ask, bucket_bits, pack, unpack
-from catalens.llm.words import LOWER, NOT_SPACE, slices, words
+from catalens.llm.words import LOWER, NOT_SPACE, distinct, slices, words
 from catalens.session import materialize
 
 DEPTH = 6
@@ -162,7 +162,7 @@ def _slices(row: dict, keys_of) -> list[tuple[int, np.ndarray, Slice]]:
 
 
 def _distinct(parts) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, _U), *(part.keys for _, _, part in parts)]))
+    return distinct(np.concatenate([np.zeros(0, _U), *(part.keys for _, _, part in parts)]))
 
 
 def _asked(row: dict, keys_of) -> tuple[np.ndarray, np.ndarray]:

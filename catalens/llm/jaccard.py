@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from catalens.llm.blocks import ANSWER, BLOCK_BYTES, Bucket, answered, answers_of, ask, bucket_bits, pack, unpack
 from catalens.llm.groups import components, join_groups
-from catalens.llm.words import NOT_SPACE, mix, slices, words
+from catalens.llm.words import NOT_SPACE, distinct, mix, slices, words
 from catalens.session import materialize
 
 WORDS = 5
@@ -52,7 +52,7 @@ def shingles(texts: list[bytes], n_words: int = WORDS) -> Iterator[np.ndarray]:
         for d in range(b - a):
             lo, hi = first[d], first[d + 1]
             if hi - lo >= n_words:
-                yield np.unique(mix(rolled[lo : hi - n_words + 1]))
+                yield distinct(mix(rolled[lo : hi - n_words + 1]))
             elif hi > lo:
                 short = h[lo : lo + 1]
                 for k in range(1, hi - lo):
@@ -90,7 +90,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n_words: int, percent: int) -> Iter
             out = {"doc_id": [], "set_id": [], "n": [], "shared": []}
             texts = unpack(row["sizes"], row["data"])
             sets = list(shingles(texts, n_words))
-            keys, often = np.unique(np.concatenate(sets)), answers_of(row)
+            keys, often = distinct(np.concatenate(sets)), answers_of(row)
             seen = set()
             for doc_id, s in zip(row["ids"], sets, strict=True):
                 own, n = set_id(s), len(s)

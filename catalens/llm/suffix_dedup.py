@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from catalens.llm.blocks import (
     ANSWER, BLOCK_BYTES, BUCKET_BYTES, Bucket, answered, answers_of, ask, bucket_bits, expand, pack, squeeze, unpack,
 )
-from catalens.llm.words import BYTE_VALUES, mix, powers, slices
+from catalens.llm.words import BYTE_VALUES, distinct, mix, powers, slices
 from catalens.session import materialize
 
 LENGTH = 50
@@ -104,7 +104,7 @@ def _questions(batches: Iterator[pa.RecordBatch], bits: int, length: int, gram:
             ids = np.array([LAST if i is None else i for i in row["ids"]], np.int64)
             texts = unpack(row["sizes"], row["data"])
             doc, begin, windows, anchor = _segments(texts, length, gram)
-            keys, repeated = np.unique(anchor), answers_of(row)
+            keys, repeated = distinct(anchor), answers_of(row)
             hit = np.flatnonzero(repeated[np.searchsorted(keys, anchor)]) if len(keys) else np.zeros(0, np.int64)
             doc, begin, windows = doc[hit].astype(np.int64), begin[hit].astype(np.int64), windows[hit].astype(np.int64)
             bucket = (anchor[hit] >> _U(64 - bits)).astype(np.int64)

@@ -17,6 +17,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by one sort."""
+    ranked = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    return ranked[new]
+
+
 #: A number for each byte value.
 BYTE_VALUES = mix((np.arange(256, dtype=_U) + _U(1)) * _BASE)
 #: A-Z to a-z, all other bytes as they are.
