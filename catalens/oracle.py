@@ -513,7 +513,9 @@ _STATEMENTS |= {
     "q_forest": f"SELECT 'forest' AS model, {_TEST_ROWS} AS n, true AS in_range, true AS beats_mean",
     "q_rbf_svr": f"SELECT 'kernel' AS model, {_TEST_ROWS} AS n, true AS beats_mean",
     "q_leaderboard": f"""SELECT model, {_TEST_ROWS} AS n, true AS beats_mean
- FROM (SELECT unnest(['least_squares', 'tree', 'forest', 'nearest', 'kernel']) AS model)""",
+ FROM (SELECT unnest(['least_squares', 'tree', 'forest', 'kernel']) AS model) UNION ALL
+ SELECT 'nearest', count(*), sum((label - prediction) * (label - prediction)) < var_pop(label) * count(label) AND
+ avg(abs(label - prediction)) < avg(abs(label - (SELECT avg(label) FROM model_rows WHERE NOT is_test))) FROM knn""",
     "q_score_requests": f"""SELECT request_id, true AS in_range FROM requests_raw
  WHERE request_id NOT IN (SELECT request_id FROM ({_REJECTED.replace('FROM features', 'FROM model_rows WHERE NOT is_test')}))""",
 }
