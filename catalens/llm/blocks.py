@@ -123,11 +123,13 @@ class Bucket:
             lists.append(np.cumsum(np.ascontiguousarray(planes.T).view(kind)[:, 0], dtype=kind))
         self.part, self.sizes = part, [len(x) for x in lists]
         all_keys = np.concatenate(lists)
+        del lists
         counts = np.concatenate([expand(c, count_type) for c in part["counts"]]).astype(np.int64)
         self.order = np.argsort(all_keys, kind="stable")
         ranked = all_keys[self.order]
         self.first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         self.keys, self.total = ranked[self.first], np.add.reduceat(counts[self.order], self.first)
+        self.order = self.order.astype(np.uint32)
 
     def answers(self, said: np.ndarray) -> pd.DataFrame:
         """One answer per distinct key, as rows (block, bucket, answer) in the order in which the blocks asked."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.blocks import ANSWER, BLOCK_BYTES, Bucket, answered, answers_of, ask, bucket_bits, pack, unpack
+from catalens.llm.blocks import ANSWER, BLOCK_BYTES, BUCKET_BYTES, Bucket, answered, answers_of, ask, bucket_bits, pack, unpack
 from catalens.llm.words import LOWER, NOT_SPACE, distinct, slices, words
 from catalens.session import materialize
 
@@ -74,23 +74,24 @@ def sequences(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """All nodes below two context bytes that the keys of a bucket touch; ``key`` sorted, ``count`` from training."""
+    """Nodes of one bit of the byte, below the two context bytes that the keys of a bucket touch; ``key`` is sorted.
 
-    def __init__(self, key: np.ndarray, count: np.ndarray, depth: int):
+    The bits are eight separate trees: a node belongs to a context and the bits before, so each is built on its own.
+    """
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, depth: int, nth: int):
         symbol = ((key >> _U(56 - 8 * depth)) & _U(255)).astype(np.int64)
-        self.n = len(key)
-        bit = np.arange(8)
-        self.prefix = ((1 << bit) | (symbol[:, None] >> (8 - bit))).ravel()
-        self.bit = ((symbol[:, None] >> (7 - bit)) & 1).ravel()
-        weight = np.repeat(count, 8)
-        self.levels = []  # from ``depth`` to 2: node of each row, estimate of a one, weight of stopping there
+        self.prefix = (1 << nth) | (symbol >> (8 - nth))
+        self.bit = ((symbol >> (7 - nth)) & 1).astype(bool)
+        trained = count * self.bit
+        self.levels = []  # from ``depth`` to 2: node of each key, estimate of a one, weight of stopping there
         below = None
         for d in range(depth, 1, -1):
             context = key >> _U(64 - 8 * d)
             number = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]))
-            names, first, node = np.unique(np.repeat(number, 8) << 8 | self.prefix, return_index=True, return_inverse=True)
-            ones = np.bincount(node, weight * self.bit, len(names))
-            zeros = np.bincount(node, weight, len(names)) - ones
+            names, first, node = np.unique(number << 8 | self.prefix, return_index=True, return_inverse=True)
+            ones = np.bincount(node, trained, len(names))
+            zeros = np.bincount(node, count, len(names)) - ones
             kt = log_kt(zeros, ones)
             if below is None:
                 mixed, stop = kt, np.ones(len(names))
@@ -98,11 +99,11 @@ class Tree:
                 deeper = np.bincount(node[below[0]], below[1], len(names))
                 mixed = np.logaddexp(kt, deeper) - math.log(2)
                 stop = np.exp(kt - math.log(2) - mixed)
-            self.levels.append((node, (ones + 0.5) / (zeros + ones + 1), stop))
+            self.levels.append((node.astype(np.int32), (ones + 0.5) / (zeros + ones + 1), stop))
             below = first, mixed
         self.first, self.mixed, self.zeros, self.ones = first, mixed, zeros, ones
         near = (key >> _U(48)) * _U(pow(int(_SPREAD), -1, 1 << 16)) & _U(0xFFFF)
-        self.nearest = np.repeat((near >> _U(8)).astype(np.int64), 8)
+        self.nearest = (near >> _U(8)).astype(np.int64)
 
     def above(self) -> pd.DataFrame:
         """What the two-byte contexts hand to the one-byte contexts: per (byte, prefix) the log product and the counts."""
@@ -111,14 +112,14 @@ class Tree:
         return rows.groupby(["byte", "prefix"], as_index=False).sum()
 
     def log10(self, top: dict) -> np.ndarray:
-        """Log10 probability of the last byte of every key after the bytes before it."""
+        """Log10 probability of this bit of every key after the bytes and bits before it."""
         p = None
         for node, one, stop in self.levels:
             p = one[node] if p is None else stop[node] * one[node] + (1 - stop[node]) * p
         for name, at in (("near", self.nearest << 8 | self.prefix), ("all", self.prefix)):
             one, stop = top[name]
             p = stop[at] * one[at] + (1 - stop[at]) * p
-        return np.log10(np.where(self.bit, p, 1 - p)).reshape(self.n, 8).sum(1)
+        return np.log10(np.where(self.bit, p, 1 - p))
 
 
 def _top(rows: pd.DataFrame) -> dict:
@@ -198,7 +199,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     if not 2 <= depth <= 7:
         raise ValueError("depth is 2 to 7 bytes")
     packed = pack(docs, "score-blocks", block_bytes)
-    bits = min(16, bucket_bits(packed))
+    bits = min(16, bucket_bits(packed, BUCKET_BYTES // 4))
     spark = docs.sparkSession
 
     def sequence_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +211,8 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
 
     def above(batches):
         for _, bucket in _buckets(batches):
-            yield pa.RecordBatch.from_pandas(Tree(bucket.keys, bucket.total, depth).above(), preserve_index=False)
+            for nth in range(8):
+                yield pa.RecordBatch.from_pandas(Tree(bucket.keys, bucket.total, depth, nth).above(), preserve_index=False)
 
     of_near = asked.mapInArrow(above, "byte long, prefix long, mixed double, zeros long, ones long")
     top = spark.sparkContext.broadcast(_top(of_near.groupBy("byte", "prefix").agg(
@@ -218,7 +220,8 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
 
     def predicted(batches):
         for _, bucket in _buckets(batches):
-            said = bucket.answers(Tree(bucket.keys, bucket.total, depth).log10(top.value).astype(np.float32))
+            said = sum(Tree(bucket.keys, bucket.total, depth, nth).log10(top.value) for nth in range(8))
+            said = bucket.answers(said.astype(np.float32))
             yield pa.RecordBatch.from_pandas(said.astype({"bucket": np.int32}), preserve_index=False)
 
     def counted(part: pd.DataFrame) -> pd.DataFrame:
