@@ -71,7 +71,8 @@ def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     begin = np.flatnonzero(new)
     # Windows of a text that its segments leave out come only at its end, so a segment lasts to the next or to the end.
     stop = np.minimum(np.concatenate([begin[1:], [windows]]), (ends - length + 1)[doc[begin]])
-    return doc[begin], begin - (ends - sizes)[doc[begin]], stop - begin, mix(value[anchor[begin]] + _U(1))  # least hashes are small; spread them again
+    own = mix(value[anchor[begin]] + _U(1))  # least hashes share their leading bits; spread them again
+    return doc[begin], begin - (ends - sizes)[doc[begin]], stop - begin, own
 
 
 def _segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
