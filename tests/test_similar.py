@@ -43,18 +43,25 @@ def brute_top(vecs, key, k):
     return [(other, -score) for score, other in sorted(out)[:k]]
 
 
-@pytest.mark.parametrize("block_rows,parts,prune_from", [(None, 1, 16), (7, 5, 16), (7, 5, 2)])
-def test_all_pairs_equal_brute_force(spark, docs, block_rows, parts, prune_from):
+@pytest.mark.parametrize("block_rows,parts", [(None, 1), (7, 5), (3, 2)])
+def test_all_pairs_equal_brute_force(spark, docs, block_rows, parts):
     vecs = brute_vectors(docs, 8)
     made = vectors.document_vectors(frame(spark, docs, parts), ["a", "b"], "text", ["the", "of"], 8)
     assert made.count() == len(vecs)
     got = {}
-    for r in similar.similar_all(made, ["a", "b"], 5, block_rows, prune_from).orderBy("a", "b", "rank").collect():
+    for r in similar.similar_all(made, ["a", "b"], 5, block_rows).orderBy("a", "b", "rank").collect():
         got.setdefault((r["a"], r["b"]), []).append(((r["near_a"], r["near_b"]), r["score"]))
     assert got == {key: top for key in vecs if (top := brute_top(vecs, key, 5))}
     assert all(0 < s <= 1 for top in got.values() for _, s in top)
 
 
+def test_no_documents(spark, docs):
+    made = vectors.document_vectors(frame(spark, docs), ["a", "b"], "text", ["the", "of"], 8).limit(0)
+    assert similar.similar_all(made, ["a", "b"]).collect() == []
+    seeds = spark.createDataFrame([("x", 0, 0)], "name string, a long, b long")
+    assert similar.similar_to(made, ["a", "b"], seeds, "name").collect() == []
+
+
 def test_few_seeds_equal_brute_force(spark, docs):
     vecs = brute_vectors(docs, 8)
     made = vectors.document_vectors(frame(spark, docs), ["a", "b"], "text", ["the", "of"], 8)
