@@ -72,3 +72,21 @@ def test_planted_items(spark):
                     whole.add(doc_id)
     got = {r["doc_id"] for r in QUERIES["op5_decontamination"](spark, SF).collect()}
     assert whole and whole <= got <= some
+
+
+def found(spark, item, texts):
+    """The numbers of the texts that hold the item."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in templates.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+
+
+def test_words_put_in_or_left_out(spark):
+    item = ITEMS[0][1].split()
+    middle = [*item[:20], "surely", *item[20:]], [*item[:21], *item[22:]]
+    names = ITEMS[0][1].replace("Alice", "Mary Ann").replace("12", "1,500").replace("5 ", "2.5 ").replace("7 kg", "twenty-five miles")
+    short = "the old red boat goes slowly down that wide river to our small white house".split()
+    assert found(spark, ITEMS[0][1], [*map(" ".join, middle), names, " ".join(item[:12])]) == {0, 1, 2}
+    assert found(spark, " ".join(short), [" ".join([*short[:7], "very", *short[7:]]), " ".join([*short[:7], "this", *short[8:]]),
+                                          " ".join(short[:7])]) == {0, 1}
+    long = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    assert found(spark, " ".join(long), [" ".join(long[30:60]), " ".join(long[30:50])]) == {0}
