@@ -55,9 +55,11 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _POINT = np.zeros(256, bool)
 _POINT[[44, 46]] = True
-#: Bytes that end a sentence or a line; the word after them may be capitalised without being a name.
+#: Bytes that end a sentence, as a blank line does; the word after them may be capitalised without being a name.
 _STOP = np.zeros(256, bool)
-_STOP[[10, 13, 33, 46, 58, 59, 63, 34, 40, 124]] = True
+_STOP[[33, 46, 58, 59, 63, 34, 40, 124]] = True
+_LINE = np.zeros(256, bool)
+_LINE[10] = True
 #: Bytes other than blanks, line ends and hyphens; words with none between them may be one name or one number.
 _BREAK = np.ones(256, bool)
 _BREAK[[10, 13, 32, 45]] = False
@@ -87,15 +89,16 @@ class Template:
             low = raw
         flat = np.frombuffer(b" ".join([*data, b""]), np.uint8) if data else np.zeros(0, np.uint8)
         doc, value, start, end = raw.doc, low.hash, raw.start, raw.end
-        digits, capitals, stops, breaks = (np.concatenate([[0], np.cumsum(x[flat])]) for x in (_DIGIT, _CAPITAL, _STOP, _BREAK))
+        digits, capitals, stops, lines, breaks = (
+            np.concatenate([[0], np.cumsum(x[flat])]) for x in (_DIGIT, _CAPITAL, _STOP, _LINE, _BREAK))
         digit, spelled = digits[end] > digits[start], np.isin(value, _hashes(NUMBER_WORDS))
         number = digit | spelled
         before = np.concatenate([[0], end[:-1]])[: len(start)]
         same = np.concatenate([[False], doc[1:] == doc[:-1]])[: len(start)]
-        opens = ~same | (stops[start] > stops[before])
+        opens = ~same | (stops[start] > stops[before]) | (lines[start] - lines[before] > 1)
         # A capital, then small letters, inside a sentence. An all-capital word is just emphasis.
         capital = _CAPITAL[flat[start]] & (capitals[end] - capitals[start] < end - start) & ~number
-        near = same & (breaks[start] == breaks[before])
+        near = ~opens & (breaks[start] == breaks[before])
         last = lambda x: np.concatenate([[False], x[:-1]])[: len(x)]
         point = same & (start - before == 1) & digit & last(digit) & _POINT[flat[before]] if len(start) else same
         first, self.value = _folded(value, point | (near & spelled & last(number)))
@@ -107,13 +110,18 @@ class Template:
 
     def forms(self) -> Iterator[tuple[int, Form]]:
         """The ways in which words are read, each with its number; the lower one is preferred."""
-        yield 0, Form(self, self.kind, self.kind)
+        yield 0, Form(self, self.kind, self.kind, None)
+        # Names by their very words, lower-cased: copies in another letter case.
+        yield 1, Form(self, self.kind, np.where(self.kind == NAME, WORD, self.kind), NAME)
 
 
 class Form:
-    """Template words of one reading: the place and value of each, its kind, and prefix sums of what is hashed."""
+    """Template words of one reading: the place and value of each, its kind, and prefix sums of what is hashed.
 
-    def __init__(self, of: Template, kind: np.ndarray, slots: np.ndarray):
+    Of kind ``only``, if given, a window must hold one; without, the reading is another's.
+    """
+
+    def __init__(self, of: Template, kind: np.ndarray, slots: np.ndarray, only: int | None):
         name = slots == NAME
         self.at, self.value = _folded(of.value, name & np.concatenate([[False], name[:-1]])[: len(name)] & of.near)
         self.doc, self.kind, slots = of.doc[self.at], kind[self.at], slots[self.at]
@@ -124,6 +132,7 @@ class Form:
         self.sums, self.exact = (
             np.concatenate([np.zeros(1, _U), np.cumsum(x * power[:-1], dtype=_U)]) for x in (canonical, mix(self.value)))
         self.plain = np.concatenate([[0], np.cumsum(slots == WORD)])
+        self.wanted = None if only is None else np.concatenate([[0], np.cumsum(self.kind == only)])
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of all windows of n template words inside one text.
@@ -134,7 +143,8 @@ class Form:
         total = len(self.doc) - n + 1
         if total < 1:
             return np.zeros(0, np.int64), np.zeros(0, _U)
-        start = np.flatnonzero(self.doc[:total] == self.doc[n - 1 :])
+        own = self.doc[:total] == self.doc[n - 1 :]
+        start = np.flatnonzero(own if self.wanted is None else own & (self.wanted[n:] > self.wanted[:-n]))
         h, exact = ((x[start + n] - x[start]) * self.inverse[start] for x in (self.sums, self.exact))
         h = np.where(2 * (self.plain[start + n] - self.plain[start]) >= n, h, exact ^ _U(1))
         return start, mix(mix(h) + _U(n))

@@ -90,3 +90,12 @@ def test_words_put_in_or_left_out(spark):
                                           " ".join(short[:7])]) == {0, 1}
     long = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
     assert found(spark, " ".join(long), [" ".join(long[30:60]), " ".join(long[30:50])]) == {0}
+
+
+def test_letter_case_and_lines(spark):
+    item, german = ITEMS[0][1], (
+        "Der Bauer Karl hat zwei Hunde und drei Katzen im Garten, seine Frau Anna hat Vögel im Haus und Fische im Teich vor dem Tor")
+    wrapped = re.sub(r" (?=Alice|Robert|for|and)", "\n", item)
+    assert found(spark, item, [item.lower(), item.upper(), item.title(), wrapped, wrapped.replace("Alice", "Maria"),
+                               item.lower().replace("12", "340")]) == {0, 1, 2, 3, 4, 5}
+    assert found(spark, german, [german.lower(), german.upper(), german.title(), german.replace(" ", "\n")]) == {0, 1, 2, 3}
