@@ -48,7 +48,10 @@ NUMBER_WORDS = """
 zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
 nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
 """.split()
-WORD, NUMBER, NAME, UNIT = range(4)
+#: Unchanged words that an item of mostly slots must have to be found with other slots, and with another word opening a sentence.
+LEAST_PLAIN = 2, 3
+#: OPENER is a capitalised word that opens a sentence: a name or not.
+WORD, NUMBER, NAME, UNIT, OPENER = range(5)
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -104,7 +107,7 @@ class Template:
         first, self.value = _folded(value, point | (near & spelled & last(number)))
         self.doc, number, self.near = doc[first], number[first], near[first]
         unit = same[first] & last(number) & np.isin(self.value, _hashes(UNITS))
-        name = (capital & ~opens)[first]
+        name, self.opener = (capital & ~opens)[first], (capital & opens)[first]
         self.kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD))).astype(np.int8)
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
@@ -113,6 +116,9 @@ class Template:
         yield 0, Form(self, self.kind, self.kind, None)
         # Names by their very words, lower-cased: copies in another letter case.
         yield 1, Form(self, self.kind, np.where(self.kind == NAME, WORD, self.kind), NAME)
+        # Words that open a sentence as names.
+        opener = self.opener & (self.kind == WORD)
+        yield 2, Form(self, np.where(opener, OPENER, self.kind).astype(np.int8), np.where(opener, NAME, self.kind), OPENER)
 
 
 class Form:
@@ -137,7 +143,7 @@ class Form:
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of all windows of n template words inside one text.
 
-        A window of mostly slots says little as a template (a table of numbers would match any other), so it is hashed by
+        A window of slots alone says nothing as a template (a table of numbers would match any other), so it is hashed by
         its very words.
         """
         total = len(self.doc) - n + 1
@@ -146,7 +152,7 @@ class Form:
         own = self.doc[:total] == self.doc[n - 1 :]
         start = np.flatnonzero(own if self.wanted is None else own & (self.wanted[n:] > self.wanted[:-n]))
         h, exact = ((x[start + n] - x[start]) * self.inverse[start] for x in (self.sums, self.exact))
-        h = np.where(2 * (self.plain[start + n] - self.plain[start]) >= n, h, exact ^ _U(1))
+        h = np.where(self.plain[start + n] > self.plain[start], h, exact ^ _U(1))
         return start, mix(mix(h) + _U(n))
 
 
@@ -219,7 +225,8 @@ def _bitmap(items: DataFrame):
 class Slots:
     """Words of an item and of a document side by side, as long as their slots are consistent.
 
-    Of one type, equal item values have equal document values, and different ones different ones.
+    Of one type, equal item values have equal document values, and different ones different ones. A window in which only
+    words that open sentences contradict is left out.
     """
 
     def __init__(self):
@@ -227,26 +234,39 @@ class Slots:
 
     def add(self, row: dict) -> bool:
         """Take the words of a window; False, and nothing taken, if they contradict those before."""
-        there, back = dict(self.there), dict(self.back)
+        there, back, left_out = dict(self.there), dict(self.back), False
         item, doc, kind, at = (np.frombuffer(row[x], t).tolist() for x, t in (
             ("item_values", np.int64), ("values", np.int64), ("item_kinds", np.int8), ("item_at", np.int64)))
         for a, b, k in zip(item, doc, kind, strict=True):
-            if k and (there.setdefault((k, a), b) != b or back.setdefault((k, b), a) != a):
-                return False
+            own = NAME if k == OPENER else k
+            if k and (there.setdefault((own, a), b) != b or back.setdefault((own, b), a) != a):
+                if k != OPENER:
+                    return False
+                left_out = True
+        if left_out:
+            return True
         self.there, self.back = there, back
-        for a, b, place, stop in zip(item, doc, at, [*at[1:], row["item_stop"]], strict=True):
-            self.words.update(dict.fromkeys(range(place, stop), False))
-            self.words[place] = a != b
+        for a, b, k, place, stop in zip(item, doc, kind, at, [*at[1:], row["item_stop"]], strict=True):
+            self.words.update(dict.fromkeys(range(place, stop), (False, k)))
+            self.words[place] = a != b, k
         self.taken += 1
         return True
 
-    def found(self) -> tuple[int, int, int, int]:
-        """(item words covered, most of them in a row and unchanged, changed slots, windows)."""
+    def found(self, n_words: int) -> tuple[int, int, int, int]:
+        """(item words covered, most of them in a row and unchanged, changed slots, windows).
+
+        Of mostly slots, only unchanged words count, unless the whole item is there with enough plain words.
+        """
         row = most = 0
         for place in sorted(self.words):
-            row = 0 if self.words[place] else row + 1 if place - 1 in self.words else 1
+            row = 0 if self.words[place][0] else row + 1 if place - 1 in self.words else 1
             most = max(most, row)
-        return len(self.words), most, sum(self.words.values()), self.taken
+        covered, changed = len(self.words), sum(c for c, _ in self.words.values())
+        plain = sum(not c and k in (WORD, OPENER) for c, k in self.words.values())
+        least = LEAST_PLAIN[any(c and k == OPENER for c, k in self.words.values())]
+        if 2 * plain < covered and not (covered == n_words and plain >= least):
+            covered -= changed
+        return covered, most, changed, self.taken
 
 
 def _best_run(rows: list[dict]) -> tuple[int, int, int, int]:
@@ -254,9 +274,9 @@ def _best_run(rows: list[dict]) -> tuple[int, int, int, int]:
     best, now = (0, 0, 0, 0), Slots()
     for row in rows:
         if not now.add(row):
-            best, now = max(best, now.found(), key=lambda x: x[:2]), Slots()
+            best, now = max(best, now.found(row["item_words"]), key=lambda x: x[:2]), Slots()
             now.add(row)
-    return max(best, now.found(), key=lambda x: x[:2])
+    return max(best, now.found(rows[0]["item_words"]), key=lambda x: x[:2])
 
 
 def _chain(place: np.ndarray, stop: np.ndarray, shift: np.ndarray) -> list[int]:

@@ -99,3 +99,10 @@ def test_letter_case_and_lines(spark):
     assert found(spark, item, [item.lower(), item.upper(), item.title(), wrapped, wrapped.replace("Alice", "Maria"),
                                item.lower().replace("12", "340")]) == {0, 1, 2, 3, 4, 5}
     assert found(spark, german, [german.lower(), german.upper(), german.title(), german.replace(" ", "\n")]) == {0, 1, 2, 3}
+
+
+def test_arithmetic_and_names_that_open_sentences(spark):
+    assert found(spark, "What is 12 + 30 * 8?", ["Well. What is 7 + 9 * 15? Say it", "What was 12 + 30 * 8?", "the 1 2 3 4 5 6"]) == {0}
+    item = "Alice has 12 apples. Robert has 5 pears. Alice eats 3."
+    assert found(spark, item, [item.replace("Alice", "Maria").replace("Robert", "Oskar").replace("12", "40"),
+                               "Robert has 12 apples. They are red."]) == {0}
