@@ -8,6 +8,7 @@ and lists of who shares a first shingle tie these into clusters. Within a cluste
   longer be reached are not looked at;
 * answers are skipped by set relation: a set whose partners are all in its component already asks nothing, and otherwise
   its overlaps with all others are derived from those of a similar set by the few shingles in which the two differ.
+  To count links, every set asks, and only the derivation spares work.
 
 Equal sets are one set throughout. Clusters beyond ``CELL`` sets are cut into cells, two parts at a time, so that every pair
 meets in some cell and none grows with the data.
@@ -164,12 +165,17 @@ class Cluster:
         at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
         return np.bincount(self.docs[at], minlength=len(self.sets))
 
-    def link(self) -> list[tuple[int, int]]:
+    def link(self, weight: np.ndarray | None = None, counted=None) -> list[tuple[int, int, int]]:
+        """Edges (a, b, 0) that tie linked sets together; with ``weight``, also (a, a, links) for every set a that has any.
+
+        Links are the weights of all linked sets z for which ``counted(a, z)``, arguments and answer by position.
+        """
         edges, known, last = [], {}, None
         for x in np.argsort(self.n, kind="stable"):
             home = self.top(x)
-            other = [z for z in self.partners(x).tolist() if self.top(z) != home]
-            if not other:
+            partners = self.partners(x)
+            other = [z for z in partners.tolist() if self.top(z) != home]
+            if not (other if weight is None else len(partners)):
                 continue
             own = self.term[self.begin[x] : self.begin[x + 1]]
             near = known.get(home, last)
@@ -179,28 +185,47 @@ class Cluster:
                 near = overlap + self.count(gained) - self.count(lost) if len(gained) + len(lost) < len(own) else None
             overlap = self.count(own) if near is None else near
             last = own, overlap
+            if weight is not None:
+                both = overlap[partners]
+                linked = partners[100 * both >= self.percent * (self.n[x] + self.n[partners] - both)]
+                total = int(weight[linked][counted(x, linked)].sum())
+                if total:
+                    edges.append((int(self.ids[x]), int(self.ids[x]), total))
             for z in other:
                 both = int(overlap[z])
                 if 100 * both >= self.percent * (self.n[x] + self.n[z] - both):
                     a, b = self.top(x), self.top(z)
                     if a != b:
                         self.up[max(a, b)] = min(a, b)
-                        edges.append((int(self.ids[x]), int(self.ids[z])))
+                        edges.append((int(self.ids[x]), int(self.ids[z]), 0))
             known[self.top(x)] = last
             if len(known) > 64:  # overlaps of recent sets are enough
                 known.pop(next(iter(known)))
         return edges
 
 
-def _link_cell(part: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _link_cell(part: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
     part = part.drop_duplicates("set_id")
-    sets = [np.frombuffer(s, _U) for s in part["shared"]]
-    edges = Cluster(part["set_id"].to_numpy(), part["n"].to_numpy(), sets, percent).link() if len(sets) > 1 else []
-    return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+    sets, weight, counted = [np.frombuffer(s, _U) for s in part["shared"]], None, None
+    if every:
+        weight, own = part["size"].to_numpy(), part["part"].to_numpy()
+        i, j, parts = (int(part[x].iloc[0]) for x in ("i", "j", "parts"))
+
+        def counted(x: int, other: np.ndarray) -> np.ndarray:
+            """Sets of one part meet in several cells and count in that with the next part."""
+            if parts < 3:
+                return np.ones(len(other), bool)
+            return (own[other] != own[x]) | ((own[x] + 1) % parts == i + j - own[x])
+
+    cluster = Cluster(part["set_id"].to_numpy(), part["n"].to_numpy(), sets, percent) if len(sets) > 1 else None
+    return pd.DataFrame(cluster.link(weight, counted) if cluster else [], columns=["a", "b", "n_links"]).astype("int64")
 
 
-def links(near: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) between set ids that tie all linked sets together; ``near`` has set_id, n, shared, a row for each set."""
+def links(near: DataFrame, percent: int, cell: int = CELL, every: bool = False) -> DataFrame:
+    """Edges (a, b, 0) between set ids that tie all linked sets together; ``near`` has set_id, n, shared, a row for each set.
+
+    ``every``: also rows (a, a, n_links) whose sum over a set is the ``size`` of all sets that link with it.
+    """
     tokens = near.select("set_id", "n", "shared").mapInArrow(lambda x: _first_shingles(x, percent), "token long, set_id long")
     tokens = materialize(tokens, "first-shingles")
     least = tokens.groupBy("token").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("size"))
@@ -216,21 +241,31 @@ def links(near: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     # One part: the cluster is its only cell. More: cell (i, j) has the sets of parts i and j.
     cells = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter(
         "parts < 3 OR j <> part").select(
-        F.col("node").alias("set_id"), "component",
+        F.col("node").alias("set_id"), "component", "part", "parts",
         F.when(F.col("parts") < 3, 0).otherwise(F.least("part", "j")).alias("i"),
         F.when(F.col("parts") < 3, 0).otherwise(F.greatest("part", "j")).alias("j")).distinct()
     return cells.join(near, "set_id").groupBy("component", "i", "j").applyInPandas(
-        lambda part: _link_cell(part, percent), "a long, b long")
+        lambda part: _link_cell(part, percent, every), "a long, b long, n_links long")
 
 
 def jaccard_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES,
                    cell: int = CELL) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row.
+    """The columns of ``jaccard_links`` but n_links: groups only, which spares the links inside a component."""
+    return _joined(docs, n_words, percent, block_bytes, cell, False).drop("n_links")
+
+
+def jaccard_links(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES,
+                  cell: int = CELL) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (other rows it links with) of every row.
 
     Words are runs of bytes other than space and controls 9 to 13, with A-Z lower-cased. A text without words, or null, has
     no shingles and links with nothing. Repeated rows are answered alike. A null id takes part in links and is never a
     component id unless no member has an id. Other columns are not read. No rows in, no rows out.
     """
+    return _joined(docs, n_words, percent, block_bytes, cell, True)
+
+
+def _joined(docs: DataFrame, n_words: int, percent: int, block_bytes: int, cell: int, every: bool) -> DataFrame:
     packed = pack(docs, "shingle-blocks", block_bytes)
     asked = ask(packed, lambda row: _keys(unpack(row["sizes"], row["data"]), n_words), bucket_bits(packed))
 
@@ -242,13 +277,18 @@ def jaccard_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT
     sets = materialize(
         asked.mapInArrow(lambda x: _sets(x, n_words, percent), "doc_id long, set_id long, n long, shared binary"), "sets")
     near = materialize(sets.filter("shared IS NOT NULL").dropDuplicates(["set_id"]).select("set_id", "n", "shared"), "near-sets")
-    linked = components(links(near, percent, cell))
+    if every:
+        near = near.join(sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("size")), "set_id")
+    edges = materialize(links(near, percent, cell, every), "links")
+    linked = components(edges)
     least = sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("size"))
     least = least.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "component", F.coalesce("component", "set_id"))
+        "component", F.coalesce("component", "set_id")).join(
+        edges.groupBy(F.col("a").alias("set_id")).agg(F.sum("n_links").alias("n_links")), "set_id", "left").withColumn(
+        "n_links", F.coalesce("n_links", F.lit(0)) + F.col("size") - 1)
     least = materialize(least, "set-groups")
     roots = least.groupBy("component").agg(F.min("own").alias("component_id"), F.count(F.lit(1)).alias("sets"))
-    groups = join_groups(least, roots, ["component"], "sets", least.count()).select("set_id", "size", "component_id")
+    groups = join_groups(least, roots, ["component"], "sets", least.count()).select("set_id", "size", "component_id", "n_links")
     found = join_groups(sets.filter("n > 0").select("doc_id", "n", "set_id"), groups, ["set_id"], "size", sets.count())
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
-        sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(sets.filter("n = 0").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))

@@ -49,6 +49,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(_read(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_links(_read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(3) == 1
@@ -78,7 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_chat_trees, op3_context_tree, op4_byte_bpe, op5_decontamination, op6_jaccard_join, op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts)}
+    op1_suffix_dedup, op2_chat_trees, op3_context_tree, op4_byte_bpe, op5_decontamination, op6_jaccard_join, op6_jaccard_links, op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts)}
 
 ORACLE = {
     "op2_chat_trees": r"""

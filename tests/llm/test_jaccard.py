@@ -90,3 +90,15 @@ def test_components(spark):
         got = components(spark.createDataFrame(edges, "a long, b long")).collect()
         nodes = {x for e in edges if e[0] != e[1] for x in e}
         assert {r["node"]: r["component"] for r in got} == tops(nodes, [e for e in edges if e[0] != e[1]]) and len(got) == len(nodes)
+
+
+def test_every_link_counts(spark):
+    rng = random.Random(3)
+    texts = near_copies(rng, 6, 12) + near_copies(rng, 1, 60) + ["same words again and again"] * 9 + [""]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: sum(i != j and bool(s) and 100 * len(s & t) >= 75 * len(s | t) for j, t in enumerate(sets)) for i, s in enumerate(sets)}
+    for cell in (4096, 16):
+        got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_links(docs, block_bytes=4_000, cell=cell).collect()}
+        assert got == want
