@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, chat_trees, context_tree, exact_dedup, jaccard, language, suffix_dedup, templates, token_counts, toxicity
+from catalens.llm import (
+    byte_bpe, chat_trees, context_tree, exact_dedup, jaccard, language, prefix_trie, simhash, suffix_dedup, templates, token_counts, toxicity,
+)
 from catalens.llm.texts import fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -81,8 +83,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), entries, public_tokenizers.PATTERN)
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document; words of three, at most three bits apart."""
+    return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that borrow their first turns from one in twenty."""
+    turns = prefix_trie.numbered_turns(_read(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.shared_heads(turns))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_chat_trees, op3_context_tree, op4_byte_bpe, op5_decontamination, op6_jaccard_join, op6_jaccard_links, op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts)}
+    op1_suffix_dedup, op2_chat_trees, op3_context_tree, op4_byte_bpe, op5_decontamination, op6_jaccard_join, op6_jaccard_links,
+    op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts, op12_simhash, op13_prefix_trie)}
 
 ORACLE = {
     "op2_chat_trees": r"""
@@ -105,4 +119,44 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op13_prefix_trie": r"""
+        WITH o AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+                list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+                lambda crc, x: list_reduce(
+                    range(8), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(crc, x)),
+                4294967295)) % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM o)
+        ), said AS (
+            SELECT c.conv_id, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.h
+            UNION ALL
+            SELECT c.conv_id, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h
+        ), turns AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM said
+        ), prefixes AS (
+            SELECT conv_id, depth, text,
+                   string_agg(md5(length(role) || ':' || role || text), '' ORDER BY depth) OVER (
+                       PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS prefix FROM turns
+            UNION ALL SELECT conv_id, 0, '', '' FROM c
+        ), lengths AS (
+            SELECT conv_id, max(depth) AS n_turns FROM prefixes GROUP BY conv_id
+        ), nodes AS (
+            SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS saved,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n_turns), '')) AS ends_sha256
+            FROM prefixes JOIN lengths USING (conv_id) GROUP BY depth, prefix
+        ), hung AS (
+            SELECT n.*, p.conv_id AS parent_conv_id,
+                   (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND left(k.prefix, 32 * n.depth::INT) = n.prefix) AS n_children
+            FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = left(n.prefix, 32 * p.depth::INT)
+        ), sums AS (
+            SELECT a.depth, a.prefix, sum(x.saved) AS saved_tokens, count(*) FILTER (x.n_children = 0) AS n_leaves
+            FROM hung x JOIN prefixes a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY a.depth, a.prefix
+        )
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+        FROM hung JOIN sums USING (depth, prefix)""",
 }
