@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.llm import (
-    byte_bpe, chat_trees, context_tree, exact_dedup, jaccard, language, prefix_trie, simhash, suffix_dedup, templates, token_counts, toxicity,
+    byte_bpe, chat_trees, context_tree, exact_dedup, hard_negatives, jaccard, language, prefix_trie, simhash, suffix_dedup, templates,
+    token_counts, toxicity,
 )
 from catalens.llm.texts import fold
 
@@ -83,6 +84,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), entries, public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has the next label."""
+    key, label = F.col("vec_id"), F.col("label")
+    rows = _read(spark, sf_dir, "embeddings").withColumn("label", F.when(key % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(rows, key % 100 == 0)
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document; words of three, at most three bits apart."""
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
@@ -96,7 +104,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_chat_trees, op3_context_tree, op4_byte_bpe, op5_decontamination, op6_jaccard_join, op6_jaccard_links,
-    op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts, op12_simhash, op13_prefix_trie)}
+    op7_toxicity, op8_language, op9_exact_dedup, op10_token_counts, op11_hard_negatives, op12_simhash, op13_prefix_trie)}
 
 ORACLE = {
     "op2_chat_trees": r"""
@@ -119,6 +127,26 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+        QUALIFY rank <= 10""",
     "op13_prefix_trie": r"""
         WITH o AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
