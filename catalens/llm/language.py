@@ -112,7 +112,8 @@ def viterbi(score: np.ndarray, start: np.ndarray, size: np.ndarray, penalty: flo
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # texts longer than t
-    came = np.zeros(score.shape, np.uint8)
+    kind = np.min_scalar_type(max(0, score.shape[1] - 1))
+    came = np.zeros(score.shape, kind)
     value = np.zeros((len(size), score.shape[1]), np.float32)
     last = np.zeros(len(size), np.int64)
     for t, n in enumerate(active):
@@ -121,7 +122,7 @@ def viterbi(score: np.ndarray, start: np.ndarray, size: np.ndarray, penalty: flo
             best = v.argmax(1)
             switch = v[np.arange(n), best] - penalty
             stay = v >= switch[:, None]
-            came[rows] = np.where(stay, np.arange(v.shape[1], dtype=np.uint8), best[:, None])
+            came[rows] = np.where(stay, np.arange(v.shape[1], dtype=kind), best[:, None])
             np.maximum(v, switch[:, None], out=v)
         v += score[rows]
     for t in range(len(active) - 1, -1, -1):
@@ -182,10 +183,10 @@ def predict(docs: DataFrame, model, penalty: float = SWITCH) -> DataFrame:
     return by_rows(id_text(docs), None, "doc_id long, lang_pred string, score double", start)
 
 
-def keep_rows(docs: DataFrame, model, least_share: float = 0.5, penalty: float = SWITCH) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language is known and has at least ``least_share`` of the letters.
+def keep_rows(docs: DataFrame, model, least_share: float = 0.0, penalty: float = SWITCH) -> DataFrame:
+    """The rows of ``docs``, with their columns, that ``predict`` gives a language with at least ``least_share`` of the letters.
 
-    Texts without a letter, and null ones, go. If nothing was learned, every text with a letter stays.
+    By default a mixture of languages stays, whatever the share of the largest. Texts without a letter, and null ones, go. If nothing was learned, every text with a letter stays.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

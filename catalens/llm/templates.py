@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.llm.texts import STEP_ROWS, id_text
@@ -350,6 +350,10 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: floa
                              "covered": [covered / row["item_words"]], "row": [in_row], "changed_slots": [changed]})
 
     # A group is a band of alignments of one item in one document: at most the square of the item's words, however long the text.
+    # One whose windows together, or from the first place to the last, have too few words of the item can't match.
+    group = Window.partitionBy("doc_id", "item_id", "band")
+    most = F.least(F.sum(F.col("item_stop") - F.col("item_place")).over(group), F.max("item_stop").over(group) - F.min("item_place").over(group))
+    found = found.withColumn("most", most).filter((F.col("most") >= run) | (F.col("most") >= cover * F.col("item_words"))).drop("most")
     judged = found.groupBy("doc_id", "item_id", "band").applyInPandas(judge, kind)
     best = judged.filter((F.col("covered") >= cover) | (F.col("row") >= run)).groupBy("doc_id", "item_id").agg(
         F.max(F.struct("covered", "n_windows", (-F.col("changed_slots")).alias("less"))).alias("x"))

@@ -50,3 +50,19 @@ def test_odd_rows_that_stay(spark, odd_docs):
     out = corpus_pipeline.encoded(spark, docs, SF).collect()
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in out) == Counter(
         (i, hashlib.sha256(t.encode()).hexdigest()) for i, t in kept)
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that stages work with come out as they went in."""
+    names = ["lang", "kept_id", "kept_text", "found_id", "no_id", "id", "sha", "row", "kept", "keep_id", "text_sha256", "component_id", "lang_pred"]
+    texts = ["one text of some words", "one text of some words", "another text here", None, "words words"]
+    rows = [(i, t, *[f"{n} {i}" for n in names]) for i, t in enumerate(texts)] + [(-(1 << 63), "least", *names), (None, "least", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = {"exact_dedup": [r for r in rows if r[0] not in (0, None)], "near_dedup": [r for r in rows if r[0] not in (1, None)]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = sorted(map(tuple, out.collect()), key=repr)
+        assert set(got) <= set(rows)
+        if name == "exact_dedup":
+            assert got == sorted(kept[name], key=repr)

@@ -31,7 +31,7 @@ def test_odd_languages(spark, odd_docs, no_docs):
     assert all((lang == "und") == (score == 0) for _, lang, score in out)
     kept = language.keep_rows(odd_docs, model)
     assert kept.columns == odd_docs.columns and kept.schema == odd_docs.schema
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, lang, s in out if lang != "und" and s >= 0.5)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, lang, s in out if lang != "und")
     assert language.predict(no_docs, model).collect() == []
     nothing = language.train(no_docs)
     assert {r["lang_pred"] for r in language.predict(odd_docs, nothing).collect()} == {"und"}
@@ -53,6 +53,23 @@ def test_spans_and_scripts(spark):
     assert [(model[0][k], len(list(g))) for k, g in itertools.groupby(label)] == [("aa", 18), ("bb", 12), ("gr", 2), ("bb", 3)]
 
 
+def test_more_languages_than_a_byte_numbers():
+    score = np.zeros((4, 300), np.float32)
+    score[:, 280] = 1
+    assert language.viterbi(score, np.array([0]), np.array([4]), 0.5).tolist() == [280] * 4
+
+
+def test_mixtures_stay(spark):
+    rng = random.Random(4)
+    kinds = {"aa": "abcde", "bb": "vwxyz", "gr": "αβγδε"}
+    made = lambda k, n: " ".join("".join(rng.choices(kinds[k], k=5)) for _ in range(n))
+    model = language.train(spark.createDataFrame([(made(k, 40), k) for k in kinds for _ in range(20)], "text string, lang string"))
+    docs = spark.createDataFrame([(1, " ".join(made(k, 20) for k in kinds)), (2, "12 34"), (3, made("aa", 9))], "doc_id long, text string")
+    assert language.predict(docs, model).filter("doc_id = 1").first()["score"] < 0.5
+    assert sorted(r["doc_id"] for r in language.keep_rows(docs, model).collect()) == [1, 3]
+    assert [r["doc_id"] for r in language.keep_rows(docs, model, least_share=0.9).collect()] == [3]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     size = np.array([1, 4, 6, 2, 6])
