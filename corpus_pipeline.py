@@ -16,7 +16,7 @@ from catalens.session import materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of which one language has at least half the letters; texts without a letter, or null, go.
+    """Keep documents whose language is known, mixtures included; texts without a letter, or null, go.
 
     The model is fitted on the labelled rows of ``docs`` outside the held-out fold. With none, any letter is enough.
     """
@@ -25,12 +25,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep the row with the largest id; null texts equal empty ones; of repeated rows one stays."""
-    key = ["kept_id", "kept_text"]
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("kept_id"), F.col("text_sha256").alias("kept_text"))
-    text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    keyed = docs.withColumns({"kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "kept_text": text})
-    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    key = ["no_id", "id", "sha"]  # beside the row, which is kept in one column, whatever its own columns are called
+
+    def known(text):
+        return [F.isnull("doc_id").alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text.alias("sha")]
+
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select(*known(F.col("text_sha256")))
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    keyed = docs.select(*known(text), F.struct("*").alias("row"))
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
