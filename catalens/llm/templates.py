@@ -302,15 +302,20 @@ def _chain(place: np.ndarray, stop: np.ndarray, shift: np.ndarray) -> list[int]:
 
 def _judge(part: pd.DataFrame) -> tuple[int, int, int, int]:
     """The best run on one alignment, or on neighbouring ones in order of place."""
-    part = part.sort_values(["item_place", "shift", "form"]).drop_duplicates(["item_place", "shift"])
-    best, n_words = (0, 0, 0, 0), part["item_words"].iloc[0]
-    for _, own in part.groupby("shift"):
-        best = max(best, _best_run(own.to_dict("records")), key=lambda x: x[:2])
+    rows: dict[tuple[int, int], dict] = {}
+    for row in sorted(part.to_dict("records"), key=lambda r: (r["item_place"], r["shift"], r["form"])):
+        rows.setdefault((row["item_place"], row["shift"]), row)
+    alignments: dict[int, list[dict]] = {}
+    for (_, shift), row in rows.items():
+        alignments.setdefault(shift, []).append(row)
+    best, n_words, rows = (0, 0, 0, 0), row["item_words"], list(rows.values())
+    for shift in sorted(alignments):
+        best = max(best, _best_run(alignments[shift]), key=lambda x: x[:2])
         if best[1] == n_words:
             return best
-    if part["shift"].nunique() > 1:
-        chain = _chain(*(part[x].to_numpy(np.int64) for x in ("item_place", "item_stop", "shift")))
-        best = max(best, _best_run(part.iloc[chain].to_dict("records")), key=lambda x: x[:2])
+    if len(alignments) > 1:
+        chain = _chain(*(np.array([r[x] for r in rows], np.int64) for x in ("item_place", "item_stop", "shift")))
+        best = max(best, _best_run([rows[i] for i in chain]), key=lambda x: x[:2])
     return best
 
 
@@ -338,10 +343,14 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: floa
     kind = "doc_id long, item_id long, n_windows long, covered double, row long, changed_slots long"
     half = F.greatest(F.lit(SHIFTS).cast("long"), F.expr("item_words div 2"))
     shift = F.col("place") - F.col("item_place")
-    band = F.floor(shift / half)
     found = windows(docs, window, sizes, _bitmap(own)).drop("n_words", "kinds", "at").join(own, "window")
     found = found.select(F.col("id").alias("doc_id"), "item_id", "form", shift.alias("shift"), "item_place", "item_stop", "item_words",
-                         "item_values", "values", "item_kinds", "item_at", F.explode(F.array(band, band + 1)).alias("band"))
+                         "item_values", "values", "item_kinds", "item_at", F.floor(shift / half).alias("band"))
+    # Bands n - 1 and n are judged together. A band without neighbours is judged once, not as a half of two equal groups.
+    order = Window.partitionBy("doc_id", "item_id").orderBy("band")
+    beside = F.count(F.lit(1)).over(order.rangeBetween(-1, 1)) > F.count(F.lit(1)).over(order.rangeBetween(0, 0))
+    bands = F.when(beside, F.array("band", F.col("band") + 1)).otherwise(F.array("band"))
+    found = found.withColumn("bands", bands).withColumn("band", F.explode("bands")).drop("bands")
 
     def judge(part: pd.DataFrame) -> pd.DataFrame:
         covered, in_row, changed, n_windows = _judge(part)
@@ -350,10 +359,6 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: floa
                              "covered": [covered / row["item_words"]], "row": [in_row], "changed_slots": [changed]})
 
     # A group is a band of alignments of one item in one document: at most the square of the item's words, however long the text.
-    # One whose windows together, or from the first place to the last, have too few words of the item can't match.
-    group = Window.partitionBy("doc_id", "item_id", "band")
-    most = F.least(F.sum(F.col("item_stop") - F.col("item_place")).over(group), F.max("item_stop").over(group) - F.min("item_place").over(group))
-    found = found.withColumn("most", most).filter((F.col("most") >= run) | (F.col("most") >= cover * F.col("item_words"))).drop("most")
     judged = found.groupBy("doc_id", "item_id", "band").applyInPandas(judge, kind)
     best = judged.filter((F.col("covered") >= cover) | (F.col("row") >= run)).groupBy("doc_id", "item_id").agg(
         F.max(F.struct("covered", "n_windows", (-F.col("changed_slots")).alias("less"))).alias("x"))
