@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from catalens.operators import sampling, similar, vectors
+from catalens.operators import lsh, sampling, similar, vectors
 from catalens.plans import movies
 from catalens.session import materialize
 
@@ -21,7 +21,7 @@ TOP = 5
 class Catalogue:
     """What the recommenders read; each table is stored once and read by every query.
 
-    ``titles``  (id, movie_id, title, cast, director, genres), one row per movie row
+    ``titles``  (id, movie_id, title, cast, director), one row per movie row
     ``content`` tag-text vectors, ``genre`` genre vectors
     """
 
@@ -34,9 +34,11 @@ def build(
     raw_movies: DataFrame, raw_credits: DataFrame, stop_words: list[str], parts=("content", "genre"),
     stem: bool = False, tfidf: bool = False,
 ) -> Catalogue:
-    # One join, stored: every facet and every text is read from it.
-    rows = materialize(movies.facets(movies.merged(raw_movies, raw_credits)), "titles")
-    titles = rows.select(*KEYS, "title", "cast", "director", "genres")
+    # One join, stored with what the parts need: every facet and every text is read from it.
+    texts = ["overview", "keywords", "genres"] if "content" in parts else ["genres"] if "genre" in parts else []
+    rows = movies.facets(movies.merged(raw_movies, raw_credits)).select(*KEYS, "title", "cast", "director", *texts)
+    rows = materialize(rows, "titles")
+    titles = rows.select(*KEYS, "title", "cast", "director")
     content = genre = None
     if "content" in parts:
         content = vectors.document_vectors(movies.tags(rows, stem), KEYS, "tags", stop_words, CONTENT_TERMS, tfidf)
@@ -118,6 +120,12 @@ def nearest_all(catalogue: Catalogue, kind: str, k: int = TOP) -> DataFrame:
     return similar.similar_all(vecs, KEYS, k).withColumn("facet", F.lit(kind))
 
 
+def nearest_some(catalogue: Catalogue, kind: str, k: int = TOP, **options) -> DataFrame:
+    """``nearest_all`` by a stored index of bands: most of the same neighbours, with exact scores; see ``lsh.similar_lsh``."""
+    vecs = catalogue.content if kind == "content" else catalogue.genre
+    return lsh.similar_lsh(vecs, KEYS, k, **options).withColumn("facet", F.lit(kind))
+
+
 def recommend(catalogue: Catalogue, wanted: list[str], salt: int = 0) -> DataFrame:
     """All four facets of the wanted titles; a facet without matches is simply empty."""
     seeds = seed_rows(catalogue.titles, wanted)

@@ -384,6 +384,12 @@ def q_similar_all(spark, sf):
     return recommend.nearest_all(_catalogue(spark, sf, "content"), "content")
 
 
+@query
+def q_similar_lsh(spark, sf):
+    """Most of the rows of q_similar_all, found by buckets; the share that is found is in the tests."""
+    return recommend.nearest_some(_catalogue(spark, sf, "content"), "content")
+
+
 @query
 def q_genre_all(spark, sf):
     return recommend.nearest_all(_catalogue(spark, sf, "genre"), "genre")
