@@ -103,7 +103,9 @@ def nearest_mean(
     train: DataFrame, queries: DataFrame, key: str, numeric: list[str], categorical: list[str], label: str, k: int = 3,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(key, label, prediction): mean label of the ``k`` nearest training rows, ties to the smaller key. Exact.
+    """``queries`` with ``prediction``: mean label of the ``k`` nearest training rows, ties to the smaller key. Exact.
+
+    ``queries`` needs the ``numeric`` and ``categorical`` columns; a row with a null among them has no answer and is left out.
 
     1. Equal rows are merged on both sides; a class carries its ``k`` smallest keys, enough for any top-k.
     2. The training classes are cut into boxes by median cuts of a bounded sample; a full box is dealt into blocks of
@@ -114,7 +116,8 @@ def nearest_mean(
     """
     columns = [*numeric, *categorical]
     trained = _classes(train, key, columns, k, label)
-    asked = _classes(queries, key, columns, 1, label)
+    asked = queries.select(*columns).distinct().withColumns({"first": F.monotonically_increasing_id(), "rows": F.lit(1)})
+    asked = materialize(asked, "classes")
     reference = trained.agg(*[F.min(c).alias(c) for c in categorical]).first().asDict()
     n = trained.count()
     sample = trained.orderBy(shuffle_key(1, "first"), "first").limit(SAMPLE_ROWS).select(
@@ -125,8 +128,6 @@ def nearest_mean(
 
     def boxed(df: DataFrame, name: str) -> DataFrame:
         """Add the box number, then deal each box into blocks by its exact size."""
-        df = df.drop("members")
-
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
                 yield rows.assign(box=_leaf(rows[numeric].to_numpy(dtype=np.float64), nodes))
@@ -134,7 +135,7 @@ def nearest_mean(
         placed = materialize(df.mapInPandas(assign, schema=with_long(df, "box")), f"boxed-{name}")
         return deal(placed, "box", "first", block_rows)  # at most MAX_BOXES boxes
 
-    right = boxed(trained, "train")
+    right = boxed(trained.drop("members"), "train")
     bounds = (
         right.groupBy("box")
         .agg(
@@ -182,4 +183,4 @@ def nearest_mean(
     ).select("query", "dist", F.col("m.key").alias("train_key"), F.col("m.value").alias("value"))
     answer = top_per(opened, ["query"], ["dist", "train_key"], k).groupBy("query").agg(F.avg("value").alias("prediction"))
     by_class = asked.select(*columns, F.col("first").alias("query")).join(answer, "query").drop("query")
-    return look_up(queries.select(key, label, *columns), by_class, columns).select(key, label, "prediction")
+    return look_up(queries, by_class, columns).select(*queries.columns, "prediction")

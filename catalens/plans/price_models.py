@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType
 
 from catalens.functions.scalars import whole_price
 from catalens.operators.nearest import nearest_mean
+from catalens.plans.kernel import KernelRegressor
 from catalens.plans.laptops import CATEGORICAL, FEATURES, NUMERIC
 from catalens.session import materialize
 
@@ -108,83 +103,7 @@ def fit(estimator, encoder: PipelineModel, train: DataFrame) -> PipelineModel:
 
 
 def three_nearest(train: DataFrame, test: DataFrame) -> DataFrame:
-    return nearest_mean(train, test, KEY, NUMERIC, CATEGORICAL, "label", 3)
-
-
-class KernelRegressor:
-    """Support-vector style regression with a Gaussian kernel, by random features. Approximate.
-
-    The kernel is replaced by ``size`` random cosine features (Rahimi and Recht 2007) with bandwidth
-    1 / (columns x variance of all feature values). The epsilon-insensitive loss is minimised by reweighted least
-    squares: each round is one pass in which every task sums a (size+1) x (size+1) matrix over its rows; the sum of
-    those, of fixed size, is solved on the driver.
-    """
-
-    def __init__(self, size: int = 128, c: float = 10000.0, epsilon: float = 0.1, rounds: int = 15, seed: int = 7):
-        self.size, self.c, self.epsilon, self.rounds, self.seed = size, c, epsilon, rounds, seed
-
-    def fit(self, encoded: DataFrame) -> KernelRegressor:
-        rows = encoded.select(vector_to_array("features").alias("x"), "label")
-        flat = rows.select(F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("s"),
-                           F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("q"), F.size("x").alias("d"))
-        t = flat.agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("d").alias("n"), F.max("d").alias("d")).first()
-        variance = t["q"] / t["n"] - (t["s"] / t["n"]) ** 2
-        gamma = 1.0 / (t["d"] * variance)
-        rng = np.random.default_rng(self.seed)
-        self.directions = rng.normal(0.0, np.sqrt(2.0 * gamma), (t["d"], self.size))
-        self.phases = rng.uniform(0.0, 2.0 * np.pi, self.size)
-        self.weights = None
-        ridge = np.diag([1.0 / self.c] * self.size + [1e-9])
-        for _ in range(self.rounds):
-            gram, target = self._sums(rows)
-            self.weights = np.linalg.solve(gram + ridge, target)
-        return self
-
-    def _features(self, x: np.ndarray) -> np.ndarray:
-        z = np.sqrt(2.0 / self.size) * np.cos(x @ self.directions + self.phases)
-        return np.hstack([z, np.ones((len(x), 1))])
-
-    def _sums(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        width = self.size + 1
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            gram, target = np.zeros((width, width)), np.zeros(width)
-            for batch in batches:
-                z, y = self._features(np.stack(batch["x"].to_numpy())), batch["label"].to_numpy()
-                w, goal = np.ones(len(y)), y
-                if self.weights is not None:
-                    gap = y - z @ self.weights
-                    over = np.abs(gap) - self.epsilon
-                    w = np.where(over > 0, 1.0 / np.maximum(over, 1e-3), 0.0)
-                    goal = y - np.sign(gap) * self.epsilon
-                gram += (z * w[:, None]).T @ z
-                target += z.T @ (w * goal)
-            yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "sums": [np.column_stack([gram, target]).tobytes()]})
-
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, task = np.zeros(width * (width + 1)), None
-            for batch in batches:
-                for task, sums in zip(batch["task"], batch["sums"]):
-                    total += np.frombuffer(sums)
-            if task is not None:
-                yield pd.DataFrame({"task": [task], "sums": [total.tobytes()]})
-
-        # One packed matrix per task, added up by fan-in: no task reads more than about the root of their number.
-        parts = rows.mapInPandas(partial, "task int, sums binary")
-        n = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
-        summed = parts.repartition(n, "task").mapInPandas(add, "task int, sums binary").toPandas()
-        full = sum((np.frombuffer(x) for x in summed["sums"]), np.zeros(width * (width + 1))).reshape(width, width + 1)
-        return full[:, :width], full[:, width]
-
-    def predict(self, encoded: DataFrame) -> DataFrame:
-        """Add ``prediction``."""
-        model = self
-
-        @F.pandas_udf(DoubleType())
-        def score(x: pd.Series) -> pd.Series:
-            return pd.Series(model._features(np.stack(x.to_numpy())) @ model.weights)
-
-        return encoded.withColumn("prediction", score(vector_to_array("features")))
+    return nearest_mean(train, test, KEY, NUMERIC, CATEGORICAL, "label", 3).select(KEY, "label", "prediction")
 
 
 class NearestModel:
@@ -194,7 +113,8 @@ class NearestModel:
         self.train = train
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        return three_nearest(self.train, rows)
+        """``rows`` with their columns and ``prediction``; they need the features alone, so requests are scored too."""
+        return nearest_mean(self.train, rows, KEY, NUMERIC, CATEGORICAL, "label", 3)
 
     def save(self, path: str) -> None:
         self.train.select(KEY, *CATEGORICAL, *NUMERIC, "label").write.mode("overwrite").parquet(path)
@@ -204,42 +124,13 @@ class NearestModel:
         return NearestModel(spark.read.parquet(path))
 
 
-class KernelModel:
-    """Encoder and kernel regressor as one object over raw feature rows."""
-
-    def __init__(self, encoder: PipelineModel, kernel: KernelRegressor):
-        self.encoder, self.kernel = encoder, kernel
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        return self.kernel.predict(self.encoder.transform(rows))
-
-    def save(self, path: str) -> None:
-        """The encoder as a pipeline; a row for each random feature with its direction, phase and weight, the offset last."""
-        self.encoder.write().overwrite().save(f"{path}/encoder")
-        k = self.kernel
-        rows = [(i, [float(x) for x in k.directions[:, i]], float(k.phases[i]), float(k.weights[i])) for i in range(k.size)]
-        rows.append((k.size, [], 0.0, float(k.weights[k.size])))
-        spark = SparkSession.active()
-        frame = spark.createDataFrame(rows, "i int, direction array<double>, phase double, weight double")
-        frame.write.mode("overwrite").parquet(f"{path}/features")
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> KernelModel:
-        rows = spark.read.parquet(f"{path}/features").orderBy("i").collect()  # one row for each random feature
-        kernel = KernelRegressor(size=len(rows) - 1)
-        kernel.directions = np.array([r["direction"] for r in rows[:-1]]).T
-        kernel.phases = np.array([r["phase"] for r in rows[:-1]])
-        kernel.weights = np.array([r["weight"] for r in rows])
-        return KernelModel(PipelineModel.load(f"{path}/encoder"), kernel)
-
-
 def fit_all(train: DataFrame) -> dict:
     """The five models by name, on one encoder."""
     encoder = fit_encoder(train)
     rows = encoded_train(encoder, train)
-    made = {"least_squares": least_squares(), "tree": tree(), "forest": forest()}
+    made = {"least_squares": least_squares(), "tree": tree(), "forest": forest(), "kernel": KernelRegressor()}
     fitted = {name: PipelineModel([*encoder.stages, estimator.fit(rows)]) for name, estimator in made.items()}
-    return fitted | {"nearest": NearestModel(train), "kernel": KernelModel(encoder, KernelRegressor().fit(rows))}
+    return fitted | {"nearest": NearestModel(train)}
 
 
 def leaderboard(models: dict, test: DataFrame) -> DataFrame:

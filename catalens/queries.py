@@ -13,6 +13,7 @@ from catalens.functions.stem import stem_text
 from catalens.functions.stopwords import load_stop_words
 from catalens.operators import charts, profile, vectors
 from catalens.plans import laptops, movies, price_models as models, recommend
+from catalens.plans.kernel import KernelRegressor
 from catalens.session import shared_dir
 from catalens.sources import tables
 from catalens.sources.posters import with_posters
@@ -638,10 +639,7 @@ def q_forest(spark, sf):
 
 @query
 def q_rbf_svr(spark, sf):
-    train, test = _sides(spark, sf)
-    encoder = models.fit_encoder(train)
-    kernel = models.KernelModel(encoder, models.KernelRegressor().fit(models.encoded_train(encoder, train)))
-    return _judged(train, test, "kernel", kernel).drop("in_range")
+    return _fitted(spark, sf, "kernel", KernelRegressor()).drop("in_range")
 
 
 @query

@@ -1,9 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 
 from catalens.fixtures import view
 from catalens.plans import laptops, price_models as P
+from catalens.plans.kernel import KernelRegressor, gaussian
 from catalens.sources import tables
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -77,23 +80,84 @@ def test_leaderboard(models, sides):
     assert all(board[name]["r2"] >= floor for name, floor in FLOORS.items()), board
 
 
-@pytest.mark.parametrize("kind", [P.NearestModel, P.KernelModel])
-def test_own_models_are_saved(spark, models, sides, tmp_path, kind):
-    model = next(m for m in models.values() if isinstance(m, kind))
-    model.save(str(tmp_path / "m"))
+def test_nearest_rows_are_saved(spark, models, sides, tmp_path):
+    models["nearest"].save(str(tmp_path / "m"))
     rows = lambda m: sorted(map(tuple, m.transform(sides[1]).select(P.KEY, "prediction").collect()))
-    first, again = rows(model), rows(kind.load(spark, str(tmp_path / "m")))
+    first, again = rows(models["nearest"]), rows(P.NearestModel.load(spark, str(tmp_path / "m")))
     assert len(first) > 100 and all(a == pytest.approx(b) for a, b in zip(first, again))
 
 
+def requests(spark, train):
+    raw = view(spark, SF_DIR, "requests_raw")
+    bad = laptops.rejected_requests(raw, train).select("request_id").distinct()
+    return laptops.request_features(raw.join(bad, "request_id", "left_anti"))
+
+
+@pytest.mark.parametrize("name", ["nearest", "kernel", "forest"])
+def test_requests_are_priced(spark, models, sides, tmp_path, name):
+    """Every model prices requests, which have neither label nor listing number, and a stored pipeline prices them alike."""
+    asked = requests(spark, sides[0])
+    prices = dict(map(tuple, P.score_requests(models[name], asked).collect()))
+    low, high = sides[0].selectExpr("min(price)", "max(price)").first()
+    assert len(prices) == asked.count() > 100 and all(p > 0 for p in prices.values())
+    if name != "kernel":  # averages of training prices
+        assert all(low - 1 <= p <= high for p in prices.values())
+    if name != "nearest":
+        tables.save_model(models[name], str(tmp_path / name))
+        assert dict(map(tuple, P.score_requests(tables.load_model(str(tmp_path / name)), asked).collect())) == prices
+
+
+def exact_kernel(x, y, gamma, c=10000.0, epsilon=0.1, rounds=30):
+    """The same loss with the kernel of all rows: reweighted least squares on one coefficient per row and an offset."""
+    k, n = gaussian(x, x, gamma), len(x)
+    weight, goal = np.ones(n), y
+    for _ in range(rounds):
+        used = weight > 0
+        m = int(used.sum())
+        system = np.block([[k[np.ix_(used, used)] + np.diag(1.0 / (c * weight[used])), np.ones((m, 1))], [np.ones((1, m)), np.zeros((1, 1))]])
+        solved = np.linalg.solve(system, np.append(goal[used], 0.0))
+        fitted = k[:, used] @ solved[:-1] + solved[-1]
+        over = np.abs(y - fitted) - epsilon
+        alpha = np.zeros(n)
+        alpha[used] = solved[:-1]
+        weight, goal = np.where(over > 0, 1.0 / np.maximum(over, 1e-3), 0.0), y - np.sign(y - fitted) * epsilon
+        if not weight.any():
+            break
+    return alpha, solved[-1]
+
+
+def test_kernel_is_close_to_the_exact_one(encoder, sides):
+    train, test = sides
+    sample = train.orderBy("unnamed_0").limit(700)
+    x, y = matrix(encoder, sample)
+    x_test, y_test = matrix(encoder, test)
+    gamma = 1.0 / (x.shape[1] * x.var())
+    alpha, offset = exact_kernel(x, y, gamma)
+    r2 = lambda p: 1 - ((y_test - p) ** 2).sum() / ((y_test - y_test.mean()) ** 2).sum()
+    exact = r2(gaussian(x_test, x, gamma) @ alpha + offset)
+    model = P.fit(KernelRegressor(), encoder, sample)
+    assert model.stages[-1].gamma == pytest.approx(gamma)
+    got = scores(model.transform(test))["r2"]
+    print(exact, got)
+    assert abs(got - exact) < 0.02
+
+
+def test_kernel_regressor_in_a_pipeline(spark, sides, tmp_path):
+    """An unfitted pipeline with the regressor is saved, loaded and fitted; constant rows and few rows do no harm."""
+    pipeline = Pipeline(stages=[*P.encoder_stages(), KernelRegressor(size=20, rounds=3)])
+    pipeline.write().overwrite().save(str(tmp_path / "p"))
+    fitted = Pipeline.load(str(tmp_path / "p")).fit(sides[0])
+    assert fitted.stages[-1].landmarks.shape[0] == 20 and fitted.transform(sides[1]).count() == sides[1].count()
+    flat = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.range(5).selectExpr("1.0D a", "1.0D b", "3.0D label"))
+    assert [r["prediction"] for r in KernelRegressor().fit(flat).transform(flat).collect()] == pytest.approx([3.0] * 5, abs=0.2)
+
+
 def test_saved_model_scores_requests_alike(spark, encoder, sides, tmp_path):
     train, _ = sides
     model = P.fit(P.tree(), encoder, train)
     tables.save_model(model, str(tmp_path / "model"))
-    raw = view(spark, SF_DIR, "requests_raw")
-    bad = laptops.rejected_requests(raw, train).select("request_id").distinct()
-    requests = laptops.request_features(raw.join(bad, "request_id", "left_anti"))
-    first = sorted(map(tuple, P.score_requests(model, requests).collect()))
-    again = sorted(map(tuple, P.score_requests(tables.load_model(str(tmp_path / "model")), requests).collect()))
+    asked = requests(spark, train)
+    first = sorted(map(tuple, P.score_requests(model, asked).collect()))
+    again = sorted(map(tuple, P.score_requests(tables.load_model(str(tmp_path / "model")), asked).collect()))
     assert first == again and len(first) > 100
     assert all(isinstance(p, int) and p > 0 for _, p in first)
