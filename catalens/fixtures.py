@@ -14,6 +14,7 @@ TABLE_OF = {
     "movies_raw": "documents",
     "credits_raw": "documents",
     "posters": "documents",
+    "lists_raw": "documents",
 }
 
 _TITLE = "CONCAT('Title ', CAST(doc_id - CASE WHEN doc_id % 97 = 1 THEN 1 ELSE 0 END AS STRING))"
@@ -70,6 +71,27 @@ def _actor(offset: int) -> str:
     return f"""'{{"order": {offset}, "name": "Actor ', CAST({number} AS STRING), '"}}'"""
 
 
+def _list(text: str) -> str:
+    """A list with the row's number for each #, ~ for a single quote and ^ for a backslash."""
+    numbered = ", CAST(doc_id AS STRING), ".join(f"'{piece}'" for piece in text.split("#"))
+    return f"REPLACE(REPLACE(CONCAT({numbered}, ''), '~', CHR(39)), '^', CHR(92))"
+
+
+# Lists of objects as JSON and in Python notation: keywords, mixed quotes, escapes, odd types; some that nothing can read.
+_LISTS = [
+    '[{"id": 1, "name": "Plain #", "job": "Director"}]',
+    "[{~id~: 1, ~name~: ~Single #~, ~job~: ~Director~, ~poster~: None}]",
+    '[{~id~: 2, ~name~: "It~s #", ~job~: ~Editor~, ~adult~: True}, {~id~: 3, ~name~: ~Say "hi" #~, ~job~: ~Director~, ~adult~: False}]',
+    "[{~name~: ~None of True #~, ~id~: None}, ]",
+    "[{~id~: 4, ~name~: ~Back^~s ^^ ^x41 ^u00e9 #~, ~job~: ~Director~, ~cast~: [None, {~order~: 1, }]}]",
+    "[]",
+    "[{~id~: 4, ~name~: ~broken #}]",
+    "[{~id~: ~five~, ~name~: None, ~job~: ~Director~}, {~name~: ~Second #~, ~on~: True}]",
+    "[None, #]",
+    "no list #",
+]
+
+
 VIEWS: dict[str, list[tuple[str, str]]] = {
     "laptop_raw": [
         ("p_partkey", "unnamed_0"),
@@ -122,6 +144,10 @@ VIEWS: dict[str, list[tuple[str, str]]] = {
          """CONCAT('[{"job": "Editor", "name": "Editor 1"}, {"job": "Director", "name": "Director ', """
          """CAST(doc_id % 40 AS STRING), '"}, {"job": "Director", "name": "Second Director"}]') END""", "crew"),
     ],
+    "lists_raw": [
+        ("doc_id", "doc_id"),
+        ("CASE CAST(doc_id % 10 AS INT) " + " ".join(f"WHEN {i} THEN {_list(x)}" for i, x in enumerate(_LISTS)) + " END", "items"),
+    ],
     "posters": [
         ("doc_id", "movie_id"),
         ("CASE WHEN doc_id % 10 = 0 THEN NULL ELSE CONCAT('/p', CAST(doc_id AS STRING), '.jpg') END", "poster_path"),

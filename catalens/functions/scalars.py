@@ -109,9 +109,50 @@ def whole_price(log_price: Column) -> Column:
     return F.exp(log_price).cast("long")
 
 
+# A quoted text in either kind of quotes, or what stands between such texts.
+_PIECE = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^"']++"""
+#: Stands for an escaped backslash while other escapes are rewritten; a private-use character.
+_SLASH = "\uE000"
+
+
+def python_to_json(c: Column) -> Column:
+    """A list or dict in Python notation as JSON text; null when its quotes do not close. JSON comes out as it is.
+
+    Outside of quotes None, True and False are renamed and commas before a closing bracket dropped; texts in single quotes get
+    double ones, and the escapes that JSON lacks (of a single quote, or by two hex digits) are rewritten. Nothing within
+    quotes is taken for a keyword.
+    """
+
+    def quoted(piece: Column) -> Column:
+        inner = F.replace(F.substr(piece, F.lit(2), F.length(piece) - 2), F.lit("\\\\"), F.lit(_SLASH))
+        inner = F.regexp_replace(F.replace(inner, F.lit("\\'"), F.lit("'")), r"\\x([0-9A-Fa-f]{2})", r"\\u00$1")
+        inner = F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit('"'), F.lit('\\"'))
+        return F.concat(F.lit('"'), F.replace(inner, F.lit(_SLASH), F.lit("\\\\")), F.lit('"'))
+
+    def plain(piece: Column) -> Column:
+        for word, name in (("None", "null"), ("True", "true"), ("False", "false")):
+            piece = F.regexp_replace(piece, rf"\b{word}\b", name)
+        return F.regexp_replace(piece, r",(\s*[\]}])", "$1")
+
+    pieces = F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
+    made = F.transform(pieces, lambda x: F.when(F.substr(x, F.lit(1), F.lit(1)).isin("'", '"'), quoted(x)).otherwise(plain(x)))
+    return F.when(F.array_join(pieces, "") == c, F.array_join(made, ""))
+
+
+def objects(c: Column, kind: str) -> Column:
+    """A list of objects in JSON or Python notation as ``kind``, an array of structs; null when the text is no such list.
+
+    JSON is read directly. Only what that cannot read is rewritten and read as a variant, which takes each field by itself, so
+    that a field of an odd type makes no other unreadable.
+    """
+    other = F.try_variant_get(F.try_parse_json(python_to_json(c)), "$", kind)
+    other = F.when(~F.exists(other, lambda x: x.isNull()), other)
+    return F.coalesce(F.from_json(c, kind), other)
+
+
 def json_names(c: Column) -> Column:
-    """Every ``name`` of a JSON list of objects, in order; null when the text is not such a list."""
-    return F.transform(F.from_json(c, NAME_LIST), lambda x: x["name"])
+    """Every ``name`` of a list of objects, in order; null when the text is not such a list."""
+    return F.transform(objects(c, NAME_LIST), lambda x: x["name"])
 
 
 def first_names(c: Column, n: int) -> Column:
@@ -120,7 +161,7 @@ def first_names(c: Column, n: int) -> Column:
 
 def names_with_job(c: Column, job: str, n: int) -> Column:
     """Names of the first ``n`` list entries with the given job."""
-    hits = F.filter(F.from_json(c, CREW_LIST), lambda x: x["job"] == job)
+    hits = F.filter(objects(c, CREW_LIST), lambda x: x["job"] == job)
     return F.slice(F.transform(hits, lambda x: x["name"]), 1, n)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import NumericType
 
 
@@ -99,3 +99,29 @@ def rejects(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFram
     return _stacked(df.agg(*sums), "check_name", list(checks), "n_rejects")
 
 
+
+
+def reject_rows(df: DataFrame, key: str, checks: dict[str, tuple[Column, Column, str]]) -> DataFrame:
+    """(key, check_name, raw_text, reason): a row for every value that is present while its parsed form is not.
+
+    ``checks`` has (source, parsed, reason) by name. One projection: rows without a reject give none, others one for each.
+    """
+    marks = [
+        F.when(source.isNotNull() & parsed.isNull(), F.struct(
+            F.lit(name).alias("check_name"), source.cast("string").alias("raw_text"), F.lit(reason).alias("reason")))
+        for name, (source, parsed, reason) in checks.items()
+    ]
+    found = F.filter(F.array(*marks), lambda x: x.isNotNull())
+    return df.select(key, F.explode(found).alias("r")).select(key, "r.*")
+
+
+def write_rejects(df: DataFrame, key: str, checks: dict[str, tuple[Column, Column, str]], path: str) -> dict[str, int]:
+    """Write ``reject_rows`` to ``path``, one folder per check, and return the rows read and the rejects of each check.
+
+    The counts are observed while the table is written, so ``df`` is read once.
+    """
+    seen = Observation()
+    counts = [F.count_if(source.isNotNull() & parsed.isNull()).alias(name) for name, (source, parsed, _) in checks.items()]
+    watched = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *counts)
+    reject_rows(watched, key, checks).write.mode("overwrite").partitionBy("check_name").parquet(path)
+    return {name: int(n or 0) for name, n in seen.get.items()}

@@ -22,7 +22,7 @@ PAGE = "https://www.themoviedb.org/movie/"
 
 # --- common table expressions -------------------------------------------------------------------------------------
 
-PARTS = {name: view_sql(name) for name in ("laptop_raw", "requests_raw", "movies_raw", "credits_raw", "posters")}
+PARTS = {name: view_sql(name) for name in ("laptop_raw", "requests_raw", "movies_raw", "credits_raw", "posters", "lists_raw")}
 
 
 def _words(c: str) -> str:
@@ -80,6 +80,16 @@ def _closed(c: str) -> str:
     return f"list_transform({c}, lambda x: replace(x, ' ', ''))"
 
 
+# Python notation to JSON, piece by piece: texts in quotes, and what stands between them.
+_QUOTES = r"""(?s)"[^"\\]*(?:\\.[^"\\]*)*"|''[^''\\]*(?:\\.[^''\\]*)*''|[^"'']+"""
+PARTS["list_pieces"] = f"SELECT doc_id, items, regexp_extract_all(items, '{_QUOTES}') AS pieces FROM lists_raw"
+PARTS["list_json"] = r"""SELECT doc_id, CASE WHEN array_to_string(pieces, '') = items THEN array_to_string(list_transform(pieces,
+ lambda p: CASE WHEN left(p, 1) IN ('''', '"') THEN '"' || replace(replace(replace(regexp_replace(replace(replace(
+ substr(p, 2, length(p) - 2), '\\', chr(57344)), '\''', ''''), '\\x([0-9A-Fa-f]{2})', '\\u00\1', 'g'), '\"', '"'), '"', '\"'),
+ chr(57344), '\\') || '"' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '\bNone\b', 'null', 'g'),
+ '\bTrue\b', 'true', 'g'), '\bFalse\b', 'false', 'g'), ',(\s*[\]}])', '\1', 'g') END), '') END AS items FROM list_pieces"""
+PARTS["list_read"] = """SELECT doc_id, CASE WHEN json_valid(items) AND json_type(items) = 'ARRAY' AND len(list_filter(
+ CAST(items AS JSON[]), lambda x: json_type(x) <> 'OBJECT')) = 0 THEN CAST(items AS JSON[]) END AS items FROM list_json"""
 PARTS["facets"] = f"""SELECT id, movie_id, title, {_words('overview')} AS overview, {_names('genres')} AS genres,
  {_names('keywords')} AS keywords, {_names('"cast"')}[1:3] AS actors,
  list_transform(list_filter(CAST(crew AS JSON[]), lambda x: x->>'job' = 'Director'), lambda x: x->>'name')[1:1]
@@ -361,6 +371,15 @@ _ALL_NEAR = """SELECT id, movie_id, near_id, near_movie_id, score, rank, '{kind}
  row_number() OVER (PARTITION BY id, movie_id ORDER BY score DESC, near_id, near_movie_id) AS rank FROM {kind}_all)
  WHERE rank <= 5"""
 
+_REJECTS = """SELECT unnamed_0, 'ram_with_unit' AS check_name, ram AS raw_text, 'not a whole number' AS reason FROM laptop_raw
+ WHERE ram IS NOT NULL AND TRY_CAST(ram AS INT) IS NULL UNION ALL
+ SELECT unnamed_0, 'weight', weight, 'not a number of kilograms' FROM laptop_raw
+ WHERE weight IS NOT NULL AND TRY_CAST(replace(weight, 'kg', '') AS FLOAT) IS NULL UNION ALL
+ SELECT unnamed_0, 'screen_resolution', screen_resolution, 'no resolution' FROM laptop_raw WHERE screen_resolution IS NOT NULL
+ AND (TRY_CAST(regexp_extract(replace(split_part(screen_resolution, 'x', 1), ',', ''), '(\\d+\\.?\\d+)', 1) AS INT) IS NULL
+ OR TRY_CAST(split_part(screen_resolution, 'x', 2) AS INT) IS NULL) UNION ALL
+ SELECT unnamed_0, 'gpu_maker', gpu, 'maker not in use' FROM laptop_raw WHERE split_part(gpu, ' ', 1) = 'ARM'"""
+
 _STATEMENTS = {
     "q_csv_laptops": "SELECT * FROM laptop_raw",
     "q_csv_movies": "SELECT * FROM movies_raw",
@@ -417,6 +436,11 @@ _STATEMENTS = {
  AS n_rejects FROM movie_rows""" for c in ("genres", "keywords", "cast", "crew")) + " UNION ALL " + " UNION ALL ".join(
         f"SELECT '{c}', count(*) - count({c}) FROM features" for c in [
             "company", "type_name", "ram", "weight", "touchscreen", "ips", "ppi", "cpu_brand", "hdd", "ssd", "gpu_brand", "os"]),
+    "q_reject_rows": f"SELECT * FROM ({_REJECTS})",
+    "q_reject_observed": f"""SELECT check_name, count(*) AS n FROM ({_REJECTS}) GROUP BY 1
+ UNION ALL SELECT 'n_rows', count(*) FROM laptop_raw
+ UNION ALL SELECT c, 0 FROM (SELECT unnest(['ram_with_unit', 'weight', 'screen_resolution', 'gpu_maker']) AS c)
+ WHERE c NOT IN (SELECT check_name FROM ({_REJECTS}))""",
     "q_dropna": "SELECT id, movie_id, title FROM movies_raw JOIN credits_raw USING (title) WHERE overview IS NOT NULL",
     "q_filter_not_arm": "SELECT unnamed_0, gpu_brand FROM laptop WHERE gpu_brand IS DISTINCT FROM 'ARM'",
     "q_filter_eq": "SELECT id, movie_id, title FROM facets WHERE director[1] = 'Director 7'",
@@ -467,6 +491,9 @@ _STATEMENTS = {
     "AS whole_price FROM laptop_raw",
     "q_json_names": f"""SELECT id, array_to_string({_names('genres')}, '|') AS genres,
  array_to_string({_names('keywords')}, '|') AS keywords FROM movies_raw""",
+    "q_python_lists": """SELECT doc_id, items IS NOT NULL AS readable, len(items) AS n_names, array_to_string(list_transform(items,
+ lambda x: coalesce(x->>'name', '?')), '|') AS names, array_to_string(list_transform(list_filter(items,
+ lambda x: x->>'job' = 'Director'), lambda x: coalesce(x->>'name', '?'))[1:1], '|') AS director FROM list_read""",
     "q_top3_cast": "SELECT id, movie_id, array_to_string(actors, '|') AS actors FROM facets",
     "q_director": "SELECT id, movie_id, director[1] AS director FROM facets",
     "q_overview_words": "SELECT id, movie_id, len(overview) AS n_words, array_to_string(overview, ' ') AS words "

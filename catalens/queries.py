@@ -256,12 +256,36 @@ def q_cast_rejects(spark, sf):
 def q_reject_counts(spark, sf):
     """Unreadable JSON lists of the catalogue, and feature values without which a row takes no part in the models."""
     lists = {"genres": S.NAME_LIST, "keywords": S.NAME_LIST, "cast": S.NAME_LIST, "crew": S.CREW_LIST}
-    read = {c: (F.col(c), F.from_json(c, kind)) for c, kind in lists.items()}
+    read = {c: (F.col(c), S.objects(F.col(c), kind)) for c, kind in lists.items()}
     return profile.rejects(_rows(spark, sf), read).unionByName(
         profile.null_counts(_features(spark, sf)).where(F.col("column_name").isin(laptops.FEATURES)).select(
             F.col("column_name").alias("check_name"), F.col("n_nulls").alias("n_rejects")))
 
 
+def _checks() -> dict:
+    return {
+        "ram_with_unit": (F.col("ram"), F.col("ram").try_cast("int"), "not a whole number"),
+        "weight": (F.col("weight"), laptops.weight_kg(strict=False), "not a number of kilograms"),
+        "screen_resolution": (F.col("screen_resolution"), laptops.screen(strict=False), "no resolution"),
+        "gpu_maker": (F.col("gpu"), F.nullif(S.first_word(F.col("gpu")), F.lit("ARM")), "maker not in use"),
+    }
+
+
+@query
+def q_reject_rows(spark, sf):
+    """Every listing value that a check refuses, with its text and the reason, written as a table and read back."""
+    path = _new_path(spark, "rejects")
+    profile.write_rejects(_laptops(spark, sf), "unnamed_0", _checks(), path)
+    return tables.read_table(spark, path).select("unnamed_0", "check_name", "raw_text", "reason")
+
+
+@query
+def q_reject_observed(spark, sf):
+    """The counts that were observed while that table was written."""
+    counts = profile.write_rejects(_laptops(spark, sf), "unnamed_0", _checks(), _new_path(spark, "rejects"))
+    return spark.createDataFrame(list(counts.items()), "check_name string, n bigint")
+
+
 @query
 def q_dropna(spark, sf):
     return _rows(spark, sf).select(*KEYS, "title")
@@ -488,6 +512,15 @@ def q_json_names(spark, sf):
     return view(spark, sf, "movies_raw").select("id", *[F.array_join(v, "|").alias(c) for c, v in lists.items()])
 
 
+@query
+def q_python_lists(spark, sf):
+    """Lists in JSON and in Python notation: their names, those with a job, and whether they can be read."""
+    names, directors = S.json_names(F.col("items")), S.names_with_job(F.col("items"), "Director", 1)
+    return view(spark, sf, "lists_raw").select(
+        "doc_id", names.isNotNull().alias("readable"), F.size(names).cast("long").alias("n_names"),
+        F.array_join(names, "|", "?").alias("names"), F.array_join(directors, "|", "?").alias("director"))
+
+
 @query
 def q_top3_cast(spark, sf):
     return _facets(spark, sf).select(*KEYS, F.array_join("cast", "|").alias("actors"))
@@ -653,16 +686,25 @@ def q_leaderboard(spark, sf):
     return out
 
 
-@query
-def q_score_requests(spark, sf):
-    """Requests that break no rule, priced by a stored tree: each price lies inside the range of training prices."""
-    features = _features(spark, sf)
-    train, _ = models.split(models.model_rows(features))
+def _priced(spark, sf, train: DataFrame) -> DataFrame:
+    """Requests that break no rule, priced by the forest, which is stored and loaded again before."""
     path = _new_path(spark, "model")
-    tables.save_model(models.fit(models.tree(), models.fit_encoder(train), train), path)
+    tables.save_model(models.fit(models.forest(), models.fit_encoder(train), train), path)
     requests = view(spark, sf, "requests_raw")
     rejected = laptops.rejected_requests(requests, train).select("request_id").distinct()
     accepted = laptops.request_features(requests.join(rejected, "request_id", "left_anti"))
+    return models.score_requests(tables.load_model(path), accepted)
+
+
+@query
+def q_score_requests(spark, sf):
+    """The price of every accepted request lies inside the range of training prices."""
+    train, _ = _sides(spark, sf)
     low, high = train.agg(F.min("price"), F.max("price")).first()
-    priced = models.score_requests(tables.load_model(path), accepted)
-    return priced.select("request_id", F.col("price").between(int(low) - 1, int(high)).alias("in_range"))
+    return _priced(spark, sf, train).select("request_id", F.col("price").between(int(low) - 1, int(high)).alias("in_range"))
+
+
+@query
+def q_request_prices(spark, sf):
+    """The prices themselves; a test walks the stored trees for them."""
+    return _priced(spark, sf, _sides(spark, sf)[0])

@@ -107,6 +107,33 @@ def test_requests_are_priced(spark, models, sides, tmp_path, name):
         assert dict(map(tuple, P.score_requests(tables.load_model(str(tmp_path / name)), asked).collect())) == prices
 
 
+def test_forest_prices_by_its_nodes(spark, models, sides, tmp_path):
+    """Every price is the mean of the leaves that the stored nodes lead to."""
+    tables.save_model(models["forest"], str(tmp_path / "f"))
+    nodes = {}
+    stored = next((tmp_path / "f" / "stages").glob("*RandomForest*")) / "data"
+    for r in spark.read.parquet(str(stored)).collect():
+        nodes[r["treeID"], r["nodeData"]["id"]] = r["nodeData"]
+
+    def leaf(tree, x):
+        node = nodes[tree, 0]
+        while node["leftChild"] >= 0:
+            split = node["split"]
+            left = x[split["featureIndex"]] <= split["leftCategoriesOrThreshold"][0] if split["numCategories"] < 0 else (
+                x[split["featureIndex"]] in split["leftCategoriesOrThreshold"])
+            node = nodes[tree, node["leftChild"] if left else node["rightChild"]]
+        return node["prediction"]
+
+    asked = requests(spark, sides[0]).where("request_id % 5 = 0")
+    rows = models["forest"].transform(asked).select("request_id", vector_to_array("features").alias("x"), "prediction").collect()
+    prices = dict(map(tuple, P.score_requests(models["forest"], asked).collect()))
+    trees = {t for t, _ in nodes}
+    assert len(trees) == 100 and len(rows) > 100
+    for r in rows:
+        mean = np.mean([leaf(t, r["x"]) for t in trees])
+        assert r["prediction"] == pytest.approx(mean) and prices[r["request_id"]] == int(np.exp(r["prediction"]))
+
+
 def exact_kernel(x, y, gamma, c=10000.0, epsilon=0.1, rounds=30):
     """The same loss with the kernel of all rows: reweighted least squares on one coefficient per row and an offset."""
     k, n = gaussian(x, x, gamma), len(x)

@@ -94,3 +94,23 @@ def test_tag_text(spark):
 def test_whole_price_cuts_off(spark):
     df = spark.createDataFrame([(2.999999 ** 0.0,)], "p double")
     assert df.select(S.whole_price(F.log(F.lit(1999.999)))).first()[0] == 1999
+
+
+def test_python_notation(spark):
+    """What the language itself reads as a list of dicts gives the same names."""
+    import ast
+
+    texts = [
+        "[{'name': 'a', 'x': None}]", """[{'name': "it's", 'on': True}, {"name": 'say "x"'}]""", r"""[{'name': 'b\'s \\ \" \x41 \n'}]""",
+        "[{'name': 'None, True ,]'}, ]", "[{'name': 'x', 'y': [1, 2, ], 'z': {'name': None, }}]", "[]", "[ ]", "[{'name': 'é 東京 \\u00e9'}]",
+        "[{'name': 'v'}, {'id': False}]", """[{'name': "\\\\"}, {'name': '\\\\\\''}]""", "[{'id': 'word', 'name': None, 'cast': [None]}]",
+    ]
+    for text in texts:
+        want = [None if x.get("name") is None else str(x["name"]) for x in ast.literal_eval(text)]
+        assert one(spark, text, S.json_names(F.col("c"))) == (want,), text
+    for text in ("[{'name': 'open}]", "None", "[None]", "[1, None]", "[{'name': 'a'} {]", "'a'", "x", " "):
+        assert one(spark, text, S.json_names(F.col("c"))) == (None,), text
+    assert one(spark, '{"a": [true, null, "None"]}', S.python_to_json(F.col("c"))) == ('{"a": [true, null, "None"]}',)
+    long = "[{'name': '" + "x y\\'" * 20_000 + "', 'n': None}]"
+    assert one(spark, long, S.json_names(F.col("c"))) == (["x y'" * 20_000],)
+    assert one(spark, None, S.python_to_json(F.col("c"))) == (None,)
