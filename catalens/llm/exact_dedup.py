@@ -2,8 +2,9 @@
 
 Every row becomes (digest, check, bytes, id). Rows start in as many runs as the tree has leaves. In each round a run
 meets ``fan_in - 1`` partners, and the digests they hold are dealt among them by their next leading bits, sorted and
-merged, so that of each digest one entry is left per run: the id that stays and the number of rows. After the last round a run
-holds a whole range of digests. A digest that half of all rows share thus reaches no task with more than ``fan_in`` entries
+merged, so that of each digest one entry is left per run: the id that stays and the number of rows. A run is sorted by digest, and
+merging walks the sorted entries (a sort aggregate), which leaves the next run sorted. After the last round a run holds a whole
+range of digests. A digest that half of all rows share thus reaches no task with more than ``fan_in`` entries
 per round. The merge is verified at every level: entries only meet when SHA-256, an independent 64-bit hash and the
 length all agree.
 """
@@ -40,21 +41,27 @@ def merge_runs(rows: DataFrame, keep: str = "max", fan_in: int = 8, rounds: int
         while fan_in**rounds < tasks:
             rounds += 1
     pick = {"max": F.max, "min": F.min}[keep]
+    known = F.col("doc_id").isNotNull() if keep == "max" else F.col("doc_id").isNull()  # a null id loses either way
     leaves = bits * rounds
     # The leading bits of the digest say which range it ends in; the id says in which leaf it starts.
     target = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - leaves)
     origin = F.pmod(F.xxhash64("doc_id"), F.lit(1 << leaves))
-    runs = rows.withColumn("target", target).groupBy(origin.alias("run"), "target", *KEY).agg(
-        pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    order = ["run", "target", *KEY]
+
+    def merged(runs: DataFrame) -> DataFrame:
+        """Sorted runs in, one sorted run out: what is kept is a struct, which Spark combines by walking equal neighbours."""
+        return runs.sortWithinPartitions(*order).groupBy(*order).agg(
+            pick("kept").alias("kept"), F.sum("group_size").alias("group_size"))
+
+    runs = merged(rows.select(
+        origin.alias("run"), target.alias("target"), *KEY, F.struct(known.alias("known"), "doc_id").alias("kept"),
+        F.lit(1).cast("long").alias("group_size")).repartition("run"))
     for level in range(1, rounds + 1):
         free = leaves - bits * level
         mask = (1 << free) - 1
         run = F.shiftleft(F.shiftright("target", free), free).bitwiseOR(F.col("run").bitwiseAND(F.lit(mask)))
-        runs = (
-            runs.withColumn("run", run).repartition(F.col("run")).sortWithinPartitions("run", "digest")
-            .groupBy("run", "target", *KEY).agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
-    return runs.drop("run", "target")
+        runs = merged(runs.withColumn("run", run).repartition("run"))
+    return runs.select(*KEY, F.col("kept.doc_id").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "max", fan_in: int = 8, rounds: int | None = None) -> DataFrame:

@@ -33,3 +33,11 @@ def test_hot_group(spark):
     for fan_in, rounds in ((4, 2), (8, None)):
         got = exact_dedup.exact_dedup(docs, fan_in=fan_in, rounds=rounds)
         assert Counter(map(tuple, got.collect())) == brute(rows, max)
+
+
+def test_runs_are_sorted_and_merged(spark, odd_docs):
+    """Every round sorts by digest and merges equal neighbours; no hash table stands in for it."""
+    rows = exact_dedup._digests(odd_docs)
+    plan = exact_dedup.merge_runs(rows, fan_in=2, rounds=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 4 and "HashAggregate" not in plan.split("Initial Plan")[0]
+    assert plan.count("Sort [run") >= 4
