@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from catalens.operators import nearest
 from catalens.operators.nearest import nearest_mean
 
 NUMERIC, CATEGORICAL = ["x", "y"], ["c", "d"]
@@ -55,3 +56,32 @@ def test_fewer_training_rows_than_k(spark):
     )
     mean = (train[0][5] + train[1][5]) / 2
     assert [round(r["prediction"], 12) for r in got.collect()] == [round(mean, 12)] * 4
+
+
+def test_boxes_grow_with_the_rows(spark, monkeypatch):
+    """Few cells at the top: their own trees cut on, the boxes are of bounded size, and answers stay exact."""
+    monkeypatch.setattr(nearest, "MAX_CELLS", 4)
+    monkeypatch.setattr(nearest, "SAMPLE_ROWS", 200)
+    schema = "id long, x double, y double, c string, d string, label double"
+    rng = random.Random(8)
+    train = [(i, rng.gauss(0, 50), rng.gauss(0, 50), rng.choice("abc"), rng.choice("pq"), rng.random()) for i in range(1500)]
+    test = [(i, rng.gauss(0, 60), rng.gauss(0, 60), rng.choice("abcd"), rng.choice("pq"), 0.0) for i in range(60)]
+    made = {}
+    kept = nearest._boxed
+    monkeypatch.setattr(nearest, "_boxed", lambda *a: made.setdefault(len(made), kept(*a)))
+    sides = spark.createDataFrame(train, schema).repartition(3), spark.createDataFrame(test, schema)
+    got = {r["id"]: r["prediction"] for r in nearest_mean(*sides, "id", NUMERIC, CATEGORICAL, "label", 3, 20).collect()}
+    expected = brute(train, test, 3)
+    assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-12 for i in expected)
+    sizes = [r["count"] for r in made[0].groupBy("cell", "box").count().collect()]
+    assert len(sizes) > 60 and max(sizes) < 80
+
+
+def test_rows_with_nulls_take_no_part(spark):
+    schema = "id long, x double, y double, c string, d string, label double"
+    train = [*rows(50, 1), (100, None, 1.0, "a", "p", 9.0)]
+    test = [*rows(5, 2), (9, 1.0, None, "a", "p", 0.0)]
+    got = nearest_mean(spark.createDataFrame(train, schema), spark.createDataFrame(test, schema), "id", NUMERIC, CATEGORICAL, "label")
+    expected = brute(train[:-1], test[:-1], 3)
+    assert {r["id"]: round(r["prediction"], 12) for r in got.collect()} == {i: round(p, 12) for i, p in expected.items()}
+    assert got.columns == ["id", "x", "y", "c", "d", "label", "prediction"]
