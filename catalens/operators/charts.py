@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Bins of one zooming pass.
-ZOOM_BINS = 1000
+# Ranks that the quantile sketch tells apart, and the quantiles that binning needs.
+ACCURACY = 20_000
+QUARTILES = (0.25, 0.75)
 
 
 def mean_by_category(df: DataFrame, category: str, value: str, digits: int = 4) -> DataFrame:
@@ -78,40 +79,38 @@ def bootstrap_interval(
     )
 
 
-def _values_at_ranks(df: DataFrame, value: str, ranks: list[int], low: float, high: float) -> dict[int, float]:
-    """For each rank the value with so many smaller-or-earlier values, by zooming into one of ZOOM_BINS per pass.
+def summarize(df: DataFrame, value: str):
+    """n, lo, hi and ``near``: values around both quartiles, from one mergeable quantile sketch, all in one scan.
 
-    All ranks zoom in one scan per pass, which shuffles their bins alone; no sort, no task that holds the values.
+    The sketch is off by at most 1 / ACCURACY of all ranks, so each quartile lies between its two values.
     """
-    spans = {rank: (low, high, 0) for rank in ranks}
-    while open_ := sorted({(lo, hi) for lo, hi, _ in spans.values() if lo < hi}):
-        v = F.col(value)
-        places = F.array_compact(F.array(*[
-            F.when(v.between(lo, hi), F.struct(F.lit(i).alias("span"), F.floor((v - lo) * ZOOM_BINS / (hi - lo)).alias("bin")))
-            for i, (lo, hi) in enumerate(open_)]))
-        bins = (
-            df.select(value, F.explode(places).alias("at")).groupBy("at")
-            .agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).orderBy("at").collect()
-        )
-        for rank, (lo, hi, below) in spans.items():
-            if lo < hi:
-                for row in bins:
-                    if open_[row["at"]["span"]] == (lo, hi):
-                        if below + row["n"] > rank:
-                            spans[rank] = row["lo"], row["hi"], below
-                            break
-                        below += row["n"]
-    return {rank: lo for rank, (lo, _, _) in spans.items()}
+    off = 2.0 / ACCURACY
+    near = F.percentile_approx(value, F.array(*[F.lit(q + d) for q in QUARTILES for d in (-off, off)]), F.lit(ACCURACY))
+    return df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), near.alias("near")).first()
 
 
 def quartiles(df: DataFrame, value: str, summary=None) -> tuple[float, float]:
-    """Exact first and third quartile with linear interpolation; missing values and NaN left out."""
+    """Exact first and third quartile with linear interpolation; missing values and NaN left out.
+
+    One scan brackets them (``summarize``), a second one counts: rows between the brackets by stretch, rows inside by value. Of
+    those there are a few of ACCURACY (all, if the table has hardly more rows than that), and they alone are put in order.
+    """
     if summary is None:
         df = df.where(~F.isnan(value))
-        summary = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    places = [q * (summary["n"] - 1) for q in (0.25, 0.75)]
+        summary = summarize(df, value)
+    places = [q * (summary["n"] - 1) for q in QUARTILES]
     ranks = sorted({f(at) for at in places for f in (math.floor, math.ceil)})
-    found = _values_at_ranks(df, value, ranks, summary["lo"], summary["hi"])
+    low1, high1, low2, high2 = summary["near"] if summary["n"] > 4 * ACCURACY else (summary["lo"], summary["hi"]) * 2
+    v = F.col(value)
+    inside = v.between(low1, high1) | v.between(low2, high2)
+    stretch = F.when(v < low1, 0).when(v <= high1, 1).when(v < low2, 2).when(v <= high2, 3).otherwise(4)
+    counted = df.where(v.isNotNull()).groupBy(stretch.alias("stretch"), F.when(inside, v).alias("v")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("stretch", "v"))
+    ordered = counted.withColumn("upto", upto).where(
+        F.exists(F.array(*map(F.lit, ranks)), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
+    found = {}
+    for row in ordered.collect():  # a row for each of at most four ranks
+        found |= {rank: row["v"] for rank in ranks if row["upto"] - row["n"] <= rank < row["upto"]}
     out = []
     for at in places:
         lower, upper = found[math.floor(at)], found[math.ceil(at)]
@@ -136,7 +135,7 @@ def bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int:
 def histogram(df: DataFrame, value: str) -> DataFrame:
     """(bin, bin_start, bin_end, n) for the non-empty bins of the automatic binning; null and NaN are left out."""
     df = _numbers(df, value)
-    s = df.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    s = summarize(df, "v")
     if s["n"] == 0:
         return df.selectExpr("CAST(0 AS BIGINT) AS bin", "v AS bin_start", "v AS bin_end", "CAST(0 AS BIGINT) AS n")
     q1, q3 = quartiles(df, "v", s)

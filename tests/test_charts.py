@@ -51,6 +51,20 @@ def test_quartiles_by_zooming_with_a_hot_value(spark):
     assert charts.quartiles(df, "v") == pytest.approx(tuple(np.percentile(data, [25, 75])))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_quartiles_between_sketched_values(spark, monkeypatch, seed):
+    """More rows than the sketch tells apart: the bracket is narrow, and the answer is still exact."""
+    monkeypatch.setattr(charts, "ACCURACY", 100)
+    rng = np.random.default_rng(seed)
+    n = 4001 + seed
+    data = [rng.normal(size=n), np.round(rng.exponential(size=n), 1), rng.integers(0, 3, n).astype(float), np.sort(rng.random(n))][seed]
+    df = spark.createDataFrame([(float(v),) for v in data] + [(None,), (float("nan"),)], "v double").repartition(6)
+    assert charts.quartiles(df, "v") == pytest.approx(tuple(np.percentile(data, [25, 75])))
+    s = charts.summarize(df.where("NOT isnan(v)"), "v")
+    low1, high1, low2, high2 = s["near"]
+    assert low1 <= np.percentile(data, 25) <= high1 and low2 <= np.percentile(data, 75) <= high2
+
+
 def test_density_like_formula(frame, values):
     got = charts.density(frame, "v").orderBy("point").collect()
     h = values.std(ddof=1) * len(values) ** -0.2
