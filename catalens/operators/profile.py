@@ -125,3 +125,23 @@ def write_rejects(df: DataFrame, key: str, checks: dict[str, tuple[Column, Colum
     watched = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *counts)
     reject_rows(watched, key, checks).write.mode("overwrite").partitionBy("check_name").parquet(path)
     return {name: int(n or 0) for name, n in seen.get.items()}
+
+
+def distinct_sketches(df: DataFrame, columns: list[str], by: list[str], lg_k: int = 12) -> DataFrame:
+    """One row per group with a HyperLogLog sketch of every column: partial counts to store and to unite later.
+
+    A sketch has about 2^lg_k / 2 bytes whatever the group holds; nulls are not counted. Groups are combined map-side.
+    """
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(lg_k)).alias(c) for c in columns])
+
+
+def distinct_estimates(sketches: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, column_name, estimate): the distinct values of the union of all sketches that agree in ``by``."""
+    united = sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("estimate")) for c in columns]
+    return united.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*")
+
+
+def sketch_error(lg_k: int = 12) -> float:
+    """Three standard errors of an estimate, as a share of the true number."""
+    return 3 * 1.04 / 2 ** (lg_k / 2)

@@ -386,6 +386,9 @@ _STATEMENTS = {
     "q_csv_credits": "SELECT * FROM credits_raw",
     "q_table_store": "SELECT * FROM laptop_raw",
     "q_neighbour_store": _ALL_NEAR.format(kind="genre"),
+    "q_neighbour_lookup": f"""SELECT seed_title, facet, rank, near_id, near_movie_id, score FROM seeds JOIN (
+ SELECT * FROM ({_ALL_NEAR.format(kind="content")}) UNION ALL SELECT * FROM ({_ALL_NEAR.format(kind="genre")}))
+ ON id = seed_id AND movie_id = seed_movie_id""",
     "q_poster_enrich": f"""SELECT movie_id, id, title, coalesce('{IMAGE}' || poster_path, '{NO_IMAGE}') AS poster,
  '{PAGE}' || CAST(movie_id AS VARCHAR) || '-' || title AS link FROM movie_rows LEFT JOIN posters USING (movie_id)""",
     "q_shape": "SELECT count(*) AS n_rows, CAST(12 AS BIGINT) AS n_columns FROM laptop_raw",
@@ -403,6 +406,9 @@ _STATEMENTS = {
     "q_unique_first_seen": "SELECT company, min(unnamed_0) AS first_position FROM laptop_raw GROUP BY company",
     "q_distinct_directors": "SELECT director[1] AS director, CAST(1 AS BIGINT) AS n_distinct, count(*) AS n_rows "
     "FROM facets WHERE len(director) > 0 GROUP BY 1",
+    "q_distinct_sketch": " UNION ALL ".join(
+        f"SELECT l_linestatus, '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, true AS within_error FROM lineitem GROUP BY 1"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")),
     "q_corr_target": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, round(corr(CAST({c} AS DOUBLE), price), 6) AS r FROM laptop"
         for c in ("unnamed_0", "inches", "ram", "weight", "touchscreen", "ips", "x_res", "y_res", "ppi", "hdd", "ssd",

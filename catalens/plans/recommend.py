@@ -126,6 +126,17 @@ def nearest_some(catalogue: Catalogue, kind: str, k: int = TOP, **options) -> Da
     return lsh.similar_lsh(vecs, KEYS, k, **options).withColumn("facet", F.lit(kind))
 
 
+def stored_neighbours(catalogue: Catalogue, stored: DataFrame, wanted: list[str]) -> DataFrame:
+    """(seed_title, facet, rank, near_id, near_movie_id, score) of the wanted titles from a stored neighbour table.
+
+    The ids of the wanted titles, one per title, are put into the filter, so that only their buckets are read.
+    """
+    seeds = seed_rows(catalogue.titles, wanted)
+    ids = [r["id"] for r in seeds.select("id").collect()]  # at most one for each wanted title
+    found = stored.where(F.col("id").isin(ids))
+    return found.join(F.broadcast(seeds), KEYS).select("seed_title", "facet", "rank", "near_id", "near_movie_id", "score")
+
+
 def recommend(catalogue: Catalogue, wanted: list[str], salt: int = 0) -> DataFrame:
     """All four facets of the wanted titles; a facet without matches is simply empty."""
     seeds = seed_rows(catalogue.titles, wanted)

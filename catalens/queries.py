@@ -98,6 +98,16 @@ def q_neighbour_store(spark, sf):
     return tables.read_table(spark, path).where(F.col("facet") == "genre")
 
 
+@query
+def q_neighbour_lookup(spark, sf):
+    """Neighbours of the chosen titles, both facets, from a bucketed store that reads their buckets alone."""
+    catalogue = _catalogue(spark, sf, "content", "genre")
+    near = recommend.nearest_all(catalogue, "content").unionByName(recommend.nearest_all(catalogue, "genre"))
+    name = f"neighbours_{uuid.uuid4().hex}"
+    tables.write_neighbour_buckets(near, name, _new_path(spark, "neighbours"))
+    return recommend.stored_neighbours(catalogue, tables.read_neighbour_buckets(spark, name), SEED_TITLES)
+
+
 @query
 def q_model_store(spark, sf):
     """A stored pipeline, loaded again, predicts the same for every hold-out row."""
@@ -170,6 +180,20 @@ def q_distinct_directors(spark, sf):
     return profile.distinct_value_counts(people, "director")
 
 
+@query
+def q_distinct_sketch(spark, sf):
+    """Exact distinct counts per line status, and whether those of united, stored sketches per return flag are within their error."""
+    lines, columns = table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
+    path = _new_path(spark, "sketches")
+    tables.write_table(profile.distinct_sketches(lines, columns, ["l_linestatus", "l_returnflag"]), path)
+    found = profile.distinct_estimates(tables.read_table(spark, path), columns, ["l_linestatus"])
+    exact = lines.groupBy("l_linestatus").agg(*[F.count_distinct(c).alias(c) for c in columns]).unpivot(
+        "l_linestatus", columns, "column_name", "n_distinct")
+    off = F.abs(F.col("estimate") - F.col("n_distinct"))
+    return found.join(exact, ["l_linestatus", "column_name"]).select(
+        "l_linestatus", "column_name", "n_distinct", (off <= profile.sketch_error() * F.col("n_distinct") + 0.5).alias("within_error"))
+
+
 @query
 def q_corr_target(spark, sf):
     return profile.correlation_with(_parsed(spark, sf), "price")

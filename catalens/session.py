@@ -11,6 +11,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="catalens-")
+
+
 def local_session(cores: int = 8, app: str = "catalens") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     return (
@@ -19,6 +24,7 @@ def local_session(cores: int = 8, app: str = "catalens") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.warehouse.dir", f"{_local_dir()}/warehouse")
         .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -26,11 +32,6 @@ def local_session(cores: int = 8, app: str = "catalens") -> SparkSession:
     )
 
 
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="catalens-")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` as the session names it.
 

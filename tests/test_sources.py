@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from catalens.fixtures import view
 from catalens.sources import posters, tables
 
@@ -55,3 +57,28 @@ def test_scratch_tables_go(spark):
         folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
         assert df.count() == 5 and folder.exists()
     assert not folder.exists()
+
+
+def test_neighbour_buckets_are_read_alone(spark, tmp_path):
+    """A look-up reads the buckets of its ids, and tables bucketed alike are joined without a shuffle."""
+    rows = [(i, i, (i * 7) % 300, (i * 7) % 300, 0.5, 1, "genre") for i in range(300)]
+    near = spark.createDataFrame(rows, "id long, movie_id long, near_id long, near_movie_id long, score double, rank int, facet string")
+    for name in ("near_a", "near_b"):
+        tables.write_neighbour_buckets(near, name, str(tmp_path / name), buckets=16)
+    stored = tables.read_neighbour_buckets(spark, "near_a")
+    assert len(list((tmp_path / "near_a").glob("part-*"))) == 16
+    one = stored.where(F.col("id").isin([17]))
+    assert [tuple(r) for r in one.collect()] == [rows[17]]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan does not tell the buckets
+    try:
+        again = stored.where(F.col("id").isin([17]))
+        plan = again._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 1 out of 16" in plan and "Exchange" not in plan
+        both = stored.join(tables.read_neighbour_buckets(spark, "near_b").select("id", F.col("score").alias("other")), "id")
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    for name in ("near_a", "near_b"):
+        spark.sql(f"DROP TABLE {name}")
