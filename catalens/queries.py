@@ -686,7 +686,13 @@ def q_ols(spark, sf):
 
 @query
 def q_tree(spark, sf):
-    return _fitted(spark, sf, "tree", models.tree())
+    """A leaf holds the mean label of its training rows: over these, predictions average like labels, and what they leave is
+    orthogonal to them."""
+    train, test = _sides(spark, sf)
+    model = models.fit(models.tree(), models.fit_encoder(train), train)
+    fitted, gap = F.col("prediction"), F.col("label") - F.col("prediction")
+    mean, moment = model.transform(train).agg(F.round(F.avg(fitted), 9), F.round(F.avg(fitted * gap), 9) + 0.0).first()
+    return _judged(train, test, "tree", model).withColumns({"train_mean": F.lit(mean), "train_moment": F.lit(moment)})
 
 
 @query
