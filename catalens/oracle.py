@@ -425,6 +425,8 @@ _STATEMENTS = {
     "q_mean_by_category": "SELECT company, round(avg(price), 4) AS mean_value, count(*) AS n FROM laptop_raw "
     "GROUP BY company",
     "q_bootstrap_ci": _BOOT,
+    "q_bootstrap_by_value": "SELECT type_name, round(avg(price), 4) AS mean_value, count(*) AS n, true AS inside FROM laptop_raw "
+    "GROUP BY type_name",
     "q_histogram": _in_laptop(_histogram("laptop_raw", "price")),
     "q_histogram_lineitem": _histogram("lineitem", "l_extendedprice"),
     "q_histogram_log": _in_laptop(_histogram("laptop_raw", "ln(price)")),

@@ -212,6 +212,15 @@ def q_bootstrap_ci(spark, sf):
     return charts.bootstrap_interval(_laptops(spark, sf), "company", "price", "unnamed_0")
 
 
+@query
+def q_bootstrap_by_value(spark, sf):
+    """Mean per type, and whether the interval by equal rows holds it and has a width above zero."""
+    rows = _laptops(spark, sf)
+    both = charts.mean_by_category(rows, "type_name", "price").join(charts.bootstrap_by_value(rows, "type_name", "price"), "type_name")
+    inside = (F.col("low") < F.col("mean_value")) & (F.col("mean_value") < F.col("high"))
+    return both.select("type_name", "mean_value", "n", inside.alias("inside"))
+
+
 @query
 def q_histogram(spark, sf):
     return charts.histogram(_laptops(spark, sf), "price")

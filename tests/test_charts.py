@@ -103,3 +103,25 @@ def test_sample_is_repeatable(frame):
     again = [tuple(r) for r in profile.sample_rows(frame.repartition(13), "id", 7, 1).collect()]
     assert first == again and len(set(first)) == 7
     assert first != [tuple(r) for r in profile.sample_rows(frame, "id", 7, 2).collect()]
+
+
+def test_bootstrap_by_value_covers_the_mean(spark):
+    """Of many samples with a known mean, about 95 % of the intervals hold it; equal rows are drawn together."""
+    rng = np.random.default_rng(9)
+    values, shares = np.array([1.0, 2.0, 5.0, 20.0]), np.array([0.5, 0.25, 0.15, 0.1])
+    rows = [(f"s{i}", float(v)) for i in range(300) for v in rng.choice(values, 80, p=shares)]
+    found = charts.bootstrap_by_value(spark.createDataFrame(rows, "c string, v double").repartition(5), "c", "v", 400).collect()
+    held = sum(r["low"] <= (values * shares).sum() <= r["high"] for r in found)
+    assert len(found) == 300 and 0.89 <= held / 300 <= 0.99
+
+
+def test_bootstrap_by_value_like_by_row(spark, frame):
+    """The same answer, whatever the partitions, and nearly that of the draw by row; null categories and values are no problem."""
+    a, b = (sorted(map(tuple, charts.bootstrap_by_value(frame.repartition(n), "c", "v", 500).collect())) for n in (1, 7))
+    assert all(x[0] == y[0] and x[1:] == pytest.approx(y[1:]) for x, y in zip(a, b, strict=True))
+    rows = {r["c"]: r for r in charts.bootstrap_interval(frame, "c", "v", "id", 500).collect()}
+    for c, low, high in a:
+        assert abs(low - rows[c]["low"]) < 0.35 * (high - low) and abs(high - rows[c]["high"]) < 0.35 * (high - low)
+    odd = spark.createDataFrame([(None, 1.0), (None, 2.0), ("x", None), ("y", float("nan")), ("z", 4.0)], "c string, v double")
+    got = {r["c"]: r for r in charts.bootstrap_by_value(odd, "c", "v", 50).collect()}
+    assert set(got) == {None, "z"} and got["z"]["low"] == got["z"]["high"] == 4.0
