@@ -137,11 +137,12 @@ def term_sets(texts: list[str]) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Machine:
     """Fit on the texts of at most ``most`` rows of ``labels`` (doc_id, label 0 or 1), picked by a hash of the id.
 
-    Rows without id or label are left out. The sample has a fixed bound, so its ids are broadcast, and the sets of hashed
-    terms of its texts come to the driver.
+    Rows without id or label are left out. Of documents that share an id, one text counts for each label: the one whose set of
+    terms sorts first. So the sample has a fixed bound, its ids are broadcast, and its sets of hashed terms come to the
+    driver, one per row of the sample and each of at most BINS numbers.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).filter(
-        "doc_id IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "label").limit(most)
+        "doc_id IS NOT NULL AND label IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "label").limit(most)
 
     def hashed(batches):
         for batch in batches:
@@ -150,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Machine
                 "doc_id": batch.column(1), "label": batch.column(2), "terms": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label").mapInArrow(
-        hashed, "doc_id long, label int, terms binary").toPandas()
-    rows = rows.sort_values(["doc_id", "label", "terms"], ignore_index=True)
+        hashed, "doc_id long, label int, terms binary").groupBy("doc_id", "label").agg(F.min("terms").alias("terms")).toPandas()
+    rows = rows.sort_values(["doc_id", "label"], ignore_index=True)
     return fit([np.frombuffer(x, np.int32) for x in rows["terms"]], rows["label"].to_numpy())
 
 

@@ -120,3 +120,14 @@ def test_odd_toxicity(spark, odd_docs, no_docs):
     for none in (labels.limit(0), labels.filter("label = 1")):
         alone = toxicity.train(odd_docs, none)
         assert len({r["score"] for r in toxicity.predict(odd_docs, alone).collect()}) == 1
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
+    """However many documents share a sampled id, one text per label comes to the driver."""
+    docs = spark.createDataFrame([(i % 7, f"text {i} of words") for i in range(700)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] * 3, "doc_id long, label int")
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda sets, marks: sizes.append((len(sets), sorted(marks.tolist()))))
+    toxicity.train(docs, labels)
+    toxicity.train(docs, labels, most=3)
+    assert sizes[0] == (7, [0, 0, 0, 0, 1, 1, 1]) and sizes[1][0] == 3
