@@ -8,21 +8,25 @@ from catalens.session import materialize
 
 # A token is a run of two or more word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: Terms that the sketch of a first scan follows; it may grow to the largest size the sketch has.
+TRACKED = 1 << 16
+MAX_TRACKED = 1_000_000
+#: Groups of tasks whose sketches are merged before the last merge.
+SKETCH_GROUPS = 256
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _words(docs: DataFrame, keys: list[str], text: str, stop_words: list[str]) -> DataFrame:
+    words = docs.select(*keys, text).select(*keys, F.explode(tokens(F.col(text))).alias("term"))
+    return words.where(~F.col("term").isin(stop_words))
+
+
 def term_counts(docs: DataFrame, keys: list[str], text: str, stop_words: list[str]) -> DataFrame:
     """(keys, term, tf) without stop words."""
-    return (
-        docs.select(*keys, text)
-        .select(*keys, F.explode(tokens(F.col(text))).alias("term"))
-        .where(~F.col("term").isin(stop_words))
-        .groupBy(*keys, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    return _words(docs, keys, text, stop_words).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_terms: int) -> DataFrame:
@@ -30,14 +34,53 @@ def vocabulary(counts: DataFrame, n_terms: int) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(n_terms)
 
 
+def _followed(words: DataFrame, tracked: int) -> DataFrame:
+    """One row (n_words, bound, hashes): the most frequent hashes of terms, at most ``tracked``. No row without words.
+
+    A hash that is not among them comes at most ``bound`` times: the least estimate of a named one, and estimates are
+    never too low. Each task fills one sketch; they are merged in two levels, so no task merges those of all others.
+    """
+    hashed = words.select(F.xxhash64("term").alias("h"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
+    merged = hashed.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("s"), F.count("*").alias("n"))
+    merged = merged.groupBy(F.lit("all").alias("all")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n_words"))
+    found = merged.select("n_words", F.expr(f"approx_top_k_estimate(s, {tracked})").alias("top"))
+    return found.select("n_words", F.array_min("top.count").alias("bound"), F.col("top.item").alias("hashes"))
+
+
+def frequent_terms(docs: DataFrame, text: str, stop_words: list[str], n_terms: int, tracked: int = TRACKED) -> DataFrame:
+    """(term, n) of the ``n_terms`` most frequent terms, as ``vocabulary`` gives them, without a shuffle of rare terms.
+
+    A first scan sketches the frequent hashes of terms, a second counts only terms with such a hash. The counts are the
+    answer if the last term wanted is more frequent than anything the sketch may have missed, or if they add up to all
+    words. Else the sketch is made four times as large, and beyond its largest size all terms are counted.
+    The hashes are broadcast: at most ``tracked`` numbers of 64 bits, whatever the terms are. Null texts have no terms.
+    """
+    words = _words(docs, [], text, stop_words)
+    tracked = max(tracked, n_terms)
+    while tracked <= MAX_TRACKED:
+        followed = materialize(_followed(words, tracked), "frequent-hashes")
+        known = F.broadcast(followed.select(F.explode("hashes").alias("h")))
+        counted = words.join(known, F.xxhash64("term") == F.col("h"), "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+        counted = materialize(counted, "frequent-terms")
+        top = counted.orderBy(F.desc("n"), "term").limit(n_terms)
+        n_words, bound = followed.select("n_words", "bound").first() or (0, 0)
+        size, least = top.agg(F.count("*"), F.min("n")).first()
+        if size == n_terms and least > bound or (counted.agg(F.sum("n")).first()[0] or 0) == n_words:
+            return top
+        tracked *= 4
+    return vocabulary(words.groupBy("term").agg(F.count("*").alias("tf")), n_terms)
+
+
 def numbered_vocabulary(counts: DataFrame, n_terms: int) -> DataFrame:
+    return numbered(vocabulary(counts, n_terms))
+
+
+def numbered(top: DataFrame) -> DataFrame:
     """(term, n, term_no), numbered in rank order.
 
-    The vocabulary, at most ``n_terms`` rows, is numbered as one sorted array.
+    A vocabulary, a bounded number of rows, is numbered as one sorted array.
     """
-    top = vocabulary(counts, n_terms).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "term"))).alias("a")
-    )
+    top = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "term"))).alias("a"))
     return top.select(F.posexplode("a").alias("term_no", "e")).select(
         F.col("e.term").alias("term"), (-F.col("e.m")).alias("n"), "term_no"
     )
@@ -55,6 +98,19 @@ def vocabulary_counts(
     return counts.join(F.broadcast(numbered_vocabulary(counts, n_terms)), "term")
 
 
+def frequent_counts(
+    docs: DataFrame, keys: list[str], text: str, stop_words: list[str], n_terms: int, tracked: int = TRACKED
+) -> DataFrame:
+    """``vocabulary_counts`` for texts with far more terms than the vocabulary takes.
+
+    The vocabulary comes first, by ``frequent_terms``, so other terms are neither shuffled nor stored; ``docs`` is read
+    three times instead of once.
+    """
+    top = F.broadcast(numbered(frequent_terms(docs, text, stop_words, n_terms, tracked)))
+    words = _words(docs, keys, text, stop_words).join(top, "term")
+    return words.groupBy("term", *keys, "n", "term_no").agg(F.count("*").alias("tf")).select("term", *keys, "tf", "n", "term_no")
+
+
 def document_vectors(
     docs: DataFrame, keys: list[str], text: str, stop_words: list[str], n_terms: int, tfidf: bool = False
 ) -> DataFrame:

@@ -524,7 +524,10 @@ _STATEMENTS = {
  FROM documents) WHERE term NOT IN ({STOP}) GROUP BY term""",
     "q_vocab_topn": "SELECT term, n FROM content_vocab",
     "q_vocab_genre": "SELECT term, n FROM genre_vocab",
+    "q_vocab_documents": f"""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term
+ FROM documents) WHERE term NOT IN ({STOP}) GROUP BY term ORDER BY n DESC, term LIMIT 100""",
     "q_term_counts": "SELECT id, movie_id, term, tf FROM content_v",
+    "q_term_counts_frequent": "SELECT id, movie_id, term, tf FROM content_v",
     "q_similar_all": _ALL_NEAR.format(kind="content"),
     "q_genre_all": _ALL_NEAR.format(kind="genre"),
     "q_tfidf_topk": """SELECT seed_title, 'content' AS facet, rank, t.id, t.movie_id, f.title, score FROM (

@@ -614,8 +614,14 @@ def q_stopwords(spark, sf):
 
 @query
 def q_vocab_topn(spark, sf):
-    counts = vectors.term_counts(movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words())
-    return vectors.vocabulary(counts, recommend.CONTENT_TERMS)
+    """The content vocabulary in two scans: a sketch names candidates, which alone are counted."""
+    return vectors.frequent_terms(movies.tags(_facets(spark, sf)), "tags", load_stop_words(), recommend.CONTENT_TERMS)
+
+
+@query
+def q_vocab_documents(spark, sf):
+    """The 100 most frequent terms of all documents."""
+    return vectors.frequent_terms(table(spark, sf, "documents"), "text", load_stop_words(), 100)
 
 
 @query
@@ -631,6 +637,14 @@ def q_term_counts(spark, sf):
     ).select(*KEYS, "term", "tf")
 
 
+@query
+def q_term_counts_frequent(spark, sf):
+    """The same counts with the vocabulary found first."""
+    return vectors.frequent_counts(
+        movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words(), recommend.CONTENT_TERMS
+    ).select(*KEYS, "term", "tf")
+
+
 # --- regression -----------------------------------------------------------------------------------------------------
 
 
