@@ -276,9 +276,10 @@ def _joined(docs: DataFrame, n_words: int, percent: int, block_bytes: int, cell:
     asked = answered(packed, asked.groupBy("bucket").applyInPandas(how_often, ANSWER))
     sets = materialize(
         asked.mapInArrow(lambda x: _sets(x, n_words, percent), "doc_id long, set_id long, n long, shared binary"), "sets")
-    near = materialize(sets.filter("shared IS NOT NULL").dropDuplicates(["set_id"]).select("set_id", "n", "shared"), "near-sets")
+    near = sets.filter("shared IS NOT NULL").dropDuplicates(["set_id"]).select("set_id", "n", "shared")
     if every:
         near = near.join(sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("size")), "set_id")
+    near = materialize(near, "near-sets")
     edges = materialize(links(near, percent, cell, every), "links")
     linked = components(edges)
     least = sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("size"))
