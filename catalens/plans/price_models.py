@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalens.functions.scalars import whole_price
 from catalens.operators.nearest import nearest_mean
+from catalens.plans.forest import RandomForestInGroups
 from catalens.plans.kernel import KernelRegressor
 from catalens.plans.laptops import CATEGORICAL, FEATURES, NUMERIC
 from catalens.session import materialize
@@ -78,16 +79,13 @@ def tree() -> DecisionTreeRegressor:
     return DecisionTreeRegressor(maxDepth=8, maxBins=256)
 
 
-def forest() -> RandomForestRegressor:
+def forest() -> RandomForestInGroups:
     """100 trees of depth 15 on half-size bootstrap samples, three quarters of the features per split.
 
-    More memory per pass lets one job grow many nodes at once, and so needs fewer passes over the rows; cached node
-    numbers save each pass the walk through all trees and keep the trees out of the shipped tasks.
+    Trees grow in groups, and a task adds up 64 MB of statistics in a pass, so neither the driver nor a task grows with the rows.
+    Cached node numbers save each pass the walk through all trees and keep the trees out of the shipped tasks.
     """
-    return RandomForestRegressor(
-        numTrees=100, subsamplingRate=0.5, featureSubsetStrategy="0.75", maxDepth=15, seed=3,
-        maxMemoryInMB=1024, cacheNodeIds=True,
-    )
+    return RandomForestInGroups(numTrees=100, subsamplingRate=0.5, featureSubsetStrategy="0.75", maxDepth=15, seed=3)
 
 
 def encoded_train(encoder: PipelineModel, train: DataFrame) -> DataFrame:
