@@ -1,8 +1,15 @@
-"""Bag-of-words document vectors in sparse form. Term counts are combined per task before they are shuffled."""
+"""Bag-of-words document vectors in sparse form. Terms are counted inside each document's row, so documents are not shuffled."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from catalens.session import materialize
 
@@ -11,6 +18,8 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Terms that the sketch of a first scan follows; it may grow to the largest size the sketch has.
 TRACKED = 1 << 16
 MAX_TRACKED = 1_000_000
+#: Documents turned into vectors at a time.
+SLICE_ROWS = 1024
 #: Groups of tasks whose sketches are merged before the last merge.
 SKETCH_GROUPS = 256
 
@@ -24,9 +33,37 @@ def _words(docs: DataFrame, keys: list[str], text: str, stop_words: list[str]) -
     return words.where(~F.col("term").isin(stop_words))
 
 
+def _within(docs: DataFrame, keys: list[str], text: str, stop_words: list[str]) -> DataFrame:
+    """(keys, counts ARRAY<STRUCT<term, tf>>) of every row: equal words stand together in the sorted words, and each run is counted."""
+    words = docs.select(*keys, F.sort_array(tokens(F.col(text))).alias("t"))
+    # The place of the last of every run; the word after the last one is null.
+    last = F.array_compact(F.transform("t", lambda x, i: F.when(~x.eqNullSafe(F.get("t", i + 1)), i)))
+    runs = words.select(*keys, "t", last.alias("last"))
+    run = F.transform("last", lambda at, j: F.struct(
+        F.get("t", at).alias("term"), (at - F.coalesce(F.get("last", j - 1), F.lit(-1))).cast("long").alias("tf")))
+    return runs.select(*keys, F.filter(run, lambda e: ~e["term"].isin(stop_words)).alias("counts"))
+
+
+def counted(docs: DataFrame, keys: list[str], text: str, stop_words: list[str]) -> DataFrame:
+    """(keys, counts), one stored row per document; only rows that share their keys are brought together."""
+    rows = materialize(_within(docs, keys, text, stop_words), "counted")
+    again = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1").drop("n_rows"), "repeated-keys")
+    if again.isEmpty():
+        return rows
+    again = again.select(*[F.col(k).alias(f"again_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"again_{k}")) for k in keys])
+    merged = _each(rows.join(again, same, "left_semi"), keys).groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
+    merged = merged.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf")).alias("counts"))
+    return materialize(rows.join(again, same, "left_anti").unionByName(merged), "counted")
+
+
+def _each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, F.explode("counts").alias("c")).select(*keys, "c.term", "c.tf")
+
+
 def term_counts(docs: DataFrame, keys: list[str], text: str, stop_words: list[str]) -> DataFrame:
     """(keys, term, tf) without stop words."""
-    return _words(docs, keys, text, stop_words).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return _each(counted(docs, keys, text, stop_words), keys)
 
 
 def vocabulary(counts: DataFrame, n_terms: int) -> DataFrame:
@@ -55,20 +92,25 @@ def frequent_terms(docs: DataFrame, text: str, stop_words: list[str], n_terms: i
     words. Else the sketch is made four times as large, and beyond its largest size all terms are counted.
     The hashes are broadcast: at most ``tracked`` numbers of 64 bits, whatever the terms are. Null texts have no terms.
     """
-    words = _words(docs, [], text, stop_words)
+    return _frequent(_words(docs, [], text, stop_words).withColumn("tf", F.lit(1).cast("long")), n_terms, tracked)
+
+
+def _frequent(counts: DataFrame, n_terms: int, tracked: int) -> DataFrame:
+    """``frequent_terms`` of words that come as (term, tf), a term any number of times."""
     tracked = max(tracked, n_terms)
     while tracked <= MAX_TRACKED:
+        words = counts.select(F.explode(F.array_repeat("term", F.col("tf").cast("int"))).alias("term"))
         followed = materialize(_followed(words, tracked), "frequent-hashes")
         known = F.broadcast(followed.select(F.explode("hashes").alias("h")))
-        counted = words.join(known, F.xxhash64("term") == F.col("h"), "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-        counted = materialize(counted, "frequent-terms")
-        top = counted.orderBy(F.desc("n"), "term").limit(n_terms)
+        found = counts.join(known, F.xxhash64("term") == F.col("h"), "left_semi").groupBy("term").agg(F.sum("tf").alias("n"))
+        found = materialize(found, "frequent-terms")
+        top = found.orderBy(F.desc("n"), "term").limit(n_terms)
         n_words, bound = followed.select("n_words", "bound").first() or (0, 0)
         size, least = top.agg(F.count("*"), F.min("n")).first()
-        if size == n_terms and least > bound or (counted.agg(F.sum("n")).first()[0] or 0) == n_words:
+        if size == n_terms and least > bound or (found.agg(F.sum("n")).first()[0] or 0) == n_words:
             return top
         tracked *= 4
-    return vocabulary(words.groupBy("term").agg(F.count("*").alias("tf")), n_terms)
+    return vocabulary(counts, n_terms)
 
 
 def numbered_vocabulary(counts: DataFrame, n_terms: int) -> DataFrame:
@@ -94,8 +136,8 @@ def vocabulary_counts(
     The counts are stored once, as the vocabulary and the result both read them. The vocabulary is broadcast: it holds
     at most ``n_terms`` rows.
     """
-    counts = materialize(term_counts(docs, keys, text, stop_words), "term-counts")
-    return counts.join(F.broadcast(numbered_vocabulary(counts, n_terms)), "term")
+    counts = term_counts(docs, keys, text, stop_words)
+    return counts.join(F.broadcast(numbered_vocabulary(counts, n_terms)), "term").select("term", *keys, "tf", "n", "term_no")
 
 
 def frequent_counts(
@@ -103,12 +145,12 @@ def frequent_counts(
 ) -> DataFrame:
     """``vocabulary_counts`` for texts with far more terms than the vocabulary takes.
 
-    The vocabulary comes first, by ``frequent_terms``, so other terms are neither shuffled nor stored; ``docs`` is read
-    three times instead of once.
+    The vocabulary comes first, by the sketch of ``frequent_terms``, so other terms are not shuffled. The words of a document
+    are counted in its row and stored once, and all three scans read that table.
     """
-    top = F.broadcast(numbered(frequent_terms(docs, text, stop_words, n_terms, tracked)))
-    words = _words(docs, keys, text, stop_words).join(top, "term")
-    return words.groupBy("term", *keys, "n", "term_no").agg(F.count("*").alias("tf")).select("term", *keys, "tf", "n", "term_no")
+    counts = term_counts(docs, keys, text, stop_words)
+    top = F.broadcast(numbered(_frequent(counts.select("term", "tf"), n_terms, tracked)))
+    return counts.join(top, "term").select("term", *keys, "tf", "n", "term_no")
 
 
 def document_vectors(
@@ -120,16 +162,37 @@ def document_vectors(
     ``tf * (ln((1 + n) / (1 + df)) + 1)`` with ``tfidf``. A document without any vocabulary term has no row, as its
     cosine with everything is zero.
     """
-    entries = vocabulary_counts(docs, keys, text, stop_words, n_terms)
-    weight = F.col("tf")
-    if tfidf:
-        n_docs = docs.count()
-        df = entries.groupBy("term_no").agg(F.count("*").alias("df"))
-        entries = entries.join(F.broadcast(df), "term_no")  # at most n_terms rows
-        weight = F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1.0)
-    grouped = entries.select(*keys, "term_no", weight.alias("w")).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("term_no", "w"))).alias("v"), F.sum(F.col("w") * F.col("w")).alias("norm2")
-    )
-    return materialize(
-        grouped.select(*keys, F.col("v.term_no").alias("terms"), F.col("v.w").alias("weights"), "norm2"), "vectors"
-    )
+    rows = counted(docs, keys, text, stop_words)
+    each = _each(rows, [])
+    top = each.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(n_terms)
+    idf = F.log(F.lit(1.0 + docs.count()) / (1 + F.col("df"))) + 1.0 if tfidf else F.lit(1).cast("long")
+    known = top.select("term", idf.alias("idf")).collect()  # the vocabulary, in the order of its numbers
+    names, factors = pa.array([r["term"] for r in known], pa.string()), np.array([r["idf"] for r in known], np.float64 if tfidf else np.int64)
+    number = DoubleType() if tfidf else LongType()
+    schema = StructType([*(rows.schema[k] for k in keys), StructField("terms", ArrayType(IntegerType())),
+                         StructField("weights", ArrayType(number)), StructField("norm2", number)])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield _vectors(batch.slice(at, SLICE_ROWS), keys, names, factors)
+
+    return materialize(rows.mapInArrow(build, schema), "vectors")
+
+
+def _vectors(batch: pa.RecordBatch, keys: list[str], names: pa.Array, factors: np.ndarray) -> pa.RecordBatch:
+    """Vectors of rows (keys, counts), without those that have no term of the vocabulary."""
+    counts = batch.column("counts")
+    row, cells = pc.list_parent_indices(counts).to_numpy(zero_copy_only=False), counts.flatten()
+    term = pc.fill_null(pc.index_in(cells.field("term"), value_set=names), -1).to_numpy(zero_copy_only=False)
+    weight = cells.field("tf").to_numpy(zero_copy_only=False)
+    row, term, weight = row[term >= 0], term[term >= 0], weight[term >= 0]
+    order = np.lexsort((term, row))
+    row, term, weight = row[order], term[order], weight[order]
+    weight = weight * factors[term]
+    kept, first = np.unique(row, return_index=True)
+    norm2 = np.add.reduceat(weight * weight, first) if len(first) else weight
+    ends = pa.array(np.append(first, len(row)), pa.int32())
+    columns = [batch.column(k).take(pa.array(kept)) for k in keys]
+    made = [pa.ListArray.from_arrays(ends, pa.array(term, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(weight)), pa.array(norm2)]
+    return pa.RecordBatch.from_arrays([*columns, *made], names=[*keys, "terms", "weights", "norm2"])
