@@ -8,10 +8,11 @@ matter are few, and those that may be equal are brought together exactly:
 * Neighbouring windows with one anchor make a segment of less than 2 * LENGTH bytes. Each block sends its distinct segments
   with such an anchor, and the smallest id of each, to the bucket of the anchor. Equal windows meet there, and a passage
   that every document holds comes once from each block.
-* A bucket cuts its segments into shards, builds the transform of each, and merges them by refining their interleave: one
+* A segment that is the only one of its bucket with its anchor has no window that comes twice. A bucket cuts the others into shards, builds the transform of each, and merges them by refining their interleave: one
   round goes from the order by the first h bytes to that by h + 1, reading the transforms along their last-to-first maps
   and dealing the suffixes out by the byte before them, stably. No suffix is sorted again. A suffix leaves its neighbour's
-  interval in the round that reaches their common prefix; those still together after LENGTH rounds are a repeat. Only
+  interval in the round that reaches their common prefix, and takes no more part once it is alone; those still together after
+  LENGTH rounds are a repeat. Only
   suffixes from which a window can be reached in the rounds left take part.
 * The smallest id in an interval says which of its windows are removed; each block gets a bit for every window it sent.
 """
@@ -195,33 +196,44 @@ def repeats(strings: list[bytes], least: np.ndarray, length: int, shard_bytes: i
         text = np.frombuffer(b"\xff".join([*strings[a:b], b""]), np.uint8) + np.uint8(1)  # 255, never in UTF-8, becomes 0
         shard = Transform(text)
         bwt.append(shard.bwt)
-        to_first.append(shard.to_first + offset)
+        to_first.append((shard.to_first + offset).astype(np.int32))
         # The suffix that comes ``length`` bytes after the start of each window.
         begin = np.cumsum(size[a:b] + 1) - size[a:b] - 1
         w = windows[a:b]
         spot = np.repeat(begin - np.cumsum(w) + w, w) + np.arange(w.sum()) + length
-        at.append(shard.place[spot] + offset)
+        at.append((shard.place[spot] + offset).astype(np.int32))
         offset += len(text)
     bwt, to_first = np.concatenate(bwt), np.concatenate(to_first)
-    window = np.argsort(np.concatenate(at), kind="stable")  # each shard in its own order, one shard after the other
+    window = np.argsort(np.concatenate(at), kind="stable").astype(np.int32)  # each shard in its own order, one after the other
     place = np.concatenate(at)[window]
-    interval = np.zeros(len(place), np.int64)
+    interval = np.zeros(len(place), np.int32)
+    out = np.repeat(least, windows)
     for _ in range(length):
+        if not len(window):
+            return out
         byte = bwt[place]
-        deal = np.argsort(byte, kind="stable")
+        deal = np.argsort(byte, kind="stable").astype(np.int32)
         byte, interval = byte[deal], interval[deal]
         place, window = to_first[place[deal]], window[deal]
         new = np.concatenate([[True], (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])])
-        interval = np.cumsum(new)
+        interval = np.cumsum(new, dtype=np.int32)
+        # Alone in its interval, a window has no equal; it keeps its own id and takes no part in later rounds.
+        several = ~(new & np.concatenate([new[1:], [True]]))
+        if 4 * np.count_nonzero(several) < 3 * len(several):
+            place, window, interval, new = place[several], window[several], interval[several], new[several]
     start = np.flatnonzero(new)
-    owner = np.repeat(least, windows)
-    low = np.minimum.reduceat(owner[window], start)
-    out = np.empty(len(window), np.int64)
-    out[window] = np.repeat(low, np.diff(start, append=len(window)))
+    if len(start):
+        out[window] = np.repeat(np.minimum.reduceat(out[window], start), np.diff(start, append=len(window)))
     return out
 
 
-def _merge(part: pd.DataFrame, length: int, shard_bytes: int) -> pd.DataFrame:
+def shared(strings: list[bytes], length: int, gram: int) -> np.ndarray:
+    """Which of these different segments have the anchor of another; no window of the others comes twice."""
+    _, number, count = np.unique(_segments(strings, length, gram)[3], return_inverse=True, return_counts=True)
+    return count[number] > 1
+
+
+def _merge(part: pd.DataFrame, length: int, gram: int, shard_bytes: int) -> pd.DataFrame:
     """For each block and segment a bit for every window that also starts in a document before all of the block's."""
     known, numbers, least = {}, [], []
     for strings, sizes, own in zip(part["strings"], part["sizes"], part["least"], strict=True):
@@ -232,7 +244,11 @@ def _merge(part: pd.DataFrame, length: int, shard_bytes: int) -> pd.DataFrame:
     np.minimum.at(smallest, np.concatenate(numbers), np.concatenate(least))
     strings = list(known)
     windows = np.array([len(s) for s in strings], np.int64) - length + 1
-    flat, begin = repeats(strings, smallest, length, shard_bytes), np.cumsum(windows) - windows
+    flat, begin = np.repeat(smallest, windows), np.cumsum(windows) - windows
+    among = shared(strings, length, gram)
+    if among.any():
+        some = [strings[i] for i in np.flatnonzero(among)]
+        flat[np.repeat(among, windows)] = repeats(some, smallest[among], length, shard_bytes)
     answers = []
     for number, own in zip(numbers, least, strict=True):
         w = windows[number]
@@ -303,6 +319,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     asked = materialize(
         answered(packed, anchors).mapInArrow(lambda x: _questions(x, bits, length, gram), QUESTION), "segments")
     own = asked.filter("bucket < 0").select("block", "kept", F.col("least").alias("own"))
-    said = asked.filter("bucket >= 0").groupBy("bucket").applyInPandas(lambda part: _merge(part, length, shard_bytes), ANSWER)
+    said = asked.filter("bucket >= 0").groupBy("bucket").applyInPandas(lambda part: _merge(part, length, gram, shard_bytes), ANSWER)
     schema = RESULT if whole else RESULT[: RESULT.index(", kept_text")]
     return answered(packed.join(own, "block"), said).mapInArrow(lambda x: _results(x, length, gram, whole), schema)

@@ -87,6 +87,37 @@ def test_merged_intervals():
         assert got.tolist() == [expected[s[i : i + length]] for s in strings for i in range(len(s) - length + 1)]
 
 
+def test_windows_alone_leave_the_rounds():
+    """A window that no other equals takes no part in all rounds: fewer suffixes are dealt than windows times rounds."""
+    rng, dealt, sort = random.Random(9), [], np.argsort
+    strings = [bytes(rng.choices(range(1, 250), k=60)) for _ in range(200)]
+    strings += [strings[0][:55], strings[1][2:]]
+    least = np.arange(len(strings))
+    suffix_dedup.np.argsort = lambda x, **kw: (dealt.append(len(x)) if x.dtype == np.uint8 else None, sort(x, **kw))[1]
+    try:
+        got = suffix_dedup.repeats(strings, least, 50, 3_000)
+    finally:
+        suffix_dedup.np.argsort = sort
+    windows = [(s[i : i + 50], own) for s, own in zip(strings, least.tolist(), strict=True) for i in range(len(s) - 49)]
+    first = {}
+    for w, own in windows:
+        first[w] = min(own, first.get(w, own))
+    assert got.tolist() == [first[w] for w, _ in windows]
+    assert len(dealt) == 50 and sum(dealt) < 10 * len(windows)
+
+
+def test_segments_with_an_anchor_of_their_own_have_no_repeats():
+    rng = random.Random(7)
+    texts = [t.encode() for t in made_texts(rng, 40)]
+    strings = sorted({texts[d][b : b + w + 19] for d, b, w, _ in zip(*map(list, suffix_dedup.segments(texts, 20, 9)), strict=True)})
+    among, held = suffix_dedup.shared(strings, 20, 9), Counter()
+    for s in strings:
+        held.update({s[i : i + 20] for i in range(len(s) - 19)})
+    assert len(among) == len(strings) and 0 < among.sum() < len(among)
+    for s, some in zip(strings, among.tolist(), strict=True):
+        assert some or all(held[s[i : i + 20]] == 1 for i in range(len(s) - 19))
+
+
 def test_transform():
     rng = random.Random(5)
     for _ in range(60):
