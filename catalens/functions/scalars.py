@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The runs of characters that separate words.
-WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+_SPACES = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+WHITESPACE = f"[{_SPACES}]+"
+#: The same but for single spaces.
+_ODD_SPACE = f"(?: [{_SPACES}]|[{_SPACES}&&[^ ]])[{_SPACES}]*"
 NAME_LIST = "array<struct<id:int,name:string>>"
 CREW_LIST = "array<struct<name:string,job:string>>"
 
@@ -76,6 +79,11 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(c, WHITESPACE), "")
 
 
+def spaced(c: Column) -> Column:
+    """``words`` as one text with a space between them; what is spaced so already is only scanned."""
+    return F.btrim(F.regexp_replace(c, _ODD_SPACE, " "))
+
+
 def first_words(c: Column, n: int) -> Column:
     return F.array_join(F.slice(words(c), 1, n), " ")
 

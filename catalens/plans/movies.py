@@ -27,7 +27,7 @@ def facets(rows: DataFrame) -> DataFrame:
     """Parsed lists per movie row; an unreadable list is null and takes part in no answer (see ``profile.rejects``)."""
     return rows.select(
         *KEYS, "title",
-        S.words(F.col("overview")).alias("overview"),
+        S.words(F.col("overview")).alias("overview"), S.spaced(F.col("overview")).alias("overview_text"),
         S.json_names(F.col("genres")).alias("genres"),
         S.json_names(F.col("keywords")).alias("keywords"),
         S.first_names(F.col("cast"), 3).alias("cast"),
@@ -37,8 +37,9 @@ def facets(rows: DataFrame) -> DataFrame:
 
 def tags(facet_rows: DataFrame, stem: bool = False) -> DataFrame:
     """(id, movie_id, title, tags): overview words, then genre, keyword, cast and director names without inner spaces."""
+    overview = F.when(F.col("overview_text").isNotNull(), F.array_remove(F.array("overview_text"), ""))
     text = S.tag_text(
-        F.col("overview"), *[S.close_up(F.col(c)) for c in ("genres", "keywords", "cast", "director")]
+        overview, *[S.close_up(F.col(c)) for c in ("genres", "keywords", "cast", "director")]
     )
     return facet_rows.select(*KEYS, "title", (stem_text(text) if stem else text).alias("tags"))
 

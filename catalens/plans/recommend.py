@@ -35,7 +35,7 @@ def build(
     stem: bool = False, tfidf: bool = False,
 ) -> Catalogue:
     # One join, stored with what the parts need: every facet and every text is read from it.
-    texts = ["overview", "keywords", "genres"] if "content" in parts else ["genres"] if "genre" in parts else []
+    texts = ["overview_text", "keywords", "genres"] if "content" in parts else ["genres"] if "genre" in parts else []
     rows = movies.facets(movies.merged(raw_movies, raw_credits)).select(*KEYS, "title", "cast", "director", *texts)
     rows = materialize(rows, "titles")
     titles = rows.select(*KEYS, "title", "cast", "director")

@@ -633,16 +633,16 @@ def q_vocab_genre(spark, sf):
 @query
 def q_term_counts(spark, sf):
     return vectors.vocabulary_counts(
-        movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words(), recommend.CONTENT_TERMS
-    ).select(*KEYS, "term", "tf")
+        movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words(), recommend.CONTENT_TERMS, numbered_terms=False
+    )
 
 
 @query
 def q_term_counts_frequent(spark, sf):
     """The same counts with the vocabulary found first."""
     return vectors.frequent_counts(
-        movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words(), recommend.CONTENT_TERMS
-    ).select(*KEYS, "term", "tf")
+        movies.tags(_facets(spark, sf)), KEYS, "tags", load_stop_words(), recommend.CONTENT_TERMS, numbered_terms=False
+    )
 
 
 # --- regression -----------------------------------------------------------------------------------------------------

@@ -114,3 +114,9 @@ def test_python_notation(spark):
     long = "[{'name': '" + "x y\\'" * 20_000 + "', 'n': None}]"
     assert one(spark, long, S.json_names(F.col("c"))) == (["x y'" * 20_000],)
     assert one(spark, None, S.python_to_json(F.col("c"))) == (None,)
+
+
+def test_spaced_text_is_the_words_joined(spark):
+    for text in ("", " ", "a", " a  b ", "a b\tc\n\nd \u2003e\x85", "\t a\x1c b \x0bc", "a\u00a0b \u3000 c  ", None):
+        joined, spaced = one(spark, text, F.array_join(S.words(F.col("c")), " "), S.spaced(F.col("c")))
+        assert joined == spaced
